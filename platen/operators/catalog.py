@@ -141,6 +141,10 @@ def mode_of(tool: Column) -> Column:
     return lookup({t.id: t.mode for t in TRANSFORMS}, tool)
 
 
+def order_of(tool: Column) -> Column:
+    return lookup({t.id: str(i) for i, t in enumerate(TRANSFORMS)}, tool).cast("int")
+
+
 def connectors() -> dict[str, str]:
     """Bridge for every type pair: the first one-hop transform, else the first of two hops."""
     sources = {t.in_type for t in TRANSFORMS}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sniff import STRIDE_BUDGET
 from ..functions.text import WS, is_numeric_cell
-from .catalog import TRAPS, WEIGHTS, in_type_of, out_type_of
+from .catalog import TRAPS, TRANSFORMS, WEIGHTS, in_type_of, order_of, out_type_of
 
 # Tools and types the patterns look for.
 EXTENSION_DISPATCH = ["office-text", "rename-avif"]
@@ -128,7 +128,14 @@ def gather_facts(steps: DataFrame, key: str = "chain_id") -> DataFrame:
     """
     tool, idx = F.col("tool_id"), F.col("idx")
     out = out_type_of(tool)
-    typed = steps.withColumn("_in", in_type_of(tool)).withColumn("_out", out)
+    # Position and catalogue order packed in one integer: first and last tool stay fixed-width too.
+    unknown = len(TRANSFORMS)
+    packed = idx.cast("bigint") * (unknown + 1) + F.coalesce(order_of(tool), F.lit(unknown))
+
+    def side(value: Column, types: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(t) for t in types]), (value % (unknown + 1)).cast("int"))
+
+    typed = steps.withColumn("_out", out).withColumn("_packed", packed)
     aggregates = [F.bool_or(tool == t).alias(f"has_{t}") for t in WATCHED_TOOLS]
     for a, b in SEQUENCES:
         ordered = F.min(F.when(tool == a, idx)) < F.max(F.when(tool == b, idx))
@@ -141,8 +148,8 @@ def gather_facts(steps: DataFrame, key: str = "chain_id") -> DataFrame:
         F.count_if(F.col("_out").isin(PACKAGE_TYPES)).alias("package_outputs"),
         F.coalesce(F.bool_or(F.col("_out") == "csv-of-tables"), F.lit(False)).alias("makes_tables"),
         F.count(F.lit(1)).alias("n_steps"),
-        F.min_by("_in", "idx").alias("first_in"),
-        F.max_by("_out", "idx").alias("last_out"),
+        side(F.min("_packed"), [t.in_type for t in TRANSFORMS]).alias("first_in"),
+        side(F.max("_packed"), [t.out_type for t in TRANSFORMS]).alias("last_out"),
     )
 
 

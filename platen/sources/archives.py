@@ -120,7 +120,9 @@ def read_members(content: Column, wanted: str) -> Column:
             out.append({"names": names, "members": members, "error": error})
         return pd.DataFrame(out, columns=["names", "members", "error"])
 
-    return listing(content)
+    # Declared non-deterministic so the optimizer neither repeats it nor folds the
+    # projections between two Python steps into one expression.
+    return listing.asNondeterministic()(content)
 
 
 def _stored(members: list[tuple[str, bytes]]) -> bytes:
@@ -133,13 +135,17 @@ def _stored(members: list[tuple[str, bytes]]) -> bytes:
 
 
 @F.pandas_udf(T.BinaryType())
-def pack_members(members: pd.Series) -> pd.Series:
-    """``array<struct<name,data>>`` of one row to archive bytes."""
+def _pack(members: pd.Series) -> pd.Series:
     return pd.Series(
         [None if m is None else _stored([(x["name"], bytes(x["data"])) for x in m]) for m in members], dtype=object
     )
 
 
+def pack_members(members: Column) -> Column:
+    """``array<struct<name,data>>`` of one row to archive bytes; NULL stays NULL."""
+    return _pack.asNondeterministic()(members)
+
+
 VOLUME_BYTES = 32 * 1024 * 1024
 
 
