@@ -25,9 +25,21 @@ ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 MAX_CODE_POINT = 0x10FFFF
 
 
+SPACE_CHARS = "".join(
+    chr(c)
+    for first, last in [(0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
+    for c in range(first, last + 1)
+)
+
+
 def trim_ws(s: Column) -> Column:
-    """Strip wide whitespace at both ends (Spark's ``trim`` only strips spaces)."""
-    return F.regexp_replace(s, f"^{WS}++|(?<!{WS}){WS}++\\z", "")
+    """Strip wide whitespace at both ends (``trim`` alone only strips spaces)."""
+    return F.trim(s, F.lit(SPACE_CHARS))
+
+
+def trim_end(s: Column) -> Column:
+    return F.rtrim(s, F.lit(SPACE_CHARS))
 
 
 def is_blank(s: Column) -> Column:
@@ -145,11 +157,17 @@ def wrap_lines(text: Column, width: int = WRAP_WIDTH) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
         def put(acc: Column, word: Column) -> Column:
-            line = acc["line"]
-            full = F.length(trim_ws(F.concat(line, F.lit(" "), word))) > width
-            flushed = F.when(full & (line != ""), F.array_append(acc["done"], line)).otherwise(acc["done"])
-            grown = F.when(full | (line == ""), word).otherwise(F.concat(line, F.lit(" "), word))
-            return F.struct(flushed.alias("done"), grown.alias("line"))
+            done, line = acc["done"], acc["line"]
+
+            def state(lines: Column, current: Column) -> Column:
+                return F.struct(lines.alias("done"), current.alias("line"))
+
+            joined = F.concat(line, F.lit(" "), word)
+            return (
+                F.when(line == "", state(done, word))
+                .when(F.length(trim_ws(joined)) > width, state(F.array_append(done, line), word))
+                .otherwise(state(done, joined))
+            )
 
         folded = F.aggregate(
             F.split(raw, " ", -1), start, put, lambda acc: F.array_append(acc["done"], acc["line"])

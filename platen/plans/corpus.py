@@ -256,17 +256,22 @@ def codec_round_trips(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "setting_effects",
     """WITH outputs AS (
-      SELECT doc_id // 2 AS artifact_id, md5(left(text, 40)) AS h, least(length(text), 40) AS n FROM documents)
-    SELECT artifact_id, count(*) AS n_settings, min(n) = max(n) AS same_length, min(h) = max(h) AS same_bytes
-    FROM outputs GROUP BY artifact_id""",
+      SELECT doc_id, text AS body FROM documents
+      UNION ALL SELECT doc_id, CASE lang WHEN 'en' THEN text WHEN 'fr' THEN replace(text, 'e', 'i') ELSE text || '.' END FROM documents)
+    SELECT doc_id AS artifact_id, count(*) AS n_settings, min(strlen(body)) = max(strlen(body)) AS same_length,
+           min(md5(body)) = max(md5(body)) AS same_bytes
+    FROM outputs GROUP BY doc_id""",
 )
 def setting_effects(spark: SparkSession, d: str) -> DataFrame:
-    """Two outputs per artifact: the Latin-1 openings of neighbouring documents."""
-    outputs = views.table(spark, d, "documents").select(
-        F.floor(F.col("doc_id") / 2).alias("artifact_id"),
-        F.encode(F.left("text", F.lit(40)), "UTF-16BE").alias("content"),
+    """Two outputs per artifact; whether the second differs depends on the language."""
+    docs = views.table(spark, d, "documents")
+    second = (
+        F.when(F.col("lang") == "en", F.col("text"))
+        .when(F.col("lang") == "fr", F.replace("text", F.lit("e"), F.lit("i")))
+        .otherwise(F.concat("text", F.lit(".")))
     )
-    return evidence.knob_effect(outputs)
+    both = docs.select(F.col("doc_id").alias("artifact_id"), F.explode(F.array("text", second)).alias("body"))
+    return evidence.knob_effect(both.select("artifact_id", F.encode("body", "UTF-8").alias("content")))
 
 
 # ----------------------------------------------------------------- corpus runs
