@@ -159,23 +159,34 @@ def _zip_unpack(df: DataFrame, params: dict) -> DataFrame:
     return opened.withColumns({"_files": sized, "_error": F.col("_package.error")}).drop("_package")
 
 
+def _pack(df: DataFrame, members: Column) -> DataFrame:
+    """Archive bytes of ``members``.
+
+    The members are a column of their own, mentioned twice, so that the Python
+    step is handed a finished column and not the expression that builds it.
+    """
+    ready = F.col("_go") & (F.size("_members") > 0)
+    built = df.withColumn("_members", members)
+    return built.withColumn("_content", pack_members(F.when(ready, F.col("_members")))).drop("_members")
+
+
 @step("zip-pack")
 def _zip_pack(df: DataFrame, params: dict) -> DataFrame:
     single = F.array(F.struct(F.lit("part-1.bin").alias("name"), F.coalesce("content", F.lit(b"")).alias("data")))
     parts = F.transform("files", lambda f: F.struct(f["name"].alias("name"), f["data"].alias("data")))
     members = F.when(F.coalesce(F.size("files"), F.lit(0)) > 0, parts).otherwise(single)
-    return df.withColumn("_content", pack_members(F.when(F.col("_go"), members)))
+    return _pack(df, members)
 
 
 @step("text-docx")
 def _text_docx(df: DataFrame, params: dict) -> DataFrame:
-    return df.withColumn("_content", pack_members(F.when(F.col("_go"), packages.word_members(_given(df)))))
+    return _pack(df, packages.word_members(_given(df)))
 
 
 @step("csv-xlsx")
 def _csv_xlsx(df: DataFrame, params: dict) -> DataFrame:
     grid = df.withColumn("_grid", tabular.parse_csv(_given(df)))
-    return grid.withColumn("_content", pack_members(F.when(F.col("_go"), packages.sheet_members(F.col("_grid"))))).drop("_grid")
+    return _pack(grid, packages.sheet_members(F.col("_grid"))).drop("_grid")
 
 
 @step("png-decode")

@@ -15,7 +15,7 @@ _LOG = f"""log AS (
     {sql.strings(views.CLAIM_KEYS)}[1 + l_suppkey % 9] AS note, 'v' || l_partkey AS note_value FROM lineitem),
 stops AS (SELECT run_id, min(step) AS stop FROM log WHERE NOT ok GROUP BY run_id)"""
 _RUNS = """runs AS (
-  SELECT o_orderkey AS run_id, o_custkey AS chain_id, o_orderdate AS at, o_orderstatus <> 'F' AS ok,
+  SELECT o_orderkey AS run_id, o_custkey AS chain_id, o_orderdate AS done_at, o_orderstatus <> 'F' AS ok,
     CAST(floor(o_totalprice) AS BIGINT) AS ms, CAST(floor(o_totalprice % 101) AS INTEGER) AS score FROM orders)"""
 
 
@@ -51,7 +51,7 @@ def merged_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "run_history",
-    f"""WITH {_RUNS} SELECT run_id, chain_id, strftime(at, '%Y-%m-%d') AS day, ok, ms FROM runs ORDER BY at DESC, run_id DESC LIMIT 60""",
+    f"""WITH {_RUNS} SELECT run_id, chain_id, strftime(done_at, '%Y-%m-%d') AS day, ok, ms FROM runs ORDER BY done_at DESC, run_id DESC LIMIT 60""",
 )
 def run_history(spark: SparkSession, d: str) -> DataFrame:
     newest = runs.history(views.runs(spark, d), 60)
@@ -60,7 +60,7 @@ def run_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "retained_runs",
-    f"""WITH {_RUNS} SELECT run_id, chain_id, ms, row_number() OVER (PARTITION BY chain_id ORDER BY at DESC, run_id DESC) AS recency
+    f"""WITH {_RUNS} SELECT run_id, chain_id, ms, row_number() OVER (PARTITION BY chain_id ORDER BY done_at DESC, run_id DESC) AS recency
     FROM runs QUALIFY recency <= 5""",
 )
 def retained_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ def retained_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "latest_runs",
     f"""WITH {_RUNS} SELECT chain_id, run_id, ok, ms, score FROM runs
-    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY at DESC, run_id DESC) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY done_at DESC, run_id DESC) = 1""",
 )
 def latest_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.latest_per_chain(views.runs(spark, d)).select("chain_id", "run_id", "ok", "ms", "score")
@@ -97,7 +97,7 @@ def step_records(spark: SparkSession, d: str) -> DataFrame:
     "run_scores",
     f"""WITH {sql.VERDICT}, {_RUNS}
     SELECT v.chain_id, v.score, l.run_id, l.score - v.score AS gap FROM verdict v JOIN (
-      SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY at DESC, run_id DESC) = 1) l USING (chain_id)""",
+      SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY done_at DESC, run_id DESC) = 1) l USING (chain_id)""",
 )
 def run_scores(spark: SparkSession, d: str) -> DataFrame:
     """Chain verdicts beside the score their latest run claimed."""
