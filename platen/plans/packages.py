@@ -88,7 +88,7 @@ def broken_archives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "documents").select(
+    return views.texts(spark, d, "documents").select(
         "doc_id", F.lit("txt").alias("type"), F.encode("text", "UTF-8").alias("content"), "text"
     )
 
@@ -132,7 +132,7 @@ def word_text(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<w:document><w:body>"), F.array_join(F.transform(F.split("text", "\n"), paragraph), ""),
         F.lit("</w:body></w:document>"),
     )
-    parsed = views.table(spark, d, "documents").withColumn("xml", xml).withColumn("w", packages.word_text(F.col("xml")))
+    parsed = views.texts(spark, d, "documents").withColumn("xml", xml).withColumn("w", packages.word_text(F.col("xml")))
     return parsed.select("doc_id", "w.text", "w.paragraphs", "w.non_empty", "w.runs")
 
 
@@ -179,7 +179,7 @@ def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
         F.lit('</v></c><c t="str"><v>x</v></c></row>'),
     )
     parsed = (
-        views.table(spark, d, "customer")
+        views.texts(spark, d, "customer")
         .withColumn("_shared", packages.shared_strings(shared))
         .withColumn("_rows", packages.sheet_rows(sheet, F.col("_shared")))
         .withColumn("s", packages.sheet_csv(F.col("_rows")))

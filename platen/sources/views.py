@@ -29,6 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan that is smaller than one split per core over all cores.
+
+    A small table usually sits in one file and would be converted by one task.
+    Anything larger keeps the splits of its scan: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table whose rows are about to be converted, which is work per row and not per byte read."""
+    return spread(table(spark, sf_dir, name))
+
+
 def pick(values: list[str], index: Column) -> Column:
     """``values[index]`` for a small literal list."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -124,7 +143,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     prefix = F.unhex(pick(SIGNATURE_HEX, d % 8))
     content = F.when(d % 50 == 49, F.lit(b"")).otherwise(F.concat(prefix, F.encode("text", "UTF-8")))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("doc-"), d.cast("string")).alias("name"),
         pick(DECLARED_TYPES, d % 7).alias("declared_type"),
@@ -168,7 +187,7 @@ def marked_up_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(F.transform(lines, line), "\n").alias("md")
     )
 
@@ -197,7 +216,7 @@ def tagged_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(F.transform(lines, line), "\n").alias("html")
     )
 
