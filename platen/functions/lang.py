@@ -7,6 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, functions as F
 
 
+def until(close: str) -> str:
+    """Pattern for everything up to the first ``close``, which must start with ``<``.
+
+    Same text as a lazy any-character scan, but it hops from one ``<`` to the next
+    instead of testing every character, and never backtracks.
+    """
+    return rf"(?:[^<]++|<(?!{close[1:]}))*+"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .lang import let
+from .lang import let, until
 from .tabular import render_csv
 from .text import (
     column_index, column_letters, decode_entities, escape_markup, is_blank, is_numeric_cell, unix_lines,
@@ -17,53 +17,62 @@ SHEET_PART = r"^xl/worksheets/.*\.xml$"
 
 # ------------------------------------------------------------------- reading
 
-PARAGRAPH = r"<w:p[ >][\s\S]*?</w:p>|<w:p/>"
-WORD_CELL = r"<w:tc[ >][\s\S]*?</w:tc>"
-WORD_RUN = r"<w:t(?:\s[^>]*)?>([\s\S]*?)</w:t>"
+PARAGRAPH = rf"<w:p[ >]{until('</w:p>')}</w:p>|<w:p/>"
+WORD_CELL = rf"<w:tc[ >]{until('</w:tc>')}</w:tc>"
+WORD_RUN = rf"<w:t(?:\s[^>]*)?>({until('</w:t>')})</w:t>"
+SHARED_ENTRY = rf"<si[^>]*>({until('</si>')})</si>"
+SHARED_TEXT = rf"<t(?:\s[^>]*)?>({until('</t>')})</t>"
+SHEET_ROW = rf"<row[^>]*>({until('</row>')})</row>"
 
 
-def _runs(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit(WORD_RUN), F.lit(1))
+def _chunk(xml: Column) -> Column:
+    """``struct(text, runs)``: decoded runs glued together.
 
-
-def _run_text(xml: Column) -> Column:
-    """Decoded runs glued together; tab marks turn spaces into tabs when no tab is in the text."""
+    Tab marks turn spaces into tabs when no tab is in the text.
+    """
 
     def tabbed(out: Column) -> Column:
         marks = xml.rlike(r"<w:tab\s*/>") & ~F.contains(out, F.lit("\t"))
         return F.when(marks, F.replace(out, F.lit(" "), F.lit("\t"))).otherwise(out)
 
-    return let(F.array_join(F.transform(_runs(xml), decode_entities), ""), tabbed)
+    def chunk(runs: Column) -> Column:
+        joined = F.array_join(F.transform(runs, decode_entities), "")
+        return F.struct(let(joined, tabbed).alias("text"), F.size(runs).alias("runs"))
+
+    return let(F.regexp_extract_all(xml, F.lit(WORD_RUN), F.lit(1)), chunk)
+
+
+def _sum_runs(chunks: Column) -> Column:
+    return F.aggregate(chunks, F.lit(0), lambda total, c: total + c["runs"])
 
 
 def word_text(xml: Column) -> Column:
     """``struct(text, paragraphs, non_empty, tables, runs)`` of a word document part."""
 
     def paragraph(p: Column) -> Column:
-        def with_cells(cells: Column) -> Column:
-            return F.when(F.size(cells) > 0, F.array_join(F.transform(cells, _run_text), "\t")).otherwise(_run_text(p))
-
-        def run_count(cells: Column) -> Column:
-            in_cells = F.aggregate(cells, F.lit(0), lambda a, c: a + F.size(_runs(c)))
-            return F.when(F.size(cells) > 0, in_cells).otherwise(F.size(_runs(p)))
-
-        cells = F.regexp_extract_all(p, F.lit(WORD_CELL), F.lit(0))
-        return let(
-            cells,
-            lambda c: F.struct(
-                with_cells(c).alias("text"),
-                run_count(c).alias("runs"),
+        def merged(chunks: Column) -> Column:
+            return F.struct(
+                F.array_join(F.transform(chunks, lambda c: c["text"]), "\t").alias("text"),
+                _sum_runs(chunks).alias("runs"),
                 p.rlike("<w:tbl[ >]").alias("table"),
-            ),
-        )
+            )
 
-    def document(paragraphs: Column) -> Column:
-        loose = F.struct(_run_text(xml).alias("text"), F.size(_runs(xml)).alias("runs"), F.lit(False).alias("table"))
-        return (
-            F.when(F.size(paragraphs) > 0, paragraphs)
-            .when(_run_text(xml) != "", F.array(loose))
-            .otherwise(paragraphs)
+        cells = let(
+            F.regexp_extract_all(p, F.lit(WORD_CELL), F.lit(0)),
+            lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(p)),
+        )
+        return let(F.transform(cells, _chunk), merged)
+
+    def with_loose_text(paragraphs: Column) -> Column:
+        """A part without paragraphs still yields the text of its runs."""
+        loose = let(
+            _chunk(xml),
+            lambda c: F.filter(
+                F.array(F.struct(c["text"].alias("text"), c["runs"].alias("runs"), F.lit(False).alias("table"))),
+                lambda x: x["text"] != "",
+            ),
         )
+        return F.when(F.size(paragraphs) > 0, paragraphs).otherwise(loose)
 
     def stats(p: Column) -> Column:
         text = F.array_join(F.transform(p, lambda x: x["text"]), "\n")
@@ -72,24 +81,24 @@ def word_text(xml: Column) -> Column:
             F.size(p).alias("paragraphs"),
             F.size(F.filter(p, lambda x: ~is_blank(x["text"]))).alias("non_empty"),
             F.size(F.filter(p, lambda x: x["table"])).alias("tables"),
-            F.aggregate(p, F.lit(0), lambda a, x: a + x["runs"]).alias("runs"),
+            _sum_runs(p).alias("runs"),
         )
 
     found = F.transform(F.regexp_extract_all(xml, F.lit(PARAGRAPH), F.lit(0)), paragraph)
-    return let(let(found, document), stats)
+    return let(let(found, with_loose_text), stats)
 
 
 def shared_strings(xml: Column) -> Column:
     """The shared-string table as an array; the index is the position."""
 
     def entry(si: Column) -> Column:
-        parts = F.regexp_extract_all(si, F.lit(r"<t(?:\s[^>]*)?>([\s\S]*?)</t>"), F.lit(1))
+        parts = F.regexp_extract_all(si, F.lit(SHARED_TEXT), F.lit(1))
         return F.array_join(F.transform(parts, decode_entities), "")
 
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"<si[^>]*>([\s\S]*?)</si>"), F.lit(1)), entry)
+    return F.transform(F.regexp_extract_all(xml, F.lit(SHARED_ENTRY), F.lit(1)), entry)
 
 
-CELL_XML = r"<c\b([^>]*?)(?:/>|>([\s\S]*?)</c>)"
+CELL_XML = rf"<c\b([^>]*?)(?:/>|>({until('</c>')})</c>)"
 INLINE_TEXT = r"<is[\s\S]*?<t(?:\s[^>]*)?>([\s\S]*?)</t>[\s\S]*?</is>"
 
 
@@ -147,7 +156,7 @@ def sheet_rows(xml: Column, shared: Column) -> Column:
         empty = F.array().cast("array<struct<col:int,value:string,is_error:boolean,is_number:boolean>>")
         return F.aggregate(cells, empty, place)
 
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"<row[^>]*>([\s\S]*?)</row>"), F.lit(1)), row)
+    return F.transform(F.regexp_extract_all(xml, F.lit(SHEET_ROW), F.lit(1)), row)
 
 
 def rows_to_grid(rows: Column) -> Column:
