@@ -49,29 +49,49 @@ def _proposal(source: str, target: str, steps: list[str], claim: int) -> Column:
     )
 
 
-def fallback_rule(input_type: str | None = None, output_type: str | None = None) -> tuple:
-    """Rule for goals no pattern matches: 2 for the input, 3 for the goal type, the last rule on a tie at the top."""
-    best = GOAL_RULES[-1]
+def _fallback(given_input: Column, given_goal: Column) -> Column:
+    """Best rule for goals no pattern matches: 2 for the input type, 3 for the goal type.
 
-    def weight(rule: tuple) -> int:
-        return 2 * (rule[1] == input_type) + 3 * (rule[2] == output_type)
-
-    for rule in GOAL_RULES:
-        if weight(rule) > weight(best):
-            best = rule
-    return best
-
-
-def propose_chains(goals: DataFrame, input_type: str | None = None, output_type: str | None = None) -> DataFrame:
+    The last rule wins when it is among the best, else the first of them.
+    """
+    last = len(GOAL_RULES) - 1
+    ranked = []
+    for i, (_, source, target, _, _) in enumerate(GOAL_RULES):
+        weight = F.when(given_input == source, 2).otherwise(0) + F.when(given_goal == target, 3).otherwise(0)
+        first_wins = F.lit(1 if i == last else -i)
+        ranked.append(F.struct(weight.alias("weight"), first_wins.alias("tie"), F.lit(i).alias("rule")))
+    best = F.array_max(F.array(*ranked))["rule"]
+    chain = F
+    for i, (_, source, target, steps, claim) in enumerate(GOAL_RULES):
+        chain = chain.when(best == i, _proposal(source, target, steps, claim))
+    return chain
+
+
+def propose_chains(goals: DataFrame) -> DataFrame:
     """Add steps, types and the claimed score for a goal phrase (first matching rule).
 
     The known-bad override is tested before the rules, so the scan rule is only
-    reached by other words for an image.
+    reached by other words for an image. ``input_type`` and ``output_type``
+    columns, where given, steer the goals no rule matches and replace the types
+    of a proposal.
     """
+
+    def given(name: str) -> Column:
+        return F.nullif(F.col(name), F.lit("")) if name in goals.columns else F.lit(None).cast("string")
+
     phrase = F.left(trim_ws(F.col("goal")), F.lit(200))
-    chain = F.when(phrase.rlike(f"(?i){BAD_GOAL}"), _proposal(*KNOWN_BAD))
+    bad = phrase.rlike(f"(?i){BAD_GOAL}")
+    chain = F.when(bad, _proposal(*KNOWN_BAD))
     for pattern, source, target, steps, claim in GOAL_RULES:
         chain = chain.when(phrase.rlike(f"(?i){pattern}"), _proposal(source, target, steps, claim))
-    _, source, target, steps, claim = fallback_rule(input_type, output_type)
-    chain = chain.otherwise(_proposal(source, target, steps, claim))
-    return goals.withColumn("_p", chain).select("*", "_p.*").drop("_p")
+    chain = chain.otherwise(_fallback(given("input_type"), given("output_type")))
+    types = {
+        name: F.when(bad, F.col(f"_p.{name}")).otherwise(F.coalesce(given(name), F.col(f"_p.{name}")))
+        for name in ("input_type", "output_type")
+    }
+    return (
+        goals.withColumn("_p", chain)
+        .withColumns(types)
+        .withColumns({"steps": F.col("_p.steps"), "self_score": F.col("_p.self_score")})
+        .drop("_p")
+    )

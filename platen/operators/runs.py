@@ -11,6 +11,7 @@ from ..functions.sniff import STRIDE_BUDGET, png_dims, sniff, stride_bytes
 from ..sources.archives import pack_members, read_members
 from .catalog import BY_ID
 from .evidence import fits_scoring, measure, notes, output_mismatch
+from .reading_order import is_visible, line_of
 from .traps import clean_notes, merge_notes
 
 FILES = "array<struct<name:string,bytes:bigint,data:binary>>"
@@ -189,6 +190,42 @@ def _csv_xlsx(df: DataFrame, params: dict) -> DataFrame:
     return _pack(grid, packages.sheet_members(F.col("_grid"))).drop("_grid")
 
 
+@step("pdf-text")
+def _pdf_text(df: DataFrame, params: dict) -> DataFrame:
+    """Text of placed runs, for documents that carry them as ``runs`` next to their bytes."""
+    if "runs" not in df.columns:
+        return df.withColumn("_error", F.lit("no executor for pdf-text without placed runs"))
+
+    def placed(r: Column) -> Column:
+        return F.struct(r["page"].alias("page"), line_of(r["y"]).alias("line"), r["x"].alias("x"), r["seq"].alias("seq"), r["text"].alias("text"))
+
+    def streamed(r: Column) -> Column:
+        return F.struct(r["page"].alias("page"), r["seq"].alias("seq"), r["text"].alias("text"))
+
+    def texts(column: str) -> Column:
+        return F.transform(column, lambda r: r["text"])
+
+    ordered = df.withColumns(
+        {
+            "_visual": F.array_sort(F.transform("runs", placed)),
+            "_stream": F.array_sort(F.transform("runs", streamed)),
+            "_inked": F.exists("runs", lambda r: (F.trim(r["text"]) != "") & is_visible(r["x"], r["y"])),
+        }
+    )
+    found = F.coalesce(F.size("_visual"), F.lit(0))
+    unseen = F.concat(F.lit("extractor read "), found.cast("string"), F.lit(" strings that painted 0 glyphs"))
+    return ordered.withColumns(
+        {
+            "_text": F.coalesce(F.array_join(texts("_visual"), "\n"), F.lit("")),
+            "_notes": notes(
+                ("emptyResult", found == 0, F.lit("the extractor found no text strings (image-only or undecodable pages)")),
+                ("inkParadox", (found > 0) & ~F.col("_inked"), unseen),
+                ("orderDiffers", texts("_visual") != texts("_stream"), F.lit("content-stream order differs from visual order")),
+            ),
+        }
+    ).drop("_visual", "_stream", "_inked")
+
+
 @step("png-decode")
 def _png_decode(df: DataFrame, params: dict) -> DataFrame:
     """Header only: the pixel buffer is sized, never allocated."""

@@ -501,3 +501,23 @@ def goal_proposals(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(
         "event_id", "goal", ids_text().alias("steps"), "self_score", "score", (F.col("self_score") - F.col("score")).alias("gap")
     )
+
+
+@query(
+    "goal_fallbacks",
+    f"""WITH given AS (
+      SELECT event_id, {sql.strings(views.INPUT_TYPES)}[1 + event_id % 12] AS it, {sql.strings(catalog.GOAL_TYPES)}[1 + user_id % 8] AS ot FROM events),
+    weighted AS (
+      SELECT *, [{', '.join(f"(it = {sql.q(r[1])})::INTEGER * 2 + (ot = {sql.q(r[2])})::INTEGER * 3" for r in routing.GOAL_RULES)}] AS w FROM given),
+    ruled AS (SELECT *, CASE WHEN w[5] = list_max(w) THEN 5 ELSE list_position(w, list_max(w)) END AS rule FROM weighted)
+    SELECT event_id, it AS input_type, ot AS output_type, {sql.strings('>'.join(r[3]) for r in routing.GOAL_RULES)}[rule] AS steps,
+      {[r[4] for r in routing.GOAL_RULES]}[rule] AS self_score FROM ruled""",
+)
+def goal_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Goals without a keyword, steered by the types that are given."""
+    goals = views.table(spark, d, "events").select(
+        "event_id", F.lit("make it nicer").alias("goal"),
+        views.pick(views.INPUT_TYPES, F.col("event_id") % 12).alias("input_type"),
+        views.pick(catalog.GOAL_TYPES, F.col("user_id") % 8).alias("output_type"),
+    )
+    return routing.propose_chains(goals).select("event_id", "input_type", "output_type", ids_text().alias("steps"), "self_score")

@@ -326,6 +326,24 @@ def corpus_run_verdicts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "silent_empties",
+    f"""WITH {sql.SNIFFED}, given AS (
+      SELECT doc_id, declared_type IN ('txt', 'html') AND n_bytes > 0 AS has_text FROM seen)
+    SELECT doc_id, NOT has_text AS empty_summary, NOT has_text AS empty_table, true AS ok FROM given""",
+)
+def silent_empties(spark: SparkSession, d: str) -> DataFrame:
+    """Steps that succeed on nothing: binary or empty artifacts summarised, then read as a table."""
+    docs = intake.load_documents(views.artifacts(spark, d).select("doc_id", "declared_type", "content"))
+    log = F.col("log")
+    summary = runs.run_chain(docs, ["summarize"], "txt").select("doc_id", log[0]["notes"].alias("a"), "ok")
+    table = runs.run_chain(docs, ["csv-md"], "csv").select("doc_id", log[0]["notes"].alias("b"))
+    return summary.join(table, "doc_id").select(
+        "doc_id", F.map_contains_key("a", "emptyResult").alias("empty_summary"),
+        F.map_contains_key("b", "emptyResult").alias("empty_table"), "ok",
+    )
+
+
 @query(
     "evidence_cleaning",
     """SELECT event_id, CASE WHEN value > 50 THEN left(repeat('note ', CAST(floor(value) AS INTEGER)), 160) END AS long_note,

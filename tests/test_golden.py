@@ -118,8 +118,15 @@ def test_proposals(spark):
     rows = traps.score_chains(routing.propose_chains(goals)).collect()
     gaps = {r.goal: r.self_score - r.score for r in rows}
     assert gaps["summarize the scanned pdf"] == 83 and gaps["get the tables out of a spreadsheet as csv"] <= 8
-    assert routing.fallback_rule("docx", "md")[3] == ["docx-text", "text-md"]
-    assert routing.fallback_rule()[3] == ["pdf-text", "summarize"]
+
+
+def test_unmatched_goals_follow_the_given_types(spark):
+    rows = [("x", "docx", "md"), ("x", None, None), ("x", "pdf", "csv"), ("make it worse", "docx", "md")]
+    got = routing.propose_chains(spark.createDataFrame(rows, "goal string, input_type string, output_type string")).collect()
+    assert [[s.tool_id for s in r.steps] for r in got] == [
+        ["docx-text", "text-md"], ["pdf-text", "summarize"], ["xlsx-csv"], ["pdf-rasterize", "ocr", "png-tables"]
+    ]
+    assert (got[2].input_type, got[3].input_type) == ("pdf", "scan")
 
 
 def test_catalogue_size():
