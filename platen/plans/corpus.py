@@ -8,7 +8,6 @@ from ..functions.lang import lookup
 from ..functions.sniff import SNIFF_TO_TYPE, intake_mismatch, printable_ratio, sniff
 from ..functions.text import base64_bytes, latin1_bytes, latin1_text, utf8_text
 from ..operators import evidence, intake, runs, traps
-from ..operators.catalog import TEXT_TYPES
 from ..operators.definitions import DOCUMENT_TYPES
 from ..sources import views
 from . import sql
@@ -44,25 +43,20 @@ def mislabel_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_PREFIX_TEXT = """[chr(65533) || 'PNG' || chr(13) || chr(10) || chr(26) || chr(10), 'PK' || chr(3) || chr(4), '%PDF-1.7', repeat(chr(65533), 4),
+  'GIF89a', repeat(chr(0), 3) || ' ftypavif' || repeat(chr(0), 2), '', '<?xml ']"""
+
+
 @query(
     "document_scan",
-    f"""WITH {sql.SNIFFED}
-    SELECT a.doc_id, declared_type AS type,
-      CASE WHEN declared_type IN ('txt', 'html') THEN length(text) END AS body_chars,
-      CASE WHEN declared_type IN ('txt', 'html') AND a.doc_id % 8 = 6 AND n_bytes > 0 THEN text END AS clean_text
-    FROM seen a JOIN documents USING (doc_id)""",
+    f"""WITH {sql.ARTIFACTS}
+    SELECT a.doc_id, declared_type AS type, CASE WHEN declared_type IN ('txt', 'html') THEN
+      CASE WHEN hx = '' THEN '' ELSE {_PREFIX_TEXT}[1 + a.doc_id % 8] || text END END AS text
+    FROM artifacts a JOIN documents USING (doc_id)""",
 )
 def document_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Unsigned text documents decode to themselves; the body length is read from the source."""
-    loaded = intake.load_documents(views.artifacts(spark, d))
-    source = views.table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
-    is_text = F.col("type").isin(TEXT_TYPES)
-    unsigned = (F.col("doc_id") % 8 == 6) & (F.octet_length("content") > 0)
-    return loaded.join(source, "doc_id").select(
-        "doc_id", "type",
-        F.when(is_text & F.col("text").isNotNull(), F.col("n")).alias("body_chars"),
-        F.when(is_text & unsigned, F.col("text")).alias("clean_text"),
-    )
+    """Artifacts as typed documents; the text types carry their decoded bytes, invalid ones replaced."""
+    return intake.load_documents(views.artifacts(spark, d)).select("doc_id", "type", "text")
 
 
 @query(
