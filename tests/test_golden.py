@@ -121,7 +121,7 @@ def test_proposals(spark):
 
 
 def test_unmatched_goals_follow_the_given_types(spark):
-    rows = [("x", "docx", "md"), ("x", None, None), ("x", "pdf", "csv"), ("make it worse", "docx", "md")]
+    rows = [("x", "docx", "md"), ("x", None, None), ("x", "pdf", "csv"), ("make the worst", "docx", "md")]
     got = routing.propose_chains(spark.createDataFrame(rows, "goal string, input_type string, output_type string")).collect()
     assert [[s.tool_id for s in r.steps] for r in got] == [
         ["docx-text", "text-md"], ["pdf-text", "summarize"], ["xlsx-csv"], ["pdf-rasterize", "ocr", "png-tables"]
