@@ -314,14 +314,19 @@ def score_steps(
 
 
 def explode_hits(verdicts: DataFrame, *keys: str) -> DataFrame:
-    return verdicts.select(*keys, F.explode("hits").alias("h")).select(*keys, "h.*")
+    """One row per hit.
+
+    The outer form plus a filter on its output: a plain explode would make the
+    optimizer push a test for empty hits below the scoring and score twice.
+    """
+    return verdicts.select(*keys, F.explode_outer("hits").alias("h")).select(*keys, "h.*").filter("trap_id is not null")
 
 
 def prevalence(verdicts: DataFrame, traps: DataFrame) -> DataFrame:
     """Hits per pattern and basis; patterns nothing hit stay with a zero count."""
     counts = (
-        verdicts.select(F.explode("hits").alias("h"))
-        .groupBy("h.trap_id", "h.basis")
+        explode_hits(verdicts)
+        .groupBy("trap_id", "basis")
         .agg(F.count(F.lit(1)).alias("n_hits"))
     )
     return traps.join(counts, "trap_id", "left").select(

@@ -138,7 +138,8 @@ issues AS (
 @query("chain_errors", f"WITH {_CURRENT} SELECT chain_id, kind, step, message, fix FROM issues")
 def chain_errors(spark: SparkSession, d: str) -> DataFrame:
     checked = validate.validate_chains(views.chains(spark, d))
-    return checked.select("chain_id", F.explode("errors").alias("e")).select("chain_id", "e.*")
+    rows = checked.select("chain_id", F.explode_outer("errors").alias("e")).select("chain_id", "e.*")
+    return rows.filter("kind is not null")
 
 
 @query(
@@ -165,7 +166,8 @@ def chain_validation(spark: SparkSession, d: str) -> DataFrame:
 )
 def simulated_warnings(spark: SparkSession, d: str) -> DataFrame:
     checked = validate.validate_chains(views.chains(spark, d))
-    return checked.select("chain_id", F.explode("warnings").alias("w")).select("chain_id", "w.step", "w.message")
+    rows = checked.select("chain_id", F.explode_outer("warnings").alias("w")).select("chain_id", "w.step", "w.message")
+    return rows.filter("message is not null")
 
 
 @query(
