@@ -14,15 +14,22 @@ WORD_PART = "word/document.xml"
 SHARED_PART = "xl/sharedStrings.xml"
 FIRST_SHEET = "xl/worksheets/sheet1.xml"
 SHEET_PART = r"^xl/worksheets/.*\.xml$"
+SHEET_OR_SHARED = r"^xl/(?:sharedStrings|worksheets/.*)\.xml$"
 
 # ------------------------------------------------------------------- reading
 
-PARAGRAPH = rf"<w:p[ >]{until('</w:p>')}</w:p>|<w:p/>"
-WORD_CELL = rf"<w:tc[ >]{until('</w:tc>')}</w:tc>"
-WORD_RUN = rf"<w:t(?:\s[^>]*)?>({until('</w:t>')})</w:t>"
-SHARED_ENTRY = rf"<si[^>]*>({until('</si>')})</si>"
-SHARED_TEXT = rf"<t(?:\s[^>]*)?>({until('</t>')})</t>"
-SHEET_ROW = rf"<row[^>]*>({until('</row>')})</row>"
+
+def _element(name: str, group: bool = True) -> str:
+    """An element by its qualified name: opening tag, then anything up to its own closing tag; or an empty element."""
+    body = until(f"</{name}>")
+    inner = f"({body})" if group else body
+    return rf"<{name}(?=[\s/>])[^>]*+(?:(?<=/)>|>{inner}</{name}>)"
+
+
+PARAGRAPH, WORD_CELL, WORD_RUN = _element("w:p", False), _element("w:tc", False), _element("w:t")
+SHARED_ENTRY, PLAIN_TEXT, SHEET_ROW = _element("si"), _element("t"), _element("row")
+CELL_VALUE, CELL_INLINE = _element("v"), _element("is")
+CELL_XML = rf"<c(?=[\s/>])([^>]*+)(?:(?<=/)>|>({until('</c>')})</c>)"
 
 
 def _chunk(xml: Column) -> Column:
@@ -32,7 +39,7 @@ def _chunk(xml: Column) -> Column:
     """
 
     def tabbed(out: Column) -> Column:
-        marks = xml.rlike(r"<w:tab\s*/>") & ~F.contains(out, F.lit("\t"))
+        marks = xml.rlike(_element("w:tab")) & ~F.contains(out, F.lit("\t"))
         return F.when(marks, F.replace(out, F.lit(" "), F.lit("\t"))).otherwise(out)
 
     def chunk(runs: Column) -> Column:
@@ -54,7 +61,7 @@ def word_text(xml: Column) -> Column:
             return F.struct(
                 F.array_join(F.transform(chunks, lambda c: c["text"]), "\t").alias("text"),
                 _sum_runs(chunks).alias("runs"),
-                p.rlike("<w:tbl[ >]").alias("table"),
+                p.rlike(r"<w:tbl(?=[\s>])").alias("table"),
             )
 
         cells = let(
@@ -92,16 +99,12 @@ def shared_strings(xml: Column) -> Column:
     """The shared-string table as an array; the index is the position."""
 
     def entry(si: Column) -> Column:
-        parts = F.regexp_extract_all(si, F.lit(SHARED_TEXT), F.lit(1))
+        parts = F.regexp_extract_all(si, F.lit(PLAIN_TEXT), F.lit(1))
         return F.array_join(F.transform(parts, decode_entities), "")
 
     return F.transform(F.regexp_extract_all(xml, F.lit(SHARED_ENTRY), F.lit(1)), entry)
 
 
-CELL_XML = rf"<c\b([^>]*?)(?:/>|>({until('</c>')})</c>)"
-INLINE_TEXT = r"<is[\s\S]*?<t(?:\s[^>]*)?>([\s\S]*?)</t>[\s\S]*?</is>"
-
-
 def cell_value(kind: Column, raw: Column, inline: Column, shared: Column) -> Column:
     """Cell text by type; ``raw`` and ``inline`` are NULL when the element is missing."""
 
@@ -118,61 +121,80 @@ def cell_value(kind: Column, raw: Column, inline: Column, shared: Column) -> Col
 
 
 def sheet_rows(xml: Column, shared: Column) -> Column:
-    """Rows of ``struct(col, kind, value, is_error, is_number)`` in document order.
+    """Rows of ``struct(col, value, is_error, is_number)`` in document order.
 
-    Row numbers are ignored, so gaps close up. A cell without a reference takes
-    the position after the right-most cell so far.
+    Row numbers are ignored, so gaps close up. A cell without a usable reference takes the
+    position after the right-most cell so far.
     """
 
     def captured(s: Column, pattern: str) -> Column:
         return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1))
 
-    def fields(attrs: Column, inner: Column) -> Column:
-        return F.struct(
-            captured(attrs, r'r="([A-Z]+)[0-9]+"').alias("letters"),
-            F.coalesce(captured(attrs, r't="([^"]+)"'), F.lit("")).alias("kind"),
-            captured(inner, r"<v>([\s\S]*?)</v>").alias("raw"),
-            captured(inner, INLINE_TEXT).alias("inline"),
-        )
+    def attribute(attrs: Column, name: str, value: str = '[^"]++') -> Column:
+        return captured(attrs, rf'(?:^|\s){name}="({value})"')
 
-    def place(row: Column, c: Column) -> Column:
-        free = F.coalesce(F.array_max(F.transform(row, lambda x: x["col"])) + 1, F.lit(0))
-        value = cell_value(c["kind"], c["raw"], c["inline"], shared)
-        plain = c["raw"].isNotNull() & ~c["kind"].isin("s", "e", "str") & ~((c["kind"] == "inlineStr") & c["inline"].isNotNull())
-        cell = F.struct(
-            F.coalesce(column_index(c["letters"]), free).alias("col"),
+    def cell(attrs: Column, inner: Column) -> Column:
+        kind = F.coalesce(attribute(attrs, "t"), F.lit(""))
+        raw = captured(inner, CELL_VALUE)
+        inline = captured(captured(inner, CELL_INLINE), PLAIN_TEXT)
+        value = cell_value(kind, raw, inline, shared)
+        plain = raw.isNotNull() & ~kind.isin("s", "e", "str") & ~((kind == "inlineStr") & inline.isNotNull())
+        letters = F.regexp_extract(attribute(attrs, "r", "[A-Z]++[0-9]++"), "^[A-Z]+", 0)
+        return F.struct(
+            column_index(letters).alias("col"),
             value.alias("value"),
-            ((c["kind"] == "e") & c["raw"].isNotNull()).alias("is_error"),
+            ((kind == "e") & raw.isNotNull()).alias("is_error"),
             (plain & is_numeric_cell(value)).alias("is_number"),
         )
-        return F.array_append(row, cell)
+
+    def placed(cells: Column) -> Column:
+        """Fill in missing positions; the right-most one so far travels along."""
+
+        def put(acc: Column, c: Column) -> Column:
+            at = F.coalesce(c["col"], acc["free"])
+            here = F.struct(at.alias("col"), c["value"].alias("value"), c["is_error"].alias("is_error"), c["is_number"].alias("is_number"))
+            return F.struct(F.array_append(acc["row"], here).alias("row"), F.greatest(acc["free"], at + 1).alias("free"))
+
+        empty = F.array().cast("array<struct<col:bigint,value:string,is_error:boolean,is_number:boolean>>")
+        start = F.struct(empty.alias("row"), F.lit(0).cast("bigint").alias("free"))
+        missing = F.exists(cells, lambda c: c["col"].isNull())
+        return F.when(missing, F.aggregate(cells, start, put, lambda acc: acc["row"])).otherwise(cells)
 
     def row(inner: Column) -> Column:
         cells = F.zip_with(
             F.regexp_extract_all(inner, F.lit(CELL_XML), F.lit(1)),
             F.regexp_extract_all(inner, F.lit(CELL_XML), F.lit(2)),
-            fields,
+            cell,
         )
-        empty = F.array().cast("array<struct<col:int,value:string,is_error:boolean,is_number:boolean>>")
-        return F.aggregate(cells, empty, place)
+        return let(cells, placed)
 
     return F.transform(F.regexp_extract_all(xml, F.lit(SHEET_ROW), F.lit(1)), row)
 
 
 def rows_to_grid(rows: Column) -> Column:
-    """Cells to arrays of text by column; the last cell at a position wins."""
+    """Cells to arrays of text by column; the last cell at a position wins.
 
-    def spread(row: Column) -> Column:
-        def at(c: Column) -> Column:
-            hits = F.filter(row, lambda x: x["col"] == c)
-            return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
+    Sorted once by position and place, every cell brings the blanks of the gap before it.
+    """
 
+    def spread(row: Column) -> Column:
         dense = F.forall(F.transform(row, lambda x, i: x["col"] == i), lambda ok: ok)
-        width = F.array_max(F.transform(row, lambda x: x["col"]))
+        ordered = F.array_sort(F.transform(row, lambda x, i: F.struct(x["col"].alias("col"), i.alias("i"), x["value"].alias("value"))))
+
+        def filled(cells: Column) -> Column:
+            def piece(c: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(cells, i - 1)["col"], F.lit(-1).cast("bigint"))
+                return F.concat(F.array_repeat(F.lit(""), (c["col"] - before - 1).cast("int")), F.array(c["value"]))
+
+            return F.flatten(F.transform(cells, piece))
+
+        def last(cells: Column) -> Column:
+            return F.filter(cells, lambda c, i: ~F.coalesce(F.get(cells, i + 1)["col"] == c["col"], F.lit(False)))
+
         return (
             F.when(F.size(row) == 0, F.array().cast("array<string>"))
             .when(dense, F.transform(row, lambda x: x["value"]))
-            .otherwise(F.transform(F.sequence(F.lit(0), width), at))
+            .otherwise(let(let(ordered, last), filled))
         )
 
     return F.transform(rows, spread)

@@ -134,13 +134,13 @@ def text_to_markdown(text: Column) -> Column:
     return F.concat(F.array_join(blocks, "\n\n"), F.lit("\n"))
 
 
-def lead_summary(text: Column) -> Column:
-    """First two sentences longer than 12 characters, else the first 160 characters."""
+def lead_summary(text: Column, sentences: int = 2, longer_than: int = 12, otherwise: int = 160) -> Column:
+    """The first ``sentences`` sentences of more than ``longer_than`` characters, else the first ``otherwise`` characters."""
 
     def summary(s: Column) -> Column:
-        sentences = F.transform(F.split(s, f"(?<=[.!?]){WS}+|\\n+", -1), trim_ws)
-        lead = F.array_join(F.slice(F.filter(sentences, lambda x: F.length(x) > 12), 1, 2), " ")
-        return F.concat(let(lead, lambda x: F.when(x == "", F.left(s, F.lit(160))).otherwise(x)), F.lit("\n"))
+        found = F.transform(F.split(s, f"(?<=[.!?]){WS}+|\\n+", -1), trim_ws)
+        lead = F.array_join(F.slice(F.filter(found, lambda x: F.length(x) > longer_than), 1, sentences), " ")
+        return F.concat(let(lead, lambda x: F.when(x == "", F.left(s, F.lit(otherwise))).otherwise(x)), F.lit("\n"))
 
     return let(text, summary)
 
@@ -151,9 +151,13 @@ LINES_PER_PAGE = 45
 
 
 def wrap_lines(text: Column, width: int = WRAP_WIDTH) -> Column:
-    """Greedy wrap on spaces, as an array of lines; a word longer than the width stays whole."""
+    """Greedy wrap on spaces, as an array of lines; a word longer than the width stays whole.
 
-    def wrap(raw: Column) -> Column:
+    A line of plainly spaced words is cut by one pattern, in time linear in its length; only lines
+    with other white space, or more than one blank in a row, are folded word by word.
+    """
+
+    def fold(raw: Column) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
         def put(acc: Column, word: Column) -> Column:
@@ -169,10 +173,14 @@ def wrap_lines(text: Column, width: int = WRAP_WIDTH) -> Column:
                 .otherwise(state(done, joined))
             )
 
-        folded = F.aggregate(
+        return F.aggregate(
             F.split(raw, " ", -1), start, put, lambda acc: F.array_append(acc["done"], acc["line"])
         )
-        return F.when(F.length(raw) <= width, F.array(raw)).otherwise(folded)
+
+    def wrap(raw: Column) -> Column:
+        odd = raw.rlike(rf"^ | \z|  |(?! ){WS}")
+        cut = F.regexp_extract_all(raw, F.lit(rf"(?s)(.{{1,{width}}}|[^ ]{{{width + 1},}}+)(?: |\z)"), F.lit(1))
+        return F.when(F.length(raw) <= width, F.array(raw)).when(odd, fold(raw)).otherwise(cut)
 
     return F.flatten(F.transform(F.split(unix_lines(text), "\n", -1), wrap))
 
@@ -199,26 +207,28 @@ def is_numeric_cell(v: Column) -> Column:
     return let(trim_ws(v), check)
 
 
+MAX_LETTERS = 13  # more do not fit a 64-bit number
+
+
 def column_index(letters: Column) -> Column:
-    """Spreadsheet column letters to a 0-based index (A → 0, BC → 54)."""
-    digits = F.transform(F.split(letters, ""), lambda c: F.ascii(c) - 64)
-    return F.aggregate(digits, F.lit(0), lambda a, d: a * 26 + d) - 1
+    """Spreadsheet column letters to a 0-based index (A → 0, BC → 54); NULL if the number does not fit 64 bits."""
+    digits = F.transform(F.split(letters, ""), lambda c: (F.ascii(c) - 64).cast("bigint"))
+    index = F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, d: a * 26 + d) - 1
+    return F.when(F.length(letters) <= MAX_LETTERS, index)
 
 
 def column_letters(index: Column) -> Column:
-    """0-based column index to letters, up to three of them (18,278 columns)."""
+    """0-based column index to letters, as many as it takes."""
 
     def letter(n: Column) -> Column:
-        return F.char(n.cast("int") % 26 + 65)
+        return F.char(n.cast("int") + 65)
 
-    return (
-        F.when(index < 26, letter(index))
-        .when(index < 702, F.concat(letter(F.floor(index / 26) - 1), letter(index)))
-        .otherwise(
-            F.concat(
-                letter(F.floor((index - 702) / 676)),
-                letter(F.floor((index - 26) / 26)),
-                letter(index),
-            )
-        )
-    )
+    def more(s: Column, _: Column) -> Column:
+        rest = s["n"] - 1
+        step = F.struct(F.floor(rest / 26).alias("n"), F.concat(letter(rest % 26), s["out"]).alias("out"))
+        return F.when(s["n"] > 0, step).otherwise(s)
+
+    start = F.struct((index + 1).cast("bigint").alias("n"), F.lit("").alias("out"))
+    long = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_LETTERS)), start, more, lambda s: s["out"])
+    short = F.concat(letter(F.floor(index / 26) - 1), letter(index % 26))
+    return F.when(index < 26, letter(index)).when(index < 702, short).otherwise(long)

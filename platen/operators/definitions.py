@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_blank
 from .catalog import in_type_of, label_of, mode_of, out_type_of
 
 # Identifier and name rules, accepted origins and declared types.
@@ -13,7 +12,6 @@ CHAIN_NAME = r"^[^\x00-\x1f\x7f]{1,60}\z"
 DOCUMENT_NAME = r"^[A-Za-z0-9._-]{1,40}\z"
 ORIGINS = ["agent", "human", "seeded"]
 DOCUMENT_TYPES = ["pdf", "docx", "xlsx", "png", "md", "html", "csv", "txt", "zip", "doc", "scan", "unknown"]
-MAX_HISTORY = 60
 
 
 def error(code: str, message: Column | str) -> Column:
@@ -124,13 +122,14 @@ def check_build_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def check_history_limit(limit: Column) -> Column:
-    """Envelope for a history limit that is not an integer from 1 to 60 (NULL means the default, 5)."""
+def check_history_limit(limit: Column, most: int | None = None) -> Column:
+    """Envelope for a history limit that is no whole number from 1 (to ``most``, where a caller sets one); NULL is the default."""
     number = limit.try_cast("double")
-    ok = (number == F.floor(number)) & number.between(1, MAX_HISTORY)
-    return first_error(
-        (limit.isNotNull() & ~F.coalesce(ok, F.lit(False)), error("invalid_param", "limit must be an integer 1-60"))
-    )
+    ok = (number == F.floor(number)) & (number >= 1)
+    rule = "limit must be a whole number from 1"
+    if most is not None:
+        ok, rule = ok & (number <= most), f"{rule} to {most}"
+    return first_error((limit.isNotNull() & ~F.coalesce(ok, F.lit(False)), error("invalid_param", rule)))
 
 
 def check_references(requests: DataFrame, chains: DataFrame) -> DataFrame:
@@ -219,6 +218,20 @@ def filter_steps(steps: DataFrame, mode: str = "all", io: str | None = None) ->
     return typed
 
 
+def filter_reports(requests: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Filters ``(request_id, io)`` with the number of transforms they match and, where none does, the available types."""
+    sides = transforms.select("tool_id", F.explode(F.array_distinct(F.array("in_type", "out_type"))).alias("io"))
+    counts = sides.groupBy("io").agg(F.count(F.lit(1)).alias("n_tools"))
+    available = sides.agg(F.array_join(F.sort_array(F.collect_set("io")), " | ").alias("available"))
+    joined = requests.join(counts, "io", "left").crossJoin(F.broadcast(available))
+    return joined.withColumns(
+        {
+            "n_tools": F.coalesce("n_tools", F.lit(0).cast("bigint")),
+            "error": F.when(F.col("n_tools").isNull(), F.concat(F.lit("empty_result: no transform reads or writes this type; there are "), "available")),
+        }
+    ).drop("available")
+
+
 def usage(steps: DataFrame) -> DataFrame:
     """How often every transform occurs, with its mode; unknown ids count as ``unknown``."""
     return steps.groupBy("tool_id").agg(F.count(F.lit(1)).alias("n_steps")).withColumn(
@@ -240,27 +253,36 @@ def types_touched(steps: DataFrame) -> DataFrame:
 def trap_exposure(steps: DataFrame, transforms: DataFrame, traps: DataFrame) -> DataFrame:
     """Every step with each failure pattern its transform is listed for."""
     listed = transforms.select("tool_id", F.explode("traps").alias("trap_id"))
-    dossier = listed.join(F.broadcast(traps), "trap_id", "left").withColumn(
+    dossier = listed.join(traps, "trap_id", "left").withColumn(
         "title", F.coalesce("title", F.lit("(catalogue not loaded)"))
     )
-    return steps.join(F.broadcast(dossier), "tool_id")
+    return steps.join(dossier, "tool_id")
 
 
-def listed_and_fired(exposure: DataFrame, hits: DataFrame, scored: DataFrame) -> DataFrame:
-    """Steps of scored chains keep the listed patterns that hit; unscored chains keep all as implicated."""
-    fired = hits.select("chain_id", "trap_id", F.col("basis"))
-    kept = exposure.join(fired, ["chain_id", "trap_id"]).withColumn("state", F.col("basis"))
-    open_ = exposure.join(scored.select("chain_id"), "chain_id", "left_anti").withColumn("state", F.lit("implicated"))
-    columns = ["chain_id", "idx", "tool_id", "trap_id", "state"]
-    return kept.select(*columns).unionByName(open_.select(*columns))
+def listed_and_fired(exposure: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Steps of scored chains keep the listed patterns that hit; unscored chains keep all as implicated.
 
+    ``verdicts`` holds the hits of every chain, and ``scored`` says which of them count.
+    """
+    basis = F.map_from_entries(F.transform("hits", lambda h: F.struct(h["trap_id"], h["basis"])))
+    state = F.when(F.col("scored"), F.try_element_at("_basis", F.col("trap_id"))).otherwise(F.lit("implicated"))
+    joined = exposure.join(verdicts.select("chain_id", "scored", basis.alias("_basis")), "chain_id", "left")
+    known = joined.withColumn("scored", F.coalesce("scored", F.lit(False)))
+    return known.withColumn("state", state).where("state is not null").select("chain_id", "idx", "tool_id", "trap_id", "state")
 
-def default_documents(chains: DataFrame, inputs: DataFrame, fallback: str) -> DataFrame:
-    """Document for chains without one: the first input row of their type, else ``fallback``."""
-    first = inputs.groupBy("type").agg(F.min_by("document", "ord").alias("by_type"))
-    return chains.join(F.broadcast(first), F.col("input_type") == F.col("type"), "left").withColumn(
-        "document", F.coalesce("by_type", F.lit(fallback))
-    ).drop("type", "by_type")
+
+def default_documents(chains: DataFrame, inputs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Document for chains without one: the first input of their type that is stored, else the first stored one.
+
+    ``inputs`` are (ord, type, document), ``stored`` the names (name, seq) of the documents there are.
+    """
+    names = stored.groupBy("name").agg(F.min("seq").alias("seq"))
+    here = inputs.join(names, F.col("document") == F.col("name"))
+    by_type = here.groupBy("type").agg(F.min_by("document", "ord").alias("by_type"))
+    first = names.agg(F.min_by("name", F.struct("seq", "name")).alias("first_stored"))
+    return chains.join(by_type, F.col("input_type") == F.col("type"), "left").crossJoin(F.broadcast(first)).withColumn(
+        "document", F.coalesce("by_type", "first_stored")
+    ).drop("type", "by_type", "first_stored")
 
 
 def without(chains: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -283,9 +305,3 @@ def chain_view(chains: DataFrame) -> DataFrame:
         F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["trap_id"], h["basis"])), ",").alias("hits_view"),
         F.array_join(F.array_sort(F.map_keys("claimed")), ",").alias("note_keys"),
     )
-
-
-def check_goal(goal: Column) -> Column:
-    return first_error((goal.isNull() | is_blank(goal), error("invalid_param", "goal must be a non-empty string")))
-
-

@@ -9,8 +9,6 @@ from ..functions.sniff import (
     ARTIFACT_EXPECTS, INTAKE_EXPECTS, STRIDE_BUDGET, png_dims, sniff, stride_bytes,
 )
 
-MAX_B64_CHARS = 512 * 1024
-
 
 def notes(*entries: tuple[str, Column, Column]) -> Column:
     """``MAP`` of the ``(key, condition, value)`` entries whose condition holds."""
@@ -26,32 +24,37 @@ def measure(content: Column, declared_type: Column) -> Column:
     want = lookup(ARTIFACT_EXPECTS, declared)
     seen = sniff(content)
     return notes(
-        ("emptyOutput", F.octet_length(content) == 0, F.lit("artifact is 0 bytes (measured by the oracle)")),
+        ("emptyOutput", F.octet_length(content) == 0, F.lit("artifact is 0 bytes (measured from the bytes)")),
         (
             "magicMismatch",
             (F.octet_length(content) > 0) & (want != seen["type"]),
             F.concat(
                 F.lit("declared "), declared, F.lit(', magic bytes say "'), seen["magic"],
-                F.lit('" (measured by the oracle)'),
+                F.lit('" (measured from the bytes)'),
             ),
         ),
     )
 
 
-def fits_scoring(content: Column) -> Column:
-    """Is the base64 form within the accepted size?"""
-    return F.ceil(F.octet_length(content) / 3) * 4 <= MAX_B64_CHARS
-
-
 def with_measurement(artifacts: DataFrame) -> DataFrame:
-    """Add ``measured`` and ``seen``; artifacts too large to score give ``error`` instead."""
-    ok = fits_scoring(F.col("content"))
+    """Add ``measured`` and ``seen``: length and first bytes decide, so every artifact is measured whatever its size."""
     return artifacts.withColumns(
-        {
-            "measured": F.when(ok, measure(F.col("content"), F.col("declared_type"))),
-            "seen": F.when(ok, sniff(F.col("content"))),
-            "error": F.when(~ok, f"artifact.b64 exceeds {MAX_B64_CHARS} chars"),
-        }
+        {"measured": measure(F.col("content"), F.col("declared_type")), "seen": sniff(F.col("content"))}
+    )
+
+
+def success_audit(outcomes: DataFrame) -> DataFrame:
+    """What outcomes that claim success ``(success, content, declared_type, errors_found)`` really left behind.
+
+    Adds ``notes``: an empty artifact, bytes that are not what the label says, cells that carry
+    an error value. Outcomes that do not claim success, or say nothing about it, get no notes.
+    """
+    claims = F.coalesce(F.col("success"), F.lit(False))
+    cells = F.coalesce(F.col("errors_found"), F.lit(0))
+    found = notes(("cellErrors", cells > 0, F.concat(cells.cast("string"), F.lit(" cell(s) with an error value under a success flag"))))
+    proved = F.coalesce(measure(F.col("content"), F.col("declared_type")), F.expr("cast(map() as map<string,string>)"))
+    return outcomes.withColumn(
+        "notes", F.when(claims, F.map_concat(proved, found)).otherwise(F.expr("cast(map() as map<string,string>)"))
     )
 
 

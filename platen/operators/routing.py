@@ -14,9 +14,7 @@ def plan_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     Equal types need no steps; pairs without a route keep NULL and ``found`` false.
     """
     same = F.col("from_type") == F.col("to_type")
-    joined = requests.join(
-        F.broadcast(routes.withColumnRenamed("steps", "_route")), ["from_type", "to_type"], "left"
-    )
+    joined = requests.join(routes.withColumnRenamed("steps", "_route"), ["from_type", "to_type"], "left")
     types = F.concat(F.array("from_type"), F.transform("steps", out_type_of))
     return (
         joined.withColumn("steps", F.when(same, F.array().cast("array<string>")).otherwise(F.col("_route")))
@@ -49,6 +47,11 @@ def _proposal(source: str, target: str, steps: list[str], claim: int) -> Column:
     )
 
 
+def example(chain: tuple[str, str, list[str], int]) -> Column:
+    """A known chain (``KNOWN_BAD``, ``KNOWN_GOOD``) as a proposal."""
+    return _proposal(*chain)
+
+
 def _fallback(given_input: Column, given_goal: Column) -> Column:
     """Best rule for goals no pattern matches: 2 for the input type, 3 for the goal type.
 
@@ -79,7 +82,7 @@ def propose_chains(goals: DataFrame) -> DataFrame:
     def given(name: str) -> Column:
         return F.nullif(F.col(name), F.lit("")) if name in goals.columns else F.lit(None).cast("string")
 
-    phrase = F.left(trim_ws(F.col("goal")), F.lit(200))
+    phrase = trim_ws(F.col("goal"))
     bad = phrase.rlike(f"(?i){BAD_GOAL}")
     chain = F.when(bad, _proposal(*KNOWN_BAD))
     for pattern, source, target, steps, claim in GOAL_RULES:

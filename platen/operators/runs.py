@@ -10,7 +10,7 @@ from ..functions import markup, packages, tabular, text as txt
 from ..functions.sniff import STRIDE_BUDGET, png_dims, sniff, stride_bytes
 from ..sources.archives import pack_members, read_members
 from .catalog import BY_ID
-from .evidence import fits_scoring, measure, notes, output_mismatch
+from .evidence import measure, notes, output_mismatch
 from .reading_order import is_visible, line_of
 from .traps import clean_notes, merge_notes
 
@@ -84,7 +84,7 @@ def _csv_md(df: DataFrame, params: dict) -> DataFrame:
     return table.withColumns(
         {
             "_text": F.col("_table.md"),
-            "_notes": _note("emptyResult", F.col("_table.n_rows") == 0, "no rows parsed from the csv"),
+            "_notes": _note("emptyResult", F.col("_table.n_rows") == 0, "the table text holds no rows"),
         }
     ).drop("_table")
 
@@ -94,7 +94,7 @@ def _summarize(df: DataFrame, params: dict) -> DataFrame:
     return df.withColumns(
         {
             "_text": txt.lead_summary(_given(df)),
-            "_notes": _note("emptyResult", txt.is_blank(_given(df)), "summarised an empty input into an empty output"),
+            "_notes": _note("emptyResult", txt.is_blank(_given(df)), "nothing to summarise: the input is blank"),
         }
     )
 
@@ -109,13 +109,13 @@ def _docx_text(df: DataFrame, params: dict) -> DataFrame:
     opened = df.withColumn("_package", read_members(F.when(F.col("_go"), F.col("content")), r"^word/document\.xml$"))
     parsed = opened.withColumn("_word", packages.word_text(_part(packages.WORD_PART)))
     missing = F.concat(
-        F.lit("word/document.xml missing from the zip (saw: "),
+        F.lit("package without a word/document.xml part (first members: "),
         F.array_join(F.slice("_package.names", 1, 6), ", "), F.lit(")"),
     )
     return parsed.withColumns(
         {
             "_text": F.col("_word.text"),
-            "_notes": _note("emptyResult", txt.is_blank(F.col("_word.text")), "the package opened but carried no text runs"),
+            "_notes": _note("emptyResult", txt.is_blank(F.col("_word.text")) & (F.size("_package.members") > 0), "the word part holds no text"),
             "_error": F.coalesce("_package.error", F.when(F.size("_package.members") == 0, missing)),
         }
     ).drop("_package", "_word")
@@ -123,7 +123,7 @@ def _docx_text(df: DataFrame, params: dict) -> DataFrame:
 
 @step("xlsx-csv")
 def _xlsx_csv(df: DataFrame, params: dict) -> DataFrame:
-    opened = df.withColumn("_package", read_members(F.when(F.col("_go"), F.col("content")), r"^xl/"))
+    opened = df.withColumn("_package", read_members(F.when(F.col("_go"), F.col("content")), packages.SHEET_OR_SHARED))
     sheets = F.array_sort(F.filter("_package.names", lambda n: n.rlike(packages.SHEET_PART)))
     chosen = F.when(F.array_contains(sheets, packages.FIRST_SHEET), packages.FIRST_SHEET).otherwise(F.get(sheets, F.lit(0)))
     sheet = F.get(F.filter("_package.members", lambda m: m["name"] == F.col("_sheet")), F.lit(0))["data"]
@@ -134,17 +134,17 @@ def _xlsx_csv(df: DataFrame, params: dict) -> DataFrame:
         .withColumn("_rows", packages.sheet_rows(txt.utf8_text(sheet), F.col("_shared")))
         .withColumn("_grid", packages.sheet_csv(F.col("_rows")))
     )
-    errors = F.concat(F.col("_grid.errors_found").cast("string"), F.lit(" cell(s) carry a spreadsheet error value"))
+    errors = F.concat(F.col("_grid.errors_found").cast("string"), F.lit(" cell(s) hold an error value"))
     return parsed.withColumns(
         {
             "_text": F.col("_grid.csv"),
             "_notes": notes(
-                ("emptyResult", F.col("_grid.n_rows") == 0, F.lit("the worksheet had no rows")),
+                ("emptyResult", F.col("_grid.n_rows") == 0, F.lit("the sheet part holds no rows")),
                 ("cellErrors", F.col("_grid.errors_found") > 0, errors),
             ),
             "_error": F.coalesce(
                 "_package.error",
-                F.when(F.col("_package.names").isNotNull() & F.col("_sheet").isNull(), "no worksheet part inside the xlsx zip"),
+                F.when(F.col("_package.names").isNotNull() & F.col("_sheet").isNull(), "package without a worksheet part"),
             ),
         }
     ).drop("_package", "_sheet", "_shared", "_rows", "_grid")
@@ -213,14 +213,14 @@ def _pdf_text(df: DataFrame, params: dict) -> DataFrame:
         }
     )
     found = F.coalesce(F.size("_visual"), F.lit(0))
-    unseen = F.concat(F.lit("extractor read "), found.cast("string"), F.lit(" strings that painted 0 glyphs"))
+    unseen = F.concat(found.cast("string"), F.lit(" text run(s), none of them visible on a page"))
     return ordered.withColumns(
         {
             "_text": F.coalesce(F.array_join(texts("_visual"), "\n"), F.lit("")),
             "_notes": notes(
-                ("emptyResult", found == 0, F.lit("the extractor found no text strings (image-only or undecodable pages)")),
+                ("emptyResult", found == 0, F.lit("the document carries no text runs")),
                 ("inkParadox", (found > 0) & ~F.col("_inked"), unseen),
-                ("orderDiffers", texts("_visual") != texts("_stream"), F.lit("content-stream order differs from visual order")),
+                ("orderDiffers", texts("_visual") != texts("_stream"), F.lit("stored order is not the order on the page")),
             ),
         }
     ).drop("_visual", "_stream", "_inked")
@@ -231,8 +231,8 @@ def _png_decode(df: DataFrame, params: dict) -> DataFrame:
     """Header only: the pixel buffer is sized, never allocated."""
     sized = df.withColumn("_stride", stride_bytes(png_dims(F.col("content"))))
     warning = F.concat(
-        F.lit("stride budget "), F.col("_stride").cast("string"), F.lit(" bytes from a "),
-        F.octet_length("content").cast("string"), F.lit(" byte file"),
+        F.lit("decoding needs "), F.col("_stride").cast("string"), F.lit(" bytes for a file of "),
+        F.octet_length("content").cast("string"),
     )
     return sized.withColumns(
         {
@@ -242,48 +242,6 @@ def _png_decode(df: DataFrame, params: dict) -> DataFrame:
     ).drop("_stride")
 
 
-@step("xlsx-recalc")
-def _xlsx_recalc(df: DataFrame, params: dict) -> DataFrame:
-    always = _note("recalcWithoutValidate", F.lit(True), "reports success while errorsFound has 2 entries")
-    return df.withColumns({"_content": F.col("content"), "_notes": always})
-
-
-@step("office-text")
-def _office_text(df: DataFrame, params: dict) -> DataFrame:
-    """Extension dispatch: only the mislabel finding is real."""
-    lie = F.coalesce(sniff(F.col("content"))["type"] == "zip", F.lit(False))
-    return df.withColumns(
-        {
-            "_text": F.lit("simulated legacy text extract\n"),
-            "_notes": _note("extensionLie", lie, "bytes are a zip package; extension dispatch sent it down the .doc path instead"),
-        }
-    )
-
-
-@step("rename-avif")
-def _rename_avif(df: DataFrame, params: dict) -> DataFrame:
-    seen = sniff(F.coalesce("content", F.lit(b"")))["magic"]
-    text = F.concat(F.lit('declared AVIF, magic bytes say "'), seen, F.lit('"'))
-    return df.withColumns(
-        {"_content": F.col("content"), "_declared": F.lit("avif"), "_notes": _note("magicMismatch", F.lit(True), text)}
-    )
-
-
-@step("docx-pdf-soffice")
-def _docx_pdf(df: DataFrame, params: dict) -> DataFrame:
-    """Only the empty-output case runs; a rendered file is outside this library."""
-    if str(params.get("empty", "")).lower() != "true":
-        return df.withColumn("_error", F.lit("no executor for docx-pdf-soffice"))
-    text = "exit code 0 but the output file is 0 bytes: success without a deliverable"
-    return df.withColumns({"_content": F.lit(b""), "_notes": _note("emptyOutput", F.lit(True), text)})
-
-
-@step("png-tables")
-def _png_tables(df: DataFrame, params: dict) -> DataFrame:
-    text = "n_tables == 0 and no exception raised: a silent empty result flowed to the next step"
-    return df.withColumns({"_text": F.lit(""), "_notes": _note("emptyResult", F.lit(True), text)})
-
-
 # ------------------------------------------------------------------- the run
 
 
@@ -323,11 +281,9 @@ def _run_step(df: DataFrame, number: int, tool: str, params: dict) -> DataFrame:
     # steps, which would paste every step's expressions into the filter.
     df = df.withColumn("_good", alive & F.col("_error").isNull() & (F.spark_partition_id() >= 0))
     good = F.col("_good")
-    checked = F.coalesce("_notes", empty)
-    if tool != "rename-avif":
-        wrong = output_mismatch(F.col("_content"), F.col("_type"))
-        fresh = F.when(wrong.isNotNull() & good, F.create_map(F.lit("magicMismatch"), wrong)).otherwise(empty)
-        checked = merge_notes(fresh, checked)
+    wrong = output_mismatch(F.col("_content"), F.col("_type"))
+    fresh = F.when(wrong.isNotNull() & good, F.create_map(F.lit("magicMismatch"), wrong)).otherwise(empty)
+    checked = merge_notes(fresh, F.coalesce("_notes", empty))
     df = df.withColumn("_notes", checked).withColumn("_magic", F.when(good & F.col("_content").isNotNull(), sniff(F.col("_content"))))
 
     size_out = F.coalesce(
@@ -383,17 +339,18 @@ def step_log(results: DataFrame, key: str = "doc_id") -> DataFrame:
     return results.select(key, F.explode_outer("log").alias("r")).select(key, "r.*")
 
 
-def run_evidence(results: DataFrame, max_bytes: int = 256 * 1024) -> DataFrame:
-    """Notes of the run as claims, and what its artifact bytes prove if they are small enough to send."""
-    sent = F.col("content").isNotNull() & (F.octet_length("content") <= max_bytes) & fits_scoring(F.col("content"))
+def run_evidence(results: DataFrame) -> DataFrame:
+    """Add ``claimed`` and ``measured``.
+
+    Claims are the notes of the run, overridden by the caller's own where a ``claims`` map is
+    given. What the artifact bytes prove is measured for every artifact that has bytes.
+    """
+    said = F.col("notes")
+    if "claims" in results.columns:
+        said = merge_notes(said, F.coalesce("claims", F.expr(f"cast(map() as {NOTES})")))
+    proved = measure(F.col("content"), F.coalesce("declared_type", "type"))
     return results.withColumns(
-        {
-            "claimed": clean_notes(F.col("notes")),
-            "measured": F.when(sent, measure(F.col("content"), F.coalesce("declared_type", "type"))).otherwise(
-                F.expr(f"cast(map() as {NOTES})")
-            ),
-            "artifact_sent": sent,
-        }
+        {"claimed": clean_notes(said), "measured": F.coalesce(proved, F.expr(f"cast(map() as {NOTES})"))}
     )
 
 
@@ -437,9 +394,9 @@ def latest_per_chain(runs: DataFrame, key: str = "chain_id") -> DataFrame:
 
 
 def history(runs: DataFrame, limit: int = 5) -> DataFrame:
-    """The newest runs first."""
-    if not 1 <= limit <= 60:
-        raise ValueError("limit must be an integer 1-60")
+    """The newest runs first; ``limit`` rows of them."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     return runs.orderBy(F.col("at").desc(), F.col("run_id").desc()).limit(limit)
 
 
@@ -454,22 +411,17 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 
 
-def verdict_diff(before: DataFrame, after: DataFrame, key: str = "chain_id") -> DataFrame:
-    """Hits that appeared and hits that went, between two verdicts of the same chains.
-
-    Both hit lists are sets of at most fifteen entries in a row, so one join on
-    the chain compares them without exploding.
-    """
+def verdict_diff(both: DataFrame, key: str = "chain_id") -> DataFrame:
+    """Hits that appeared and went between ``before`` and ``after``, two verdicts (hits, score) in one row."""
 
     def ids(side: str) -> Column:
         return F.transform(F.col(f"{side}.hits"), lambda h: F.concat_ws(":", h["trap_id"], h["basis"]))
 
-    b, a = before.alias("b"), after.alias("a")
-    return b.join(a, key).select(
+    return both.select(
         key,
-        F.array_except(ids("a"), ids("b")).alias("appeared"),
-        F.array_except(ids("b"), ids("a")).alias("resolved"),
-        (F.col("a.score") - F.col("b.score")).alias("score_delta"),
+        F.array_except(ids("after"), ids("before")).alias("appeared"),
+        F.array_except(ids("before"), ids("after")).alias("resolved"),
+        (F.col("after.score") - F.col("before.score")).alias("score_delta"),
     )
 
 

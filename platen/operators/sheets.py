@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 def resolve_shared(cells: DataFrame, strings: DataFrame) -> DataFrame:
     """Cells ``(doc_id, kind, raw)`` with their text; shared indexes looked up by ``(doc_id, idx)``.
 
-    Only cells of the shared kind take part in the lookup, the others keep a
-    NULL index; an index outside the table shows as a broken reference.
+    Cells of other kinds need no lookup and go around the join, so they never pile up on one key;
+    an index outside the table shows as a broken reference.
     """
-    keyed = cells.withColumn("idx", F.when(F.col("kind") == "s", F.col("raw").try_cast("bigint")))
-    joined = keyed.join(strings.select("doc_id", "idx", F.col("value").alias("_shared")), ["doc_id", "idx"], "left")
-    broken = F.concat(F.lit("#REF!"), F.col("idx").cast("string"))
-    return joined.withColumn(
-        "value", F.when(F.col("kind") == "s", F.coalesce("_shared", broken)).otherwise(F.coalesce("raw", F.lit("")))
-    ).drop("_shared", "idx")
+    shared = F.col("kind").eqNullSafe("s")
+    own = cells.where(~shared).withColumn("value", F.coalesce("raw", F.lit("")))
+    keyed = cells.where(shared).withColumn("idx", F.col("raw").try_cast("bigint"))
+    found = keyed.join(strings.select("doc_id", "idx", F.col("value").alias("_shared")), ["doc_id", "idx"], "left")
+    broken = F.concat(F.lit("#REF!"), F.coalesce(F.col("idx").cast("string"), F.lit("")))
+    return own.unionByName(found.withColumn("value", F.coalesce("_shared", broken)).drop("_shared", "idx"))
 
 
 def sheet_stats(cells: DataFrame) -> DataFrame:

@@ -82,15 +82,19 @@ def _given(value: Column, otherwise: Column) -> Column:
 # ---------------------------------------------------------- where facts come from
 
 
-def with_step_types(steps: Column) -> Column:
-    """Fill missing in/out types of a steps array from the catalogue; given values win."""
+def with_step_types(steps: Column, typed: bool = True) -> Column:
+    """Types of a steps array: given ones (``in_type``, ``out_type`` of a step, if ``typed``) win, the catalogue fills the rest."""
+
+    def side(s: Column, name: str, known: Column) -> Column:
+        return _given(s[name], known) if typed else known
+
     return F.transform(
         steps,
         lambda s: F.struct(
             s["tool_id"].alias("tool_id"),
             s["params"].alias("params"),
-            in_type_of(s["tool_id"]).alias("in_type"),
-            out_type_of(s["tool_id"]).alias("out_type"),
+            side(s, "in_type", in_type_of(s["tool_id"])).alias("in_type"),
+            side(s, "out_type", out_type_of(s["tool_id"])).alias("out_type"),
         ),
     )
 
@@ -119,23 +123,28 @@ def row_facts(steps: str = "steps", input_type: str = "input_type", output_type:
     )
 
 
-def gather_facts(steps: DataFrame, key: str = "chain_id") -> DataFrame:
-    """One row of facts per chain from ``(key, idx, tool_id, params)`` rows.
+def gather_facts(steps: DataFrame, key: str = "chain_id", attributes: tuple[str, ...] = ()) -> DataFrame:
+    """One row of facts per chain from ``(key, idx, tool_id, params[, in_type, out_type])`` rows.
 
-    Only mergeable aggregates on fixed-width values: partial results are built
-    before the shuffle, so a chain with very many rows costs no task more than
-    its own partitions.
+    Only mergeable aggregates: partial results are built before the shuffle, so a chain with very
+    many rows costs no task more than its own partitions. Without given types all values have a
+    fixed width, which keeps the aggregation in hash tables. ``attributes`` names numeric columns
+    whose value at step 0 is a property of the chain.
     """
     tool, idx = F.col("tool_id"), F.col("idx")
-    out = out_type_of(tool)
-    # Position and catalogue order packed in one integer: first and last tool stay fixed-width too.
     unknown = len(TRANSFORMS)
-    packed = idx.cast("bigint") * (unknown + 1) + F.coalesce(order_of(tool), F.lit(unknown))
 
-    def side(value: Column, types: list[str]) -> Column:
-        return F.get(F.array(*[F.lit(t) for t in types]), (value % (unknown + 1)).cast("int"))
+    def side(name: str, known: Column) -> Column:
+        return _given(F.col(name), known) if name in steps.columns else known
+
+    def end(first_or_last: Callable[[Column], Column], name: str, types: list[str]) -> Column:
+        """Type at the first or last step, from the given types or from position and tool packed in one number."""
+        if {"in_type", "out_type"} & set(steps.columns):
+            return first_or_last(F.struct(idx, name)).getField(name)
+        packed = idx.cast("bigint") * (unknown + 1) + F.coalesce(order_of(tool), F.lit(unknown))
+        return F.get(F.array(*[F.lit(t) for t in types]), (first_or_last(packed) % (unknown + 1)).cast("int"))
 
-    typed = steps.withColumn("_out", out).withColumn("_packed", packed)
+    typed = steps.withColumns({"_in": side("in_type", in_type_of(tool)), "_out": side("out_type", out_type_of(tool))})
     aggregates = [F.bool_or(tool == t).alias(f"has_{t}") for t in WATCHED_TOOLS]
     for a, b in SEQUENCES:
         ordered = F.min(F.when(tool == a, idx)) < F.max(F.when(tool == b, idx))
@@ -148,8 +157,9 @@ def gather_facts(steps: DataFrame, key: str = "chain_id") -> DataFrame:
         F.count_if(F.col("_out").isin(PACKAGE_TYPES)).alias("package_outputs"),
         F.coalesce(F.bool_or(F.col("_out") == "csv-of-tables"), F.lit(False)).alias("makes_tables"),
         F.count(F.lit(1)).alias("n_steps"),
-        side(F.min("_packed"), [t.in_type for t in TRANSFORMS]).alias("first_in"),
-        side(F.max("_packed"), [t.out_type for t in TRANSFORMS]).alias("last_out"),
+        end(F.min, "_in", [t.in_type for t in TRANSFORMS]).alias("first_in"),
+        end(F.max, "_out", [t.out_type for t in TRANSFORMS]).alias("last_out"),
+        *[F.min(F.when(idx == 0, F.col(a))).alias(a) for a in attributes],
     )
 
 
@@ -201,25 +211,9 @@ EMPTY_NOTES = "cast(map() as map<string,string>)"
 
 
 def clean_notes(notes: Column) -> Column:
-    """Drop empty and false flags, cut keys to 40 and values to 160 characters.
-
-    Two keys that become equal after cutting keep the later value.
-    """
+    """Drop empty and false flags; keys and values stay whole."""
     kept = F.map_filter(notes, lambda k, v: v.isNotNull() & (v != "") & (v != "false"))
-    cut = F.transform(
-        F.map_entries(kept),
-        lambda e: F.struct(F.left(e["key"], F.lit(40)).alias("key"), F.left(e["value"], F.lit(160)).alias("value")),
-    )
-    last = F.filter(
-        F.transform(
-            cut,
-            lambda e, i: F.when(
-                ~F.exists(F.slice(cut, i + 2, F.size(cut)), lambda later: later["key"] == e["key"]), e
-            ),
-        ),
-        lambda e: e.isNotNull(),
-    )
-    return F.coalesce(F.map_from_entries(last), F.expr(EMPTY_NOTES))
+    return F.coalesce(kept, F.expr(EMPTY_NOTES))
 
 
 def merge_notes(earlier: Column, later: Column) -> Column:
@@ -269,6 +263,7 @@ def with_verdict(
                 F.lit(t.severity).alias("severity"),
                 F.lit(WEIGHTS[t.severity]).alias("weight"),
                 F.lit(t.title).alias("title"),
+                F.lit(t.lesson).alias("lesson"),
                 F.col(f"_{t.id}").alias("basis"),
             )
             for t in TRAPS
@@ -293,24 +288,43 @@ def score_chains(chains: DataFrame, mode: str = "clamp") -> DataFrame:
     """Verdict per row of ``(steps array, input_type, output_type[, measured, claimed])``; no shuffle."""
     measured = F.col("measured") if "measured" in chains.columns else None
     claimed = F.col("claimed") if "claimed" in chains.columns else None
-    typed = chains.withColumn("steps", with_step_types(F.col("steps")))
+    given = "in_type" in chains.schema["steps"].dataType.elementType.names
+    typed = chains.withColumn("steps", with_step_types(F.col("steps"), given))
     return with_verdict(typed, row_facts(), measured, claimed, mode)
 
 
 def score_steps(
-    steps: DataFrame, chains: DataFrame | None = None, key: str = "chain_id", mode: str = "clamp"
+    steps: DataFrame, chains: DataFrame | None = None, key: str = "chain_id", mode: str = "clamp",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Verdict per chain of a long step table, joined with chain attributes and evidence by key."""
-    facts = gather_facts(steps, key)
-    if chains is not None:
-        facts = facts.join(chains, key, "left")
+    """Verdict per chain of a long step table, joined with chain attributes and evidence by key.
+
+    ``keep`` names attribute columns to carry into the result.
+    """
+    return score_facts(with_attributes(gather_facts(steps, key), chains, key), key, mode, keep)
+
+
+def with_attributes(facts: DataFrame, chains: DataFrame | None, key: str = "chain_id") -> DataFrame:
+    return facts if chains is None else facts.join(chains, key, "left")
+
+
+def score_facts(facts: DataFrame, key: str = "chain_id", mode: str = "clamp", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict per row of gathered facts with input and output type and evidence, where there are any."""
     for column in ("input_type", "output_type"):
         if column not in facts.columns:
             facts = facts.withColumn(column, F.lit(None).cast("string"))
     measured = F.col("measured") if "measured" in facts.columns else None
     claimed = F.col("claimed") if "claimed" in facts.columns else None
     verdicts = with_verdict(facts, gathered_facts(), measured, claimed, mode)
-    return verdicts.select(key, "n_steps", "hits", "penalty", "score", "stars")
+    return verdicts.select(key, "n_steps", "hits", "penalty", "score", "stars", *keep)
+
+
+def score_with_and_without_evidence(facts: DataFrame, key: str = "chain_id") -> DataFrame:
+    """Both verdicts of the same facts in one row: ``before`` from the plan alone, ``after`` with evidence."""
+    plain = with_verdict(facts, gathered_facts()).withColumn("before", F.struct("hits", "score"))
+    plain = plain.drop("hits", "penalty", "score", "stars")
+    judged = with_verdict(plain, gathered_facts(), F.col("measured"), F.col("claimed"))
+    return judged.select(key, "before", F.struct("hits", "score").alias("after"))
 
 
 def explode_hits(verdicts: DataFrame, *keys: str) -> DataFrame:
@@ -332,3 +346,8 @@ def prevalence(verdicts: DataFrame, traps: DataFrame) -> DataFrame:
     return traps.join(counts, "trap_id", "left").select(
         "trap_id", "severity", "weight", "basis", F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits")
     )
+
+
+def trap_dossiers(requests: DataFrame, traps: DataFrame) -> DataFrame:
+    """Requests ``(trap_id)`` with title, weight and lesson; an id outside the catalogue gives the error ``not_found``."""
+    return requests.join(traps, "trap_id", "left").withColumn("error", F.when(F.col("title").isNull(), "not_found"))

@@ -7,16 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.lang import let
 from .catalog import connector_between, in_type_of, label_of, mode_of, out_type_of
 
-ISSUE = "struct<kind:string,step:int,message:string,fix:string>"
 
-
-def _issue(kind: str, step: Column, message: Column, fix: Column | None = None) -> Column:
+def _issue(kind: str, step: Column, message: Column, fix: Column | None = None, bridge: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
         F.lit(kind).alias("kind"),
         step.cast("int").alias("step"),
         message.alias("message"),
         (none if fix is None else fix).alias("fix"),
+        (none if bridge is None else bridge).alias("bridge"),
     )
 
 
@@ -41,19 +40,23 @@ def with_current_types(chains: DataFrame) -> DataFrame:
         ),
     )
 
-    def before(s: Column, i: Column) -> Column:
-        earlier = F.filter(
-            F.transform(F.slice(F.col("_known"), F.lit(1), i), lambda x: x["out_type"]), lambda t: t.isNotNull()
+    def hold(acc: Column, s: Column) -> Column:
+        """Append the step with the type held so far; a known step hands on its own output."""
+        entry = F.struct(
+            s["tool_id"].alias("tool_id"), s["label"].alias("label"), s["in_type"].alias("in_type"),
+            s["out_type"].alias("out_type"), s["mode"].alias("mode"), acc["held"].alias("current"),
         )
-        held = F.coalesce(F.try_element_at(earlier, F.lit(-1)), F.nullif(F.col("input_type"), F.lit("")))
         return F.struct(
-            s["tool_id"].alias("tool_id"), s["label"].alias("label"), s["in_type"].alias("in_type"),
-            s["out_type"].alias("out_type"), s["mode"].alias("mode"), held.alias("current"),
+            F.array_append(acc["known"], entry).alias("known"), F.coalesce(s["out_type"], acc["held"]).alias("held")
         )
 
-    return (
-        chains.withColumn("_known", looked_up).withColumn("known", F.transform("_known", before)).drop("_known")
+    none = F.expr(
+        "cast(array() as array<struct<tool_id:string,label:string,in_type:string,out_type:string,mode:string,current:string>>)"
     )
+    start = F.struct(none.alias("known"), F.nullif(F.col("input_type"), F.lit("")).alias("held"))
+    return chains.withColumn("_known", looked_up).withColumn(
+        "known", F.aggregate("_known", start, hold, lambda acc: acc["known"])
+    ).drop("_known")
 
 
 def validate_chains(chains: DataFrame) -> DataFrame:
@@ -61,23 +64,23 @@ def validate_chains(chains: DataFrame) -> DataFrame:
     known = F.col("known")
 
     def step_error(s: Column, i: Column) -> Column:
-        unknown = _issue("unknown-tool", i, _text('no transform with id "', s["tool_id"], '"'))
+        unknown = _issue("unknown-tool", i, _text("the catalogue has no tool ", s["tool_id"]))
         bridge = connector_between(s["current"], s["in_type"])
         fix = F.when(
-            bridge.isNotNull(), _text("insert ", bridge, " between step ", i, " and step ", i + 1)
-        ).otherwise(_text("no transform in the catalogue bridges ", s["current"], " → ", s["in_type"]))
+            bridge.isNotNull(), _text("put ", bridge, " before step ", i + 1)
+        ).otherwise(_text("no tool leads from ", s["current"], " to ", s["in_type"]))
         gap = _issue(
             "missing-connector",
             i,
-            _text("step ", i + 1, ' "', s["label"], '" consumes ', s["in_type"],
-                  " but the chain currently produces ", s["current"]),
+            _text("step ", i + 1, " (", s["label"], ") reads ", s["in_type"], ", but gets ", s["current"]),
             fix,
+            bridge,
         )
         return F.when(s["in_type"].isNull(), unknown).when(s["current"] != s["in_type"], gap)
 
     def step_warning(s: Column, i: Column) -> Column:
         return F.when(
-            s["mode"] == "simulated", _issue("simulated", i, _text('"', s["label"], '" is simulated'))
+            s["mode"] == "simulated", _issue("simulated", i, _text("step ", i + 1, " (", s["label"], ") only simulates its result"))
         )
 
     def present(issues: Column) -> Column:
@@ -93,13 +96,14 @@ def validate_chains(chains: DataFrame) -> DataFrame:
         _issue(
             "goal-mismatch",
             F.lit(None),
-            _text("chain ends at ", F.col("ends_at"), " but the goal is ", F.col("goal")),
-            F.when(bridge.isNotNull(), _text("append ", bridge)).otherwise(
-                _text("nothing in the catalogue reaches ", F.col("goal"), " from ", F.col("ends_at"))
+            _text("the last step gives ", F.col("ends_at"), ", wanted is ", F.col("goal")),
+            F.when(bridge.isNotNull(), _text("add ", bridge, " at the end")).otherwise(
+                _text("no tool leads from ", F.col("ends_at"), " to ", F.col("goal"))
             ),
+            bridge,
         ),
     )
-    empty = F.when(F.size("steps") == 0, _issue("empty", F.lit(None), F.lit("pipeline has no steps")))
+    empty = F.when(F.size("steps") == 0, _issue("empty", F.lit(None), F.lit("the chain is empty")))
     path = F.concat(F.array(first), F.transform(known, lambda s: F.coalesce(s["out_type"], F.lit("?"))))
     return (
         with_current_types(chains)
@@ -118,12 +122,11 @@ def suggested_insert(chains: DataFrame) -> DataFrame:
     from .definitions import insert_step
 
     def usable(e: Column) -> Column:
-        return (e["kind"] == "missing-connector") & e["fix"].startswith("insert ") & ~F.contains(e["fix"], F.lit("→"))
+        return (e["kind"] == "missing-connector") & e["bridge"].isNotNull() & ~F.contains(e["bridge"], F.lit("→"))
 
     first = F.get(F.filter("errors", usable), F.lit(0))
-    tool = F.regexp_extract(first["fix"], "^insert ([a-z0-9-]+) ", 1)
     edited = let(
-        F.struct(first["step"].alias("at"), tool.alias("tool")),
+        F.struct(first["step"].alias("at"), first["bridge"].alias("tool")),
         lambda x: F.when(x["at"].isNull(), F.col("steps")).otherwise(insert_step(F.col("steps"), x["tool"], x["at"])),
     )
     return chains.withColumn("steps", edited)

@@ -18,8 +18,13 @@ def ids_text(column: str = "steps") -> F.Column:
     return F.array_join(F.transform(column, lambda s: s["tool_id"]), ">")
 
 
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return traps.score_steps(views.steps(spark, d), views.chain_attributes(spark, d))
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts and attributes of every chain: one scan of the events, one aggregation."""
+    return views.with_attributes(traps.gather_facts(views.steps(spark, d), attributes=("k",)))
+
+
+def verdicts(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return traps.score_facts(facts(spark, d), keep=keep)
 
 
 @query(
@@ -56,8 +61,7 @@ def trap_scores_from_arrays(spark: SparkSession, d: str) -> DataFrame:
            max(self_score - score) AS max_gap FROM verdict GROUP BY origin""",
 )
 def score_gap_by_origin(spark: SparkSession, d: str) -> DataFrame:
-    attributes = views.chain_attributes(spark, d)
-    scored = verdicts(spark, d).join(attributes.select("chain_id", "origin", "self_score"), "chain_id")
+    scored = verdicts(spark, d, "origin", "self_score")
     gap = F.col("self_score") - F.col("score")
     return scored.groupBy("origin").agg(
         F.count(F.lit(1)).alias("n_chains"), F.round(F.avg(gap), 6).alias("avg_gap"), F.max(gap).alias("max_gap")
@@ -78,9 +82,7 @@ def score_gap_by_origin(spark: SparkSession, d: str) -> DataFrame:
 def verdict_changes(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.runs import verdict_diff
 
-    steps, attributes = views.steps(spark, d), views.chain_attributes(spark, d)
-    before = traps.score_steps(steps, attributes.drop("measured", "claimed"))
-    diff = verdict_diff(before, traps.score_steps(steps, attributes))
+    diff = verdict_diff(traps.score_with_and_without_evidence(facts(spark, d)))
     return diff.select(
         "chain_id", F.array_join("appeared", ",").alias("appeared"), F.array_join("resolved", ",").alias("resolved"), "score_delta"
     )
@@ -119,23 +121,23 @@ ends AS (
   FROM typed GROUP BY chain_id
 ),
 issues AS (
-  SELECT chain_id, 'unknown-tool' AS kind, idx AS step, 'no transform with id "' || tool_id || '"' AS message, NULL AS fix
+  SELECT chain_id, 'unknown-tool' AS kind, idx AS step, 'the catalogue has no tool ' || tool_id AS message, NULL AS fix, NULL AS bridge
   FROM typed WHERE in_type IS NULL
   UNION ALL
   SELECT chain_id, 'missing-connector', idx,
-    'step ' || (idx + 1) || ' "' || label || '" consumes ' || in_type || ' but the chain currently produces ' || current,
-    CASE WHEN tool IS NOT NULL THEN 'insert ' || tool || ' between step ' || idx || ' and step ' || (idx + 1)
-         ELSE 'no transform in the catalogue bridges ' || current || ' → ' || in_type END
+    'step ' || (idx + 1) || ' (' || label || ') reads ' || in_type || ', but gets ' || current,
+    CASE WHEN tool IS NOT NULL THEN 'put ' || tool || ' before step ' || (idx + 1)
+         ELSE 'no tool leads from ' || current || ' to ' || in_type END, tool
   FROM typed LEFT JOIN connectors ON pair = current || '>' || in_type WHERE current <> in_type
   UNION ALL
-  SELECT chain_id, 'goal-mismatch', NULL, 'chain ends at ' || ends_at || ' but the goal is ' || goal,
-    CASE WHEN tool IS NOT NULL THEN 'append ' || tool
-         ELSE 'nothing in the catalogue reaches ' || goal || ' from ' || ends_at END
+  SELECT chain_id, 'goal-mismatch', NULL, 'the last step gives ' || ends_at || ', wanted is ' || goal,
+    CASE WHEN tool IS NOT NULL THEN 'add ' || tool || ' at the end'
+         ELSE 'no tool leads from ' || ends_at || ' to ' || goal END, tool
   FROM ends LEFT JOIN connectors ON pair = ends_at || '>' || goal WHERE ends_at <> goal
 )"""
 
 
-@query("chain_errors", f"WITH {_CURRENT} SELECT chain_id, kind, step, message, fix FROM issues")
+@query("chain_errors", f"WITH {_CURRENT} SELECT chain_id, kind, step, message, fix, bridge FROM issues")
 def chain_errors(spark: SparkSession, d: str) -> DataFrame:
     checked = validate.validate_chains(views.chains(spark, d))
     rows = checked.select("chain_id", F.explode_outer("errors").alias("e")).select("chain_id", "e.*")
@@ -161,7 +163,7 @@ def chain_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "simulated_warnings",
-    f"""WITH {sql.STEPS} SELECT chain_id, idx AS step, '"' || label || '" is simulated' AS message
+    f"""WITH {sql.STEPS} SELECT chain_id, idx AS step, 'step ' || (idx + 1) || ' (' || label || ') only simulates its result' AS message
     FROM steps WHERE mode = 'simulated'""",
 )
 def simulated_warnings(spark: SparkSession, d: str) -> DataFrame:
@@ -185,8 +187,8 @@ def current_types(spark: SparkSession, d: str) -> DataFrame:
     "suggested_edits",
     f"""WITH {_CURRENT},
     first_fix AS (
-      SELECT chain_id, min_by(step, step) AS spot, min_by(split_part(fix, ' ', 2), step) AS tool FROM issues
-      WHERE kind = 'missing-connector' AND fix LIKE 'insert %' AND fix NOT LIKE '%→%' GROUP BY chain_id),
+      SELECT chain_id, min(step) AS spot, min_by(bridge, step) AS tool FROM issues
+      WHERE kind = 'missing-connector' AND bridge NOT LIKE '%→%' GROUP BY chain_id),
     edited AS (
       SELECT chain_id, idx * 2 + 1 AS pos, tool_id FROM steps
       UNION ALL SELECT chain_id, spot * 2, tool FROM first_fix)
@@ -250,7 +252,7 @@ def types_touched(spark: SparkSession, d: str) -> DataFrame:
 )
 def unknown_tools(spark: SparkSession, d: str) -> DataFrame:
     steps = views.steps(spark, d)
-    return steps.join(F.broadcast(catalog.transforms(spark)), "tool_id", "left_anti").select("chain_id", "idx", "tool_id")
+    return steps.join(catalog.transforms(spark), "tool_id", "left_anti").select("chain_id", "idx", "tool_id")
 
 
 @query(
@@ -277,20 +279,25 @@ def listed_and_fired(spark: SparkSession, d: str) -> DataFrame:
     """Chains that have a run among the orders are the scored ones."""
     steps = views.steps(spark, d)
     exposure = definitions.trap_exposure(steps, catalog.transforms(spark), catalog.traps(spark))
-    have_run = views.runs(spark, d).select("chain_id").distinct()
-    scored = verdicts(spark, d).join(have_run, "chain_id", "left_semi")
-    return definitions.listed_and_fired(exposure, traps.explode_hits(scored, "chain_id"), scored)
+    have_run = views.runs(spark, d).select("chain_id").distinct().withColumn("scored", F.lit(True))
+    judged = verdicts(spark, d).join(have_run, "chain_id", "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
+    return definitions.listed_and_fired(exposure, judged)
 
 
 @query(
     "default_inputs",
-    f"""WITH {sql.STEPS}, {sql.DEFAULT_INPUTS}
-    SELECT chain_id, input_type, coalesce(document, 'docx-memo') AS document
-    FROM attrs LEFT JOIN (SELECT type, min_by(document, ord) AS document FROM inputs GROUP BY type) ON type = input_type""",
+    f"""WITH {sql.STEPS}, {sql.DEFAULT_INPUTS},
+    stored AS (SELECT {sql.strings(views.STORED_NAMES)}[1 + doc_id % {len(views.STORED_NAMES)}] AS name, doc_id AS seq FROM documents),
+    here AS (SELECT type, min_by(document, ord) AS document FROM inputs WHERE document IN (SELECT name FROM stored) GROUP BY type)
+    SELECT chain_id, input_type, coalesce(document, (SELECT min_by(name, (seq, name)) FROM stored)) AS document
+    FROM attrs LEFT JOIN here ON type = input_type""",
 )
 def default_inputs(spark: SparkSession, d: str) -> DataFrame:
-    chains = views.chain_attributes(spark, d)
-    chosen = definitions.default_documents(chains, catalog.inputs(spark), "docx-memo")
+    """Some of the catalogue's inputs are stored, under names by document id; the others are not there."""
+    stored = views.table(spark, d, "documents").select(
+        views.pick(views.STORED_NAMES, F.col("doc_id") % len(views.STORED_NAMES)).alias("name"), F.col("doc_id").alias("seq")
+    )
+    chosen = definitions.default_documents(views.chain_attributes(spark, d), catalog.inputs(spark), stored)
     return chosen.select("chain_id", "input_type", "document")
 
 
@@ -319,9 +326,7 @@ _RAW_SQL = """CASE event_id % 9
 
 
 def step_list_requests(spark: SparkSession, d: str) -> DataFrame:
-    steps = views.steps(spark, d)
-    kinds = views.table(spark, d, "events").select("event_id", "event_type")
-    return steps.join(kinds, "event_id").select("event_id", F.expr(_RAW_SQL).alias("raw"))
+    return views.steps(spark, d).select("event_id", F.expr(_RAW_SQL).alias("raw"))
 
 
 @query(
@@ -376,7 +381,8 @@ def step_list_parsing(spark: SparkSession, d: str) -> DataFrame:
       CASE WHEN origin = 'martian' THEN 'origin must be one of agent | human | seeded'
            WHEN length(name) NOT BETWEEN 1 AND 60 OR contains(name, chr(9)) THEN 'name must be 1-60 printable characters'
            WHEN self_score = 'high' OR CAST(nullif(self_score, 'high') AS INTEGER) > 100 THEN 'selfScore must be a number 0-100' END AS error,
-      CASE WHEN CAST(history_limit AS INTEGER) NOT BETWEEN 1 AND 60 THEN 'invalid_param' END AS limit_code
+      CASE WHEN CAST(history_limit AS INTEGER) NOT BETWEEN 1 AND 60 THEN 'invalid_param' END AS limit_code,
+      CASE WHEN CAST(history_limit AS INTEGER) < 1 THEN 'invalid_param' END AS open_limit_code
     FROM requests""",
 )
 def build_request_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -392,7 +398,8 @@ def build_request_checks(spark: SparkSession, d: str) -> DataFrame:
     checked = definitions.check_build_requests(requests)
     return checked.select(
         "o_orderkey", F.col("error.message").alias("error"),
-        definitions.check_history_limit(F.col("history_limit"))["code"].alias("limit_code"),
+        definitions.check_history_limit(F.col("history_limit"), 60)["code"].alias("limit_code"),
+        definitions.check_history_limit(F.col("history_limit"))["code"].alias("open_limit_code"),
     )
 
 
@@ -482,7 +489,7 @@ GOALS = [
 @query(
     "goal_proposals",
     f"""WITH goals AS (
-      SELECT event_id, {sql.strings(GOALS)}[1 + event_id % 8] || ' ' || event_type AS goal FROM events),
+      SELECT event_id, CASE WHEN event_id % 3 = 0 THEN repeat('please, ', 40) ELSE '' END || {sql.strings(GOALS)}[1 + event_id % 8] || ' ' || event_type AS goal FROM events),
     routed AS (
       SELECT *, lower(goal) AS g,
         CASE WHEN regexp_matches(lower(goal), '{routing.BAD_GOAL}') THEN 0
@@ -497,7 +504,10 @@ GOALS = [
 )
 def goal_proposals(spark: SparkSession, d: str) -> DataFrame:
     goals = views.table(spark, d, "events").select(
-        "event_id", F.concat(views.pick(GOALS, F.col("event_id") % 8), F.lit(" "), F.col("event_type")).alias("goal")
+        "event_id",
+        F.concat(
+            F.when(F.col("event_id") % 3 == 0, "please, " * 40).otherwise(""), views.pick(GOALS, F.col("event_id") % 8), F.lit(" "), F.col("event_type")
+        ).alias("goal"),
     )
     scored = traps.score_chains(routing.propose_chains(goals))
     return scored.select(
@@ -523,3 +533,90 @@ def goal_fallbacks(spark: SparkSession, d: str) -> DataFrame:
         views.pick(catalog.GOAL_TYPES, F.col("user_id") % 8).alias("output_type"),
     )
     return routing.propose_chains(goals).select("event_id", "input_type", "output_type", ids_text().alias("steps"), "self_score")
+
+
+# ------------------------------------------------- types given by the caller
+
+
+_EVENT_STEPS = sql.STEPS.replace("\nsteps AS (", "\nevent_steps AS (")
+_GIVEN_SQL = f"""WITH {_EVENT_STEPS},
+    steps AS (
+      SELECT event_id AS chain_id, 0 AS idx, tool_id, CAST(NULL AS BIGINT) AS side, CASE WHEN event_id % 9 = 1 THEN k END AS quality, CAST(NULL AS VARCHAR) AS font,
+        CASE WHEN event_id % 9 = 7 THEN 'zip' ELSE in_type END AS in_type, CASE WHEN event_id % 9 = 7 THEN event_type ELSE out_type END AS out_type
+      FROM event_steps WHERE event_id % 9 IN (0, 1, 7)
+      UNION ALL SELECT event_id, 1, 'pdf-text', NULL, NULL, NULL, 'pdf', 'txt' FROM event_steps WHERE event_id % 9 = 7),
+    {sql.FACT_ROWS},
+    judged AS (SELECT *, first_in AS it, last_out AS ot FROM facts),
+    {sql.verdict_sql('judged', measured=False, claimed=False)}
+    SELECT chain_id AS event_id, hits, score FROM verdict"""
+
+
+@query("given_type_scores", _GIVEN_SQL)
+def given_type_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Step lists of requests, some with types of their own, judged by the types they give."""
+    parsed = definitions.normalise_steps(step_list_requests(spark, d)).where("error is null")
+    none = F.lit(None).cast("string")
+    scored = traps.score_chains(parsed.withColumns({"input_type": none, "output_type": none}))
+    return scored.select("event_id", hits_text().alias("hits"), "score")
+
+
+@query("given_type_scores_long", _GIVEN_SQL)
+def given_type_scores_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as a long step table."""
+    parsed = definitions.normalise_steps(step_list_requests(spark, d)).where("error is null")
+    long = parsed.select("event_id", F.posexplode("steps").alias("idx", "s")).select("event_id", "idx", "s.*")
+    return traps.score_steps(long, key="event_id").select("event_id", hits_text().alias("hits"), "score")
+
+
+@query(
+    "trap_dossiers",
+    f"""WITH {sql.TRAP_TABLE}, asked AS (SELECT event_id, 'T' || lpad(CAST(event_id % 18 AS VARCHAR), 2, '0') AS trap_id FROM events)
+    SELECT event_id, trap_id, title, weight, CASE WHEN title IS NULL THEN 'not_found' END AS error FROM asked LEFT JOIN traps USING (trap_id)""",
+)
+def trap_dossiers(spark: SparkSession, d: str) -> DataFrame:
+    asked = views.table(spark, d, "events").select(
+        "event_id", F.concat(F.lit("T"), F.lpad((F.col("event_id") % 18).cast("string"), 2, "0")).alias("trap_id")
+    )
+    return traps.trap_dossiers(asked, catalog.traps(spark)).select("event_id", "trap_id", "title", "weight", "error")
+
+
+@query(
+    "type_filters",
+    f"""WITH {sql.CATALOG}, sides AS (SELECT DISTINCT id, unnest([in_type, out_type]) AS io FROM cat),
+    asked AS (SELECT event_id, {sql.strings(['png', 'docx', 'martian', 'rgba', 'avif'])}[1 + event_id % 5] AS io FROM events)
+    SELECT event_id, io, count(id) AS n_tools, CASE WHEN count(id) = 0 THEN 'empty_result: no transform reads or writes this type; there are '
+      || (SELECT string_agg(io, ' | ' ORDER BY io) FROM (SELECT DISTINCT io FROM sides)) END AS error
+    FROM asked LEFT JOIN sides USING (io) GROUP BY event_id, io""",
+)
+def type_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Filters of which some match no transform; those say which types there are."""
+    asked = views.table(spark, d, "events").select(
+        "event_id", views.pick(["png", "docx", "martian", "rgba", "avif"], F.col("event_id") % 5).alias("io")
+    )
+    return definitions.filter_reports(asked, catalog.transforms(spark)).select("event_id", "io", "n_tools", "error")
+
+
+@query(
+    "empty_chains",
+    f"""WITH {sql.STEPS} SELECT chain_id, count(*) = 1 AS is_empty, CASE WHEN count(*) = 1 THEN 'the chain is empty' END AS message
+    FROM steps GROUP BY chain_id""",
+)
+def empty_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains without their first step; those that had one step are empty."""
+    chains = views.chains(spark, d)
+    checked = validate.validate_chains(chains.withColumn("steps", definitions.remove_step(F.col("steps"), F.lit(0))))
+    found = F.filter("errors", lambda e: e["kind"] == "empty")
+    return checked.select("chain_id", (F.size(found) > 0).alias("is_empty"), F.get(found, F.lit(0))["message"].alias("message"))
+
+
+@query(
+    "known_chains",
+    f"""WITH {sql.STEPS} SELECT chain_id, CASE WHEN chain_id % 2 = 0 THEN 'T01:plan,T09:plan,T12:plan' ELSE '' END AS hits,
+      CASE WHEN chain_id % 2 = 0 THEN 10 ELSE 100 END AS score, CASE WHEN chain_id % 2 = 0 THEN 83 ELSE 0 END AS gap FROM attrs""",
+)
+def known_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue's bad and good example, dealt to the chain ids, with the gap to the score they claim."""
+    chosen = F.when(F.col("chain_id") % 2 == 0, routing.example(routing.KNOWN_BAD)).otherwise(routing.example(routing.KNOWN_GOOD))
+    chains = views.chain_attributes(spark, d).select("chain_id", chosen.alias("p")).select("chain_id", "p.*")
+    scored = traps.score_chains(chains)
+    return scored.select("chain_id", hits_text().alias("hits"), "score", (F.col("self_score") - F.col("score")).alias("gap"))

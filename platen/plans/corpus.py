@@ -89,17 +89,20 @@ def output_checks(spark: SparkSession, d: str) -> DataFrame:
     "artifact_measurement",
     f"""WITH {sql.SNIFFED}
     SELECT doc_id, n_bytes,
-      CASE WHEN fits AND n_bytes = 0 THEN 'artifact is 0 bytes (measured by the oracle)' END AS empty_output,
-      CASE WHEN fits AND n_bytes > 0 AND {_WANT} <> kind THEN 'declared ' || declared_type || ', magic bytes say "' || magic || '" (measured by the oracle)' END AS magic_mismatch,
-      CASE WHEN NOT fits THEN 'artifact.b64 exceeds 524288 chars' END AS error
-    FROM (SELECT *, (n_bytes + 2) // 3 * 4 <= 524288 AS fits FROM seen)""",
+      CASE WHEN n_bytes = 0 THEN 'artifact is 0 bytes (measured from the bytes)' END AS empty_output,
+      CASE WHEN n_bytes > 0 AND {_WANT} <> kind THEN 'declared ' || declared_type || ', magic bytes say "' || magic || '" (measured from the bytes)' END AS magic_mismatch
+    FROM (SELECT * REPLACE (CASE WHEN doc_id % 100 = 7 AND n_bytes > 0 THEN n_bytes + 700000 ELSE n_bytes END AS n_bytes) FROM seen)""",
 )
 def artifact_measurement(spark: SparkSession, d: str) -> DataFrame:
-    measured = evidence.with_measurement(views.artifacts(spark, d))
+    """Every hundredth artifact is 700 KB longer: size makes no difference."""
+    tail = F.encode(F.repeat(F.lit("x"), 700_000), "UTF-8")
+    long = (F.col("doc_id") % 100 == 7) & (F.octet_length("content") > 0)
+    artifacts = views.artifacts(spark, d).withColumn("content", F.when(long, F.concat("content", tail)).otherwise(F.col("content")))
+    measured = evidence.with_measurement(artifacts)
     return measured.select(
         "doc_id", F.octet_length("content").alias("n_bytes"),
         F.try_element_at("measured", F.lit("emptyOutput")).alias("empty_output"),
-        F.try_element_at("measured", F.lit("magicMismatch")).alias("magic_mismatch"), "error",
+        F.try_element_at("measured", F.lit("magicMismatch")).alias("magic_mismatch"),
     )
 
 
@@ -299,24 +302,55 @@ def corpus_run_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "corpus_run_verdicts",
-    f"""WITH {sql.SNIFFED}
-    SELECT doc_id, CASE WHEN n_bytes = 0 OR kind <> 'png' OR true THEN
-      CASE WHEN n_bytes = 0 THEN 'T02:plan,T03:plan,T04:measured,T13:claimed'
-           WHEN kind <> 'avif' THEN 'T02:plan,T03:plan,T13:measured' ELSE 'T02:plan,T03:plan,T13:claimed' END END AS hits,
-      CASE WHEN n_bytes = 0 THEN 10 ELSE 40 END AS score,
-      'declared AVIF, magic bytes say "' || magic || '"' AS note, true AS ok
-    FROM seen""",
+    f"""WITH {sql.SNIFFED}, judged AS (
+      SELECT *, CASE WHEN n_bytes = 0 THEN 'T04:measured' END AS t04, CASE WHEN doc_id % 6 = 0 THEN 'T05:claimed' END AS t05,
+        CASE WHEN n_bytes > 0 AND {_WANT} <> kind THEN 'T13:measured' WHEN kind <> 'zip' THEN 'T13:claimed' END AS t13 FROM seen)
+    SELECT doc_id, concat_ws(',', t04, t05, t13) AS hits,
+      100 - CASE WHEN t04 IS NULL THEN 0 ELSE 30 END - CASE WHEN t05 IS NULL THEN 0 ELSE 15 END - CASE WHEN t13 IS NULL THEN 0 ELSE 30 END AS score,
+      CASE WHEN kind <> 'zip' THEN CASE WHEN doc_id % 6 = 1 THEN 'seen by the caller' ELSE 'declared ' || declared_type || ', magic bytes say "' || magic || '"' END END AS note,
+      CASE WHEN kind = 'zip' THEN 'not a zip: no end-of-central-directory record' ELSE 'docx → text refused: not a ZIP (magic says ' || magic || ')' END AS error,
+      false AS ok FROM judged""",
 )
 def corpus_run_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Run the renaming step over all artifacts and judge every run by its own bytes."""
+    """Read all artifacts as word packages, and judge every run by its bytes, its notes and what the caller claims.
+
+    None of them is one: most fail at the signature, those with the right one at the missing directory.
+    """
+    i = F.col("doc_id")
     docs = intake.load_documents(views.artifacts(spark, d).select("doc_id", "declared_type", "content"))
-    results = runs.run_evidence(runs.run_chain(docs, ["rename-avif"], "png"))
-    steps = F.array(F.struct(F.lit("rename-avif").alias("tool_id"), F.expr("cast(map() as map<string,string>)").alias("params")))
+    done = runs.run_chain(docs, ["docx-text"])
+    none = F.expr("cast(map() as map<string,string>)")
+    claims = (
+        F.when(i % 6 == 0, F.create_map(F.lit("cellErrors"), F.lit("2 cells")))
+        .when((i % 6 == 1) & F.map_contains_key("notes", "magicMismatch"), F.create_map(F.lit("magicMismatch"), F.lit("seen by the caller")))
+        .otherwise(none)
+    )
+    results = runs.run_evidence(done.withColumn("claims", claims))
+    steps = F.array(F.struct(F.lit("docx-text").alias("tool_id"), none.alias("params")))
     judged = traps.score_chains(
-        results.withColumns({"steps": steps, "input_type": F.lit("png"), "output_type": F.lit("png")})
+        results.withColumns({"steps": steps, "input_type": F.lit("docx"), "output_type": F.lit("txt")})
     )
     return judged.select(
-        "doc_id", hits_text().alias("hits"), "score", F.try_element_at("notes", F.lit("magicMismatch")).alias("note"), "ok"
+        "doc_id", hits_text().alias("hits"), "score", F.try_element_at("claimed", F.lit("magicMismatch")).alias("note"),
+        F.get("log", F.lit(0))["error"].alias("error"), "ok",
+    )
+
+
+@query(
+    "success_audits",
+    f"""WITH {sql.SNIFFED}
+    SELECT doc_id, doc_id % 4 <> 3 AND n_bytes = 0 AS empty_output, doc_id % 4 <> 3 AND n_bytes > 0 AND coalesce({_WANT} <> kind, false) AS mislabelled,
+      CASE WHEN doc_id % 4 <> 3 AND doc_id % 5 > 0 THEN (doc_id % 5) || ' cell(s) with an error value under a success flag' END AS cell_errors FROM seen""",
+)
+def success_audits(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes that claim success beside what they left: nothing, the wrong bytes, cells with errors."""
+    outcomes = views.artifacts(spark, d).withColumns(
+        {"success": F.col("doc_id") % 4 != 3, "errors_found": (F.col("doc_id") % 5).cast("int")}
+    )
+    noted = lambda key: F.map_contains_key("notes", key)
+    return evidence.success_audit(outcomes).select(
+        "doc_id", noted("emptyOutput").alias("empty_output"), noted("magicMismatch").alias("mislabelled"),
+        F.try_element_at("notes", F.lit("cellErrors")).alias("cell_errors"),
     )
 
 
@@ -329,31 +363,34 @@ def corpus_run_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def silent_empties(spark: SparkSession, d: str) -> DataFrame:
     """Steps that succeed on nothing: binary or empty artifacts summarised, then read as a table."""
     docs = intake.load_documents(views.artifacts(spark, d).select("doc_id", "declared_type", "content"))
-    log = F.col("log")
-    summary = runs.run_chain(docs, ["summarize"], "txt").select("doc_id", log[0]["notes"].alias("a"), "ok")
-    table = runs.run_chain(docs, ["csv-md"], "csv").select("doc_id", log[0]["notes"].alias("b"))
-    return summary.join(table, "doc_id").select(
-        "doc_id", F.map_contains_key("a", "emptyResult").alias("empty_summary"),
-        F.map_contains_key("b", "emptyResult").alias("empty_table"), "ok",
-    )
+    first = runs.run_chain(docs.withColumns({"_text": F.col("text"), "_content": F.col("content"), "_type": F.col("type")}).withColumnsRenamed(
+        {"_text": "given_text", "_content": "given_content", "_type": "given_type"}), ["summarize"], "txt")
+    noted = F.map_contains_key(F.get("log", F.lit(0))["notes"], "emptyResult")
+    kept = first.select(
+        "doc_id", "ok", noted.alias("empty_summary"), F.col("given_text").alias("text"), F.col("given_content").alias("content"),
+        F.col("given_type").alias("type"),
+    ).withColumnRenamed("ok", "summary_ok")
+    second = runs.run_chain(kept, ["csv-md"], "csv")
+    return second.select("doc_id", "empty_summary", noted.alias("empty_table"), F.col("summary_ok").alias("ok"))
 
 
 @query(
     "evidence_cleaning",
-    """SELECT event_id, CASE WHEN value > 50 THEN left(repeat('note ', CAST(floor(value) AS INTEGER)), 160) END AS long_note,
-      event_type <> 'view' AS has_flag, (value > 50)::INT + (event_type <> 'view')::INT AS n_keys FROM events""",
+    """SELECT event_id, CASE WHEN value > 50 THEN repeat('note ', CAST(floor(value) AS INTEGER)) END AS long_note, event_type AS other_note,
+      event_type <> 'view' AS has_flag, 1 + (value > 50)::INT + (event_type <> 'view')::INT AS n_keys FROM events""",
 )
 def evidence_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    """Notes with an over-long key and value, a flag that may be false, and an empty one."""
+    """Two notes whose long keys differ at the end only, a long value, a flag that may be false, and an empty one."""
     key = "k" * 45
     events = views.table(spark, d, "events")
     notes = F.create_map(
         F.lit(key), F.when(F.col("value") > 50, F.repeat(F.lit("note "), F.floor("value").cast("int"))),
+        F.lit(key + "2"), F.col("event_type"),
         F.lit("flag"), F.when(F.col("event_type") == "view", "false").otherwise("true"),
         F.lit("blank"), F.lit(""),
     )
     cleaned = events.select("event_id", traps.clean_notes(notes).alias("n"))
     return cleaned.select(
-        "event_id", F.try_element_at("n", F.lit(key[:40])).alias("long_note"),
+        "event_id", F.try_element_at("n", F.lit(key)).alias("long_note"), F.try_element_at("n", F.lit(key + "2")).alias("other_note"),
         F.map_contains_key("n", "flag").alias("has_flag"), F.size("n").alias("n_keys"),
     )

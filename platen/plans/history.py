@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import runs
-from ..sources import views
+from ..session import shared_folder
+from ..sources import csv_files, views
 from ..streaming import step_events
 from . import sql
 from .registry import query
@@ -118,3 +121,31 @@ def step_event_feed(spark: SparkSession, d: str) -> DataFrame:
     """Stream the event files into a step log and read it back."""
     schema = views.table(spark, d, "events").schema
     return step_events.step_log_feed(spark, f"{d}/events*.parquet", schema, step_events.phase_events)
+
+
+@query(
+    "appended_runs",
+    f"""WITH {_RUNS} SELECT run_id, chain_id, ms, score FROM runs""",
+)
+def appended_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Append the runs in two portions to a history table and read it back."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    given = views.runs(spark, d)
+    for part in (F.col("run_id") % 2 == 0, F.col("run_id") % 2 == 1):
+        runs.append_runs(given.where(part), path)
+    return spark.read.parquet(path).select("run_id", "chain_id", "ms", "score")
+
+
+@query(
+    "csv_file_round_trip",
+    """SELECT o_orderkey::VARCHAR AS id, 'say "' || o_orderstatus || '", ' || o_orderpriority || chr(10) || 'next' AS note, o_custkey::VARCHAR AS customer FROM orders""",
+)
+def csv_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Write rows with quotes, commas and line ends to CSV files, and read them back."""
+    note = F.concat(F.lit('say "'), "o_orderstatus", F.lit('", '), "o_orderpriority", F.lit("\nnext"))
+    rows = views.table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), note.alias("note"), F.col("o_custkey").cast("string").alias("customer")
+    )
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    csv_files.write_csv(rows, path)
+    return csv_files.read_csv(spark, path)

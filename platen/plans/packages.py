@@ -7,54 +7,55 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import packages
 from ..operators import evidence, runs, sheets
 from ..sources import views
-from ..sources.archives import bundle_archives, explode_archives
+from ..sources.archives import bundle_archives, explode_archives, pack_members
 from . import sql
 from .registry import query
 from .texts import _SHEET_SQL, _parsed_sql
 
 
 def bundles(spark: SparkSession, d: str) -> DataFrame:
-    """All documents packed by source, one store-method archive each (more when a source is large)."""
+    """All documents packed by shelf, one store-method archive each: a source and a hundred ids, so no shelf grows."""
+    shelf = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"))
     parts = views.table(spark, d, "documents").select(
-        "source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
+        shelf.alias("shelf"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
         F.encode("text", "UTF-8").alias("data"), "doc_id",
     )
-    return bundle_archives(parts, "source", "name", "data", "doc_id")
+    return bundle_archives(parts, "shelf", "name", "data", "doc_id")
+
+
+_SHELF = "source || '/' || doc_id // 100"
 
 
 @query(
     "archive_bundles",
-    """SELECT source, count(*) AS entries, sum(strlen(text)) AS declared,
+    f"""SELECT {_SHELF} AS shelf, count(*) AS entries, sum(strlen(text)) AS declared,
       round(sum(strlen(text)) / (sum(strlen(text) + 76 + 2 * length('doc-' || doc_id)) + 22), 9) AS declared_ratio
-    FROM documents GROUP BY source""",
+    FROM documents GROUP BY 1""",
 )
 def archive_bundles(spark: SparkSession, d: str) -> DataFrame:
-    return bundles(spark, d).groupBy("source").agg(
-        F.sum("entries").alias("entries"), F.sum("declared").alias("declared"),
-        F.round(F.sum("declared") / F.sum(F.octet_length("content")), 9).alias("declared_ratio"),
-    )
+    return bundles(spark, d).select("shelf", "entries", "declared", F.round("declared_ratio", 9).alias("declared_ratio"))
 
 
 @query(
     "archive_entries",
-    """SELECT source, 'doc-' || doc_id AS name, 0 AS method, strlen(text) AS comp_size, strlen(text) AS size,
+    f"""SELECT {_SHELF} AS shelf, 'doc-' || doc_id AS name, 0 AS method, strlen(text) AS comp_size, strlen(text) AS size,
       md5(text) AS digest, true AS crc_ok, true AS size_ok FROM documents""",
 )
 def archive_entries(spark: SparkSession, d: str) -> DataFrame:
-    entries = evidence.integrity(explode_archives(bundles(spark, d).select("source", "content")))
+    entries = evidence.integrity(explode_archives(bundles(spark, d).select("shelf", "content")))
     return entries.select(
-        "source", "name", "method", "comp_size", "size", F.md5("data").alias("digest"), "crc_ok", "size_ok"
+        "shelf", "name", "method", "comp_size", "size", F.md5("data").alias("digest"), "crc_ok", "size_ok"
     )
 
 
 @query(
     "archive_totals",
-    """SELECT source, count(*) AS entries, count(*) AS method0, 0 AS method8, sum(strlen(text)) AS compressed_total,
-      sum(strlen(text)) AS inflated_total, 1.0 AS declared_ratio FROM documents GROUP BY source""",
+    f"""SELECT {_SHELF} AS shelf, count(*) AS entries, count(*) AS method0, 0 AS method8, sum(strlen(text)) AS compressed_total,
+      sum(strlen(text)) AS inflated_total, 1.0 AS declared_ratio FROM documents GROUP BY 1""",
 )
 def archive_totals(spark: SparkSession, d: str) -> DataFrame:
-    entries = explode_archives(bundles(spark, d).select("source", "content"))
-    return evidence.archive_totals(entries, "source")
+    entries = explode_archives(bundles(spark, d).select("shelf", "content"), data=False)
+    return evidence.archive_totals(entries, "shelf")
 
 
 @query(
@@ -67,8 +68,8 @@ def archive_lookups(spark: SparkSession, d: str) -> DataFrame:
     wanted = views.table(spark, d, "documents").select(
         "doc_id", "source", F.concat(F.lit("doc-"), (F.col("n_chars") % 1000).cast("string")).alias("name")
     )
-    entries = explode_archives(bundles(spark, d).select("source", "content"))
-    present = entries.select("source", "name", F.lit(True).alias("found"))
+    entries = explode_archives(bundles(spark, d).select("shelf", "content"), data=False)
+    present = entries.select(F.split_part("shelf", F.lit("/"), F.lit(1)).alias("source"), "name", F.lit(True).alias("found"))
     return wanted.join(present, ["source", "name"], "left").select(
         "doc_id", "source", "name", F.coalesce("found", F.lit(False)).alias("found")
     )
@@ -76,12 +77,24 @@ def archive_lookups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "broken_archives",
-    f"""WITH {sql.SNIFFED}
-    SELECT doc_id, 'not a zip: no end-of-central-directory record' AS error FROM seen""",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'doc-' || doc_id END AS name,
+      CASE doc_id % 3 WHEN 1 THEN 'unreadable zip: zip file version 9.9' WHEN 2 THEN 'not a zip: no end-of-central-directory record' END AS error,
+      CASE doc_id % 3 WHEN 0 THEN strlen(text) END AS bytes FROM documents""",
 )
 def broken_archives(spark: SparkSession, d: str) -> DataFrame:
-    """Artifacts that only carry an archive signature have no directory."""
-    return explode_archives(views.artifacts(spark, d).select("doc_id", "content")).select("doc_id", "error")
+    """Good archives, archives whose directory asks for an unknown version, and no archives at all, side by side."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("doc-"), i.cast("string"))
+    docs = views.table(spark, d, "documents").withColumn(
+        "members", F.when(i % 3 < 2, F.array(F.struct(name.alias("name"), F.encode("text", "UTF-8").alias("data"))))
+    )
+    packed = docs.withColumn("zip", F.hex(pack_members(F.col("members"))))
+    # The version needed stands six bytes into the directory record, which starts after the stored member.
+    at = F.instr("zip", F.lit("504B0102")) + 12
+    aged = F.overlay("zip", F.lit("63"), at, F.lit(2))
+    content = F.when(i % 3 == 0, F.unhex("zip")).when(i % 3 == 1, F.unhex(aged)).otherwise(F.encode("text", "UTF-8"))
+    found = explode_archives(packed.select("doc_id", content.alias("content")))
+    return found.select("doc_id", "name", "error", F.octet_length("data").alias("bytes"))
 
 
 # ------------------------------------------------------------------- packages
@@ -229,18 +242,47 @@ def sheet_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "column_letters",
-    f"""SELECT p_partkey, chr(CAST(65 + p_partkey % 26 AS INTEGER)) || chr(CAST(65 + p_partkey // 26 % 26 AS INTEGER)) AS letters,
-      (p_partkey % 26 + 1) * 26 + p_partkey // 26 % 26 AS idx, true AS same,
-      regexp_matches(p_name, '^[0-9]+$') AS numeric_name, CAST(p_retailprice AS VARCHAR) <> '' AS numeric_price FROM part""",
+    """WITH RECURSIVE named AS (
+      SELECT p_partkey, p_partkey * 7919 % 20000000 AS idx, p_partkey * 7919 % 20000000 + 1 AS n, '' AS letters FROM part
+      UNION ALL SELECT p_partkey, idx, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || letters FROM named WHERE n > 0)
+    SELECT p_partkey, idx, letters, idx AS back, regexp_matches(p_name, '^[0-9]+$') AS numeric_name,
+      CAST(p_retailprice AS VARCHAR) <> '' AS numeric_price FROM named JOIN part USING (p_partkey) WHERE n = 0""",
 )
 def column_letters(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("p_partkey")
-    letters = F.concat(F.char((key % 26 + 65).cast("int")), F.char((F.floor(key / 26) % 26 + 65).cast("int")))
-    indexed = views.table(spark, d, "part").withColumn("letters", letters).withColumn("idx", packages.column_index(F.col("letters")))
-    return indexed.select(
-        "p_partkey", "letters", "idx", (packages.column_letters(F.col("idx")) == F.col("letters")).alias("same"),
+    """Column numbers of one to five letters, to letters and back."""
+    indexed = views.table(spark, d, "part").withColumn("idx", F.col("p_partkey") * 7919 % 20_000_000)
+    lettered = indexed.withColumn("letters", packages.column_letters(F.col("idx")))
+    return lettered.select(
+        "p_partkey", "idx", "letters", packages.column_index(F.col("letters")).alias("back"),
         packages.is_numeric_cell(F.col("p_name")).alias("numeric_name"),
         packages.is_numeric_cell(F.col("p_retailprice").cast("string")).alias("numeric_price"),
     )
 
 
+
+
+@query(
+    "sheet_choices",
+    """SELECT doc_id, doc_id % 4 <> 3 AS ok, CASE doc_id % 4 WHEN 0 THEN 'first' || chr(13) || chr(10) WHEN 1 THEN 'a' || chr(13) || chr(10) WHEN 2 THEN 'x,,,y' || chr(13) || chr(10) END AS csv,
+      CASE doc_id % 4 WHEN 3 THEN 'package without a worksheet part' END AS error FROM documents""",
+)
+def sheet_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Packages with the usual first sheet, with sheets of other names, with a gap between cells, and with none."""
+    def sheet(name: str, body: str) -> F.Column:
+        xml = f"<worksheet><sheetData><row>{body}</row></sheetData></worksheet>"
+        return F.struct(F.lit(name).alias("name"), F.encode(F.lit(xml), "UTF-8").alias("data"))
+
+    inline = '<c t="inlineStr"><is><t>{}</t></is></c>'
+    other = "xl/worksheets/{}.xml"
+    i = F.col("doc_id") % 4
+    members = (
+        F.when(i == 0, F.array(sheet(other.format("a"), inline.format("a")), sheet(packages.FIRST_SHEET, inline.format("first"))))
+        .when(i == 1, F.array(sheet(other.format("b"), inline.format("b")), sheet(other.format("a"), inline.format("a"))))
+        .when(i == 2, F.array(sheet(packages.FIRST_SHEET, '<c r="D1" t="str"><v>y</v></c><c r="A1" t="str"><v>x</v></c>')))
+        .otherwise(F.array(sheet("docProps/app.xml", "")))
+    )
+    docs = views.table(spark, d, "documents").select(
+        "doc_id", F.lit("xlsx").alias("type"), members.alias("members"), F.lit(None).cast("string").alias("text")
+    ).withColumn("content", pack_members(F.col("members"))).drop("members")
+    done = runs.run_chain(docs, ["xlsx-csv"], "xlsx")
+    return done.select("doc_id", "ok", F.when(F.col("ok"), F.col("text")).alias("csv"), F.get("log", F.lit(0))["error"].alias("error"))

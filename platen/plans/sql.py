@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import count
 
 from ..functions.text import ENTITY, NAMED_ENTITIES, WS
-from ..operators.catalog import GOAL_TYPES, INPUTS, ROUTES, TRANSFORMS, TRAPS, WEIGHTS, connectors
+from ..operators.catalog import GOAL_TYPES, INPUTS, ROUTES, TRANSFORMS, TRAPS, WEIGHTS
 from ..operators.traps import EXTENSION_DISPATCH, KNOWN_INPUTS, NOTE_KEYS, PACKAGE_TYPES, RASTER_TOOLS
 from ..sources.views import CLAIM_KEYS, DECLARED_TYPES, EVENT_TYPES, INPUT_TYPES, ORIGINS, SIGNATURE_HEX, SLOTS
 
@@ -89,9 +89,17 @@ LISTED = "listed(id, trap_id) AS (VALUES " + ", ".join(
 TRAP_TABLE = "traps(trap_id, severity, weight, title) AS (VALUES " + ", ".join(
     f"({q(t.id)}, {q(t.severity)}, {WEIGHTS[t.severity]}, {q(t.title)})" for t in TRAPS
 ) + ")"
-CONNECTORS = "connectors(pair, tool) AS (VALUES " + ", ".join(
-    f"({q(k)}, {q(v)})" for k, v in sorted(connectors().items())
-) + ")"
+# The first transform that leads from one type to the other, else the first one that leads half the way.
+CONNECTORS = """direct AS (
+  SELECT in_type || '>' || out_type AS pair, min_by(id, ord) AS tool FROM cat GROUP BY 1
+),
+halfway AS (
+  SELECT a.in_type || '>' || b.out_type AS pair, min_by(a.id, a.ord) || ' → …' AS tool
+  FROM cat a JOIN cat b ON b.in_type = a.out_type GROUP BY 1
+),
+connectors AS (
+  SELECT coalesce(d.pair, h.pair) AS pair, coalesce(d.tool, h.tool) AS tool FROM direct d FULL JOIN halfway h ON d.pair = h.pair
+)"""
 EDGES = "edges(ord, from_type, to_type, steps) AS (VALUES " + ", ".join(
     f"({i}, {q(a)}, {q(b)}, {q('>'.join(s))})" for i, (a, b, s) in enumerate(ROUTES)
 ) + ")"
@@ -106,7 +114,7 @@ ev AS (
   FROM events
 ),
 raw_steps AS (
-  SELECT event_id, ts, k, value,
+  SELECT event_id, event_type, ts, k, value,
          event_id // 12 * 4 + CASE WHEN r >= 6 THEN 3 WHEN r >= 3 THEN 2 WHEN r >= 1 THEN 1 ELSE 0 END AS chain_id,
          CAST(r - CASE WHEN r >= 6 THEN 6 WHEN r >= 3 THEN 3 WHEN r >= 1 THEN 1 ELSE 0 END AS INTEGER) AS idx,
          {strings(SLOTS)}[1 + (kind * 6 + CAST(round(value * 100) AS BIGINT)) % {len(SLOTS)}] AS tool_id
@@ -140,8 +148,7 @@ def _before(a: str, b: str) -> str:
     return f"coalesce(min(idx) FILTER (tool_id = {q(a)}) < max(idx) FILTER (tool_id = {q(b)}), false)"
 
 
-FACTS = f"""{STEPS},
-facts AS (
+FACT_ROWS = f"""facts AS (
   SELECT chain_id, count(*) AS n_steps,
          {_before('pdf-rasterize', 'ocr')} AS raster_ocr, {_before('ocr', 'summarize')} AS ocr_summary,
          {_has(*EXTENSION_DISPATCH)} AS by_extension, {_has(*RASTER_TOOLS)} AS raster,
@@ -156,7 +163,10 @@ facts AS (
          coalesce(bool_or(out_type = 'csv-of-tables'), false) AS makes_tables,
          first(in_type ORDER BY idx) AS first_in, last(out_type ORDER BY idx) AS last_out
   FROM steps GROUP BY chain_id
-),
+)"""
+
+FACTS = f"""{STEPS},
+{FACT_ROWS},
 judged AS (
   SELECT f.*, a.* EXCLUDE (chain_id), coalesce(input_type, first_in) AS it, coalesce(output_type, last_out) AS ot
   FROM facts f JOIN attrs a USING (chain_id)
@@ -208,7 +218,6 @@ verdict AS (
 
 
 VERDICT = f"{FACTS},\n{verdict_sql('judged')}"
-PLAN_VERDICT = f"{FACTS},\n{verdict_sql('judged', measured=False, claimed=False)}"
 HITS = """hits AS (
   SELECT chain_id, split_part(h, ':', 1) AS trap_id, split_part(h, ':', 2) AS basis
   FROM (SELECT chain_id, unnest(string_split(hits, ',')) AS h FROM verdict WHERE hits <> '')

@@ -10,12 +10,15 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints and written tables.
+    """The folder the session names for checkpoints and written tables, which all executors see.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    On a cluster the setting is required. Only a local session, where driver and executors are
+    one process, may go without: it gets a temporary folder.
     """
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

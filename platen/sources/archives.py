@@ -1,8 +1,8 @@
 """Zip archives as tables: one row per member, and back.
 
-Opening and writing the container is the only Python in the library; the
-container bytes go through the standard ``zipfile`` module, one archive per row
-(or per bounded volume), and everything around it stays in Spark.
+Opening and writing the container is the only Python here; container bytes go
+through the standard ``zipfile`` module in Arrow batches, one archive per row,
+and everything around it stays in Spark.
 """
 
 from __future__ import annotations
@@ -21,62 +21,81 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # Ship the functions below inside the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ENTRY = "name string, method int, crc bigint, comp_size bigint, size bigint, data binary"
 NO_DIRECTORY = "not a zip: no end-of-central-directory record"
 
 
-def _open(content: bytes) -> zipfile.ZipFile | None:
+MAX_MEMBER = 1 << 30  # bytes one member may inflate to; beyond it the member gives an error, not a dead worker
+
+
+def _open(content: bytes) -> tuple[zipfile.ZipFile | None, str | None]:
+    """The archive, or why it can't be opened: whatever a crafted file raises stays with its row."""
     try:
-        return zipfile.ZipFile(io.BytesIO(content))
+        return zipfile.ZipFile(io.BytesIO(content)), None
     except zipfile.BadZipFile:
-        return None
+        return None, NO_DIRECTORY
+    except Exception as bad:  # noqa: BLE001 - a row of data, not a fault of the job
+        return None, f"unreadable zip: {bad}"
 
 
-def _inflate(content: bytes, info: zipfile.ZipInfo) -> bytes:
-    """Member bytes for stored and deflated members; other methods give no data.
+def _inflate(content: bytes, info: zipfile.ZipInfo, limit: int = MAX_MEMBER) -> tuple[bytes | None, str | None]:
+    """Member bytes for stored and deflated members, or an error; other methods give no data.
 
     Sizes and check sums stay claims of the directory: a member whose bytes do
     not match them is still returned, so that an audit can compare.
     """
     head = content[info.header_offset : info.header_offset + 30]
     if head[:4] != b"PK\x03\x04":
-        return b""
+        return b"", None
     skip = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
     start = info.header_offset + 30 + skip
     raw = content[start : start + info.compress_size]
     if info.compress_type == zipfile.ZIP_STORED:
-        return raw
-    if info.compress_type == zipfile.ZIP_DEFLATED:
-        return zlib.decompressobj(-15).decompress(raw)
-    return b""
-
-
-@F.udtf(returnType=ENTRY + ", error string")
-class zip_entries:  # noqa: N801 - used like a SQL table function
-    """One row per central-directory record; a single row with ``error`` if there is no directory."""
-
-    def eval(self, content: bytes) -> Iterator[tuple]:
-        if content is None:
-            return
-        archive = _open(bytes(content))
-        if archive is None:
-            yield None, None, None, None, None, None, NO_DIRECTORY
-            return
-        for info in archive.infolist():
-            try:
-                data, error = _inflate(bytes(content), info), None
-            except zlib.error as bad:
-                data, error = None, str(bad)
-            yield (
-                info.orig_filename, info.compress_type, info.CRC, info.compress_size, info.file_size, data, error,
-            )
-
-
-def explode_archives(df: DataFrame, content: str = "content") -> DataFrame:
-    """Lateral join of every archive with its members; ``content`` itself is not carried along."""
+        return raw, None
+    if info.compress_type != zipfile.ZIP_DEFLATED:
+        return b"", None
+    stream = zlib.decompressobj(-15)
+    try:
+        data = stream.decompress(raw, limit)
+    except zlib.error as bad:
+        return None, str(bad)
+    return (None, f"member inflates beyond {limit} bytes") if stream.unconsumed_tail else (data, None)
+
+
+def explode_archives(df: DataFrame, content: str = "content", data: bool = True) -> DataFrame:
+    """One row per member of every archive; ``content`` itself is not carried along.
+
+    A row whose content is NULL keeps one empty row, one that is no readable archive a row with
+    ``error``. With ``data=False`` only the directory is read and nothing is inflated.
+    """
     rest = [c for c in df.columns if c != content]
-    entries = zip_entries(F.col(content).outer())
-    return df.lateralJoin(entries).select(*rest, "name", "method", "crc", "comp_size", "size", "data", "error")
+    fields = "name:string,method:int,crc:bigint,comp_size:bigint,size:bigint,data:binary,error:string"
+    names = [f.split(":")[0] for f in fields.split(",")]
+
+    def members(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in contents:
+            out = []
+            for value in series:
+                if value is None:
+                    out.append([])
+                    continue
+                value = bytes(value)
+                archive, error = _open(value)
+                if archive is None:
+                    out.append([dict.fromkeys(names) | {"error": error}])
+                    continue
+                rows = []
+                for i in archive.infolist():
+                    body, error = _inflate(value, i) if data else (None, None)
+                    found = (i.orig_filename, i.compress_type, i.CRC, i.compress_size, i.file_size, body, error)
+                    rows.append(dict(zip(names, found)))
+                out.append(rows)
+            yield pd.Series(out, dtype=object)
+
+    listed = F.pandas_udf(members, f"array<struct<{fields}>>").asNondeterministic()
+    opened = df.select(*rest, listed(F.col(content)).alias("_members"))
+    return opened.select(*rest, F.explode_outer("_members").alias("m")).select(
+        *rest, "m.name", "m.method", "m.crc", "m.comp_size", "m.size", *(["m.data"] if data else []), "m.error"
+    )
 
 
 MEMBERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("data", T.BinaryType())]))
@@ -103,20 +122,15 @@ def read_members(content: Column, wanted: str) -> Column:
         for content in contents:
             names, members, error = None, None, None
             if content is not None:
-                archive = _open(content)
-                if archive is None:
-                    error = NO_DIRECTORY
-                else:
+                archive, error = _open(bytes(content))
+                if archive is not None:
                     infos = archive.infolist()
-                    names = [i.orig_filename for i in infos]
-                    try:
-                        members = [
-                            {"name": i.orig_filename, "data": _inflate(content, i)}
-                            for i in infos
-                            if pattern.search(i.orig_filename)
-                        ]
-                    except zlib.error as bad:
-                        error = str(bad)
+                    names, members = [i.orig_filename for i in infos], []
+                    for i in infos:
+                        if error is None and pattern.search(i.orig_filename):
+                            data, error = _inflate(bytes(content), i)
+                            members.append({"name": i.orig_filename, "data": data})
+                    members = None if error else members
             out.append({"names": names, "members": members, "error": error})
         return pd.DataFrame(out, columns=["names", "members", "error"])
 
@@ -146,35 +160,19 @@ def pack_members(members: Column) -> Column:
     return _pack.asNondeterministic()(members)
 
 
-VOLUME_BYTES = 32 * 1024 * 1024
-
-
 def bundle_archives(
-    parts: DataFrame, key: str, name: str, data: str, order: str, volume_bytes: int = VOLUME_BYTES
+    parts: DataFrame, key: str, name: str, data: str, order: str, volumes: int = 1
 ) -> DataFrame:
-    """Pack the parts of every ``key`` into store-method archives.
+    """Pack the parts of every ``key`` into store-method archives, ``volumes`` of them for every bundle alike.
 
-    A bundle within ``volume_bytes`` becomes one archive (volume 0). A larger one
-    is cut into as many volumes as its size asks for, parts spread by a hash of
-    their name and order, so no task ever holds more than about one volume: a
-    bundle with a third of all rows is written by many tasks, and no part is lost.
+    Parts go to a volume by a hash of their name and order. An archive is one value of one row, so
+    choose ``volumes`` such that the largest bundle divided by it fits a task; a bundle with a third
+    of all rows is then written by as many tasks, and no part is lost. ``(key, volume)`` identifies
+    an archive.
     """
-    sized = parts.select(
+    spread = parts.select(
         F.col(key).alias("bundle"), F.col(name).alias("name"), F.col(data).alias("data"), F.col(order).alias("ord")
-    )
-    # Directory records count too, so a flood of tiny parts is cut as well.
-    stored_size = F.octet_length("data") + 2 * F.octet_length("name") + 76
-    volumes = (
-        sized.groupBy("bundle")
-        .agg(F.ceil(F.sum(stored_size) / volume_bytes).alias("volumes"))
-        .filter("volumes > 1")
-    )
-    spread = sized.join(volumes, "bundle", "left").withColumn(
-        "volume",
-        F.when(F.col("volumes").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64("name", "ord"), F.col("volumes")).cast("int")
-        ),
-    )
+    ).withColumn("volume", F.pmod(F.xxhash64("name", "ord"), F.lit(volumes)).cast("int"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ord", "name"], kind="stable")

@@ -14,10 +14,13 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SLOTS = [t.id for t in TRANSFORMS] + ["not-a-real-transform"]
 INPUT_TYPES = list(dict.fromkeys(t for t, _ in INPUTS))
 ORIGINS = ["agent", "human", "seeded"]
+# Note keys of the evidence.
 CLAIM_KEYS = [
     "inkParadox", "emptyOutput", "cellErrors", "qualityIgnored", "orderDiffers", "strideWarn",
     "emptyResult", "magicMismatch",
 ]
+# Names under which documents are stored: some of the default inputs, and one that is none.
+STORED_NAMES = ["xlsx-sales", "md-notes", "png-scan", "csv-sales", "txt-plain", "other"]
 SIGNATURE_HEX = [
     "89504E470D0A1A0A", "504B0304", "255044462D312E37", "FFD8FFE0", "474946383961",
     "0000002066747970617669660000", "", "3C3F786D6C20",
@@ -29,23 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan that is smaller than one split per core over all cores.
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table whose rows are about to be converted.
 
-    A small table usually sits in one file and would be converted by one task.
-    Anything larger keeps the splits of its scan: no shuffle is added.
+    Splits are those of the scan; where conversions cost more than reading, lower
+    ``spark.sql.files.maxPartitionBytes`` instead of shuffling the texts.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table whose rows are about to be converted, which is work per row and not per byte read."""
-    return spread(table(spark, sf_dir, name))
+    return table(spark, sf_dir, name)
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -88,7 +81,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("idx", (r - start).cast("int"))
         .withColumn("params", F.map_from_entries(F.filter(params, lambda p: p.isNotNull())))
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .select("chain_id", "idx", "tool_id", "params", "k", "event_id", "ts", "value")
+        .select("chain_id", "idx", "tool_id", "params", "k", "event_id", "event_type", "ts", "value")
     )
 
 

@@ -38,9 +38,13 @@ def drain(events: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def step_log_feed(spark: SparkSession, path: str, schema: T.StructType, transform) -> DataFrame:
-    """Drain the event files through ``transform`` into a step log in the shared folder, and read it back."""
-    home = f"{shared_folder(spark)}/step-log-{uuid.uuid4().hex}"
+def step_log_feed(spark: SparkSession, path: str, schema: T.StructType, transform, home: str | None = None) -> DataFrame:
+    """Drain the event files through ``transform`` into a step log below ``home``, and read it back.
+
+    Without ``home`` a new folder below the shared one is used; like other checkpoints it stays
+    until that folder is cleared, since the result reads from it.
+    """
+    home = home or f"{shared_folder(spark)}/step-log-{uuid.uuid4().hex}"
     drain(transform(read_events(spark, path, schema)), f"{home}/log", f"{home}/checkpoint")
     return spark.read.parquet(f"{home}/log").drop("batch")
 

@@ -76,10 +76,28 @@ def test_measured_basis_only_where_bytes_can_prove_it(spark):
     assert row.measured == {}
 
 
-def test_oversized_artifact_is_refused(spark):
-    df = spark.range(1).select(F.expr("cast(repeat('x', 400000) as binary)").alias("content"), F.lit("txt").alias("declared_type"))
+def test_large_artifact_is_measured(spark):
+    df = spark.range(1).select(F.expr("cast(repeat('x', 900000) as binary)").alias("content"), F.lit("png").alias("declared_type"))
     row = evidence.with_measurement(df).first()
-    assert row.error and row.measured is None
+    assert row.seen.type == "text" and set(row.measured) == {"magicMismatch"}
+
+
+def test_success_flags_are_audited(spark):
+    rows = [(True, b"", "pdf", 0), (True, PNG, "pdf", 2), (False, b"", "pdf", 2), (None, PNG, "pdf", 1), (True, PNG, "png", None)]
+    df = spark.createDataFrame(rows, "success boolean, content binary, declared_type string, errors_found int")
+    got = [set(r.notes) for r in evidence.success_audit(df).collect()]
+    assert got == [{"emptyOutput"}, {"magicMismatch", "cellErrors"}, set(), set(), set()]
+
+
+def test_types_of_the_caller_win(spark):
+    raw = ['[{"toolId":"my-reader","in":"pdf","out":"txt"}]', '["ocr",{"toolId":"my-tables","in":"txt","out":"csv-of-tables"}]', '["my-reader"]']
+    parsed = definitions.normalise_steps(spark.createDataFrame(list(enumerate(raw)), "id int, raw string"))
+    none = F.lit(None).cast("string")
+    rows = traps.score_chains(parsed.withColumns({"input_type": none, "output_type": none})).orderBy("id").collect()
+    assert [(r.score, [h.trap_id for h in r.hits]) for r in rows] == [(100, []), (70, ["T09"]), (70, ["T12"])]
+    assert rows[1].hits[0].lesson
+    long = parsed.select("id", F.posexplode("steps").alias("idx", "s")).select("id", "idx", "s.*")
+    assert [r.score for r in traps.score_steps(long, key="id").orderBy("id").collect()] == [100, 70, 70]
 
 
 def check(spark, steps, source, goal):
@@ -88,10 +106,10 @@ def check(spark, steps, source, goal):
 
 def test_missing_connector_names_the_fix(spark):
     row = check(spark, ["pdf-rasterize", "pdf-text", "summarize"], "pdf", "txt")
-    assert not row.ok and row.errors[0].kind == "missing-connector" and row.errors[0].fix == "insert ocr → … between step 1 and step 2"
+    assert not row.ok and row.errors[0].kind == "missing-connector" and row.errors[0].fix == "put ocr → … before step 2" and row.errors[0].bridge == "ocr → …"
     assert [w.kind for w in row.warnings] == ["simulated"]
     row = check(spark, ["text-md", "text-docx"], "txt", "docx")
-    assert row.errors[0].fix == "insert md-html → … between step 1 and step 2"
+    assert row.errors[0].fix == "put md-html → … before step 2"
 
 
 def test_sound_chain_and_warnings(spark):
@@ -154,8 +172,10 @@ def test_upload_errors_in_order(spark):
 
 def test_history_limit(spark):
     df = spark.createDataFrame([("0",), ("61",), ("2.5",), ("5",), (None,)], "n string")
-    codes = [r[0] for r in df.select(definitions.check_history_limit(F.col("n"))["code"]).collect()]
+    codes = [r[0] for r in df.select(definitions.check_history_limit(F.col("n"), 60)["code"]).collect()]
     assert codes == ["invalid_param"] * 3 + [None, None]
+    codes = [r[0] for r in df.select(definitions.check_history_limit(F.col("n"))["code"]).collect()]
+    assert codes == ["invalid_param", None, "invalid_param", None, None]
 
 
 @pytest.mark.parametrize(

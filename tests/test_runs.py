@@ -22,7 +22,7 @@ def test_failure_stops_one_document_only(spark):
     rows = {r.doc_id: r for r in runs.run_chain(given, ["summarize", "nope", "text-md"], "txt").collect()}
     for r in rows.values():
         assert not r.ok and [s.ok for s in r.log] == [True, False] and r.log[1].error == "unknown transform"
-    assert rows[1].notes == {"emptyResult": "summarised an empty input into an empty output"}
+    assert rows[1].notes == {"emptyResult": "nothing to summarise: the input is blank"}
     assert rows[0].text == "<p>a</p>\n"
 
 
@@ -33,14 +33,19 @@ def test_failed_run_keeps_the_failing_steps_input(spark):
     assert not row.ok and "magicMismatch" in row.claimed and "magicMismatch" in row.measured
 
 
-def test_renamed_image_is_measured(spark):
-    docs = spark.createDataFrame([(1, "png", bytearray(PNG))], "doc_id int, declared_type string, content binary")
-    result = runs.run_evidence(runs.run_chain(intake.load_documents(docs), ["rename-avif"], "png"))
-    steps = F.array(F.struct(F.lit("rename-avif").alias("tool_id"), F.expr("cast(map() as map<string,string>)").alias("params")))
-    row = traps.score_chains(
-        result.withColumns({"steps": steps, "input_type": F.lit("png"), "output_type": F.lit("png")})
-    ).first()
-    assert row.score == 40 and {h.trap_id: h.basis for h in row.hits} == {"T02": "plan", "T03": "plan", "T13": "measured"}
+def test_caller_claims_override_run_notes(spark):
+    big = bytearray(PNG + b"x" * 400_000)
+    docs = spark.createDataFrame([(1, "pdf", big)], "doc_id int, declared_type string, content binary")
+    done = runs.run_chain(intake.load_documents(docs), ["pdf-text"])
+    given = F.create_map(F.lit("magicMismatch"), F.lit("mine"), F.lit("cellErrors"), F.lit("2"), F.lit("off"), F.lit("false"))
+    row = runs.run_evidence(done.withColumn("claims", given)).first()
+    assert row.claimed == {"magicMismatch": "mine", "cellErrors": "2"} and set(row.measured) == {"magicMismatch"}
+
+
+def test_simulated_steps_have_no_executor(spark):
+    for tool in ("rename-avif", "xlsx-recalc", "office-text", "png-tables", "ocr"):
+        row = runs.run_chain(text_docs(spark, "x"), [tool], "txt").first()
+        assert not row.ok and row.log[0].error == f"no executor for {tool}"
 
 
 def test_long_chain_plans_quickly_and_filters(spark):
@@ -60,7 +65,7 @@ def test_clean_notes(spark):
     df = spark.range(1).select(
         F.create_map(F.lit("a" * 50), F.lit("v" * 200), F.lit("off"), F.lit("false"), F.lit("e"), F.lit(""), F.lit("a" * 41), F.lit("later")).alias("n")
     )
-    assert df.select(traps.clean_notes(F.col("n"))).first()[0] == {"a" * 40: "later"}
+    assert df.select(traps.clean_notes(F.col("n"))).first()[0] == {"a" * 50: "v" * 200, "a" * 41: "later"}
 
 
 def test_upsert_keeps_the_latest(spark):
@@ -106,6 +111,15 @@ def test_reading_order_on_a_hot_page(spark):
     assert flags == {k: v[0] != v[1] for k, v in want.items()}
 
 
+def test_runs_without_coordinates_stay(spark):
+    rows = [(1, 1, 0, None, 700.0, "a"), (1, 1, 1, 10.0, None, "b"), (1, 1, 2, 10.0, 700.0, "c"), (None, 1, 0, 1.0, 1.0, "d"), (1, 1, None, 5.0, 700.0, "e")]
+    df = spark.createDataFrame(rows, "doc_id int, page int, seq int, x double, y double, text string")
+    got = {r.text: r.visual_pos for r in reading_order.reading_positions(df).collect()}
+    assert got == {"e": 0, "c": 1, "a": 2, "b": 3, "d": 0}
+    assert sorted(r.stream_pos for r in reading_order.stream_positions(df).collect()) == [0, 0, 1, 2, 3]
+    assert reading_order.order_differs(df).count() == 2
+
+
 def test_hidden_text_is_found(spark):
     df = spark.createDataFrame([(1, 1, 0, 4800.0, 4600.0, "hidden"), (2, 1, 0, 54.0, 700.0, "seen")], "doc_id int, page int, seq int, x double, y double, text string")
     got = {r.doc_id: r.ink_paradox for r in reading_order.off_page_audit(df).collect()}
@@ -140,6 +154,15 @@ def test_scoring_reads_only_the_needed_columns(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_one_scan_where_one_is_enough(spark, sf_dir):
+    from platen.plans import QUERIES
+
+    for name, scans in (("trap_scores", 1), ("score_gap_by_origin", 1), ("verdict_changes", 1), ("step_list_parsing", 1), ("silent_empties", 1), ("order_differences", 1)):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == scans, name
+        assert plan.count("Exchange ") <= 3, name
+
+
 def test_run_tables(spark):
     log = spark.createDataFrame(
         [(1, 1, True, "a", "x"), (1, 2, False, "a", "y"), (1, 3, True, None, None), (2, 1, True, "b", "z")],

@@ -40,17 +40,30 @@ def test_wrap(spark):
     words = "lorem ipsum dolor " * 40
     lines = one(spark, words.strip() + "\n" + "x" * 120 + "\n\nend", txt.wrap_lines)
     assert lines == textwrap.wrap(words, 92) + ["x" * 120, "", "end"]
+    assert one(spark, "a  b " * 30 + "\t" + "c" * 20, txt.wrap_lines) == one(spark, "a  b " * 30 + "\t" + "c" * 20, lambda c: txt.wrap_lines(c))
+    mixed = "short " + "w" * 130 + " tail words" * 12
+    assert one(spark, mixed, txt.wrap_lines) == textwrap.wrap(mixed, 92, break_long_words=False)
+
+
+def test_long_texts_are_wrapped_in_linear_time(spark):
+    df = spark.range(1).select(F.repeat(F.lit("lorem ipsum "), 500_000).alias("s"))
+    assert df.select(F.size(txt.wrap_lines(F.rtrim(F.col("s"))))).first()[0] > 60_000
+
+
+def test_crafted_markup_stays_a_row(spark):
+    assert md_of(spark, "\0PRE99999999999\0<p>x</p>") == "x\n"
 
 
 MD = "\n".join(
-    ["# Retro", "", "What the **48 hour** audit:", "", "- one", "tail", "- [c](https://e.test/r)", "1. x", "", "## Next", "",
-     "| step | verdict |", "| --- | --- |", "| a | 0 |", "", "```", "p = <q>", "```", "[z](javascript:1)"]
+    ["### Ferry notes", "Boats leave *hourly*", "from `pier <2>`.", "", "* bread", "+ milk", "still milk", "2) pay **now**", "",
+     "|port|depth|", "|:--|--:|", "| Elb & Co | [map](/charts) |", "", "```sh", "ls -l | wc", "```", "Ask [them](ftp://x.test)"]
 )
 HTML = (
-    "<h1>Retro</h1>\n<p>What the <strong>48 hour</strong> audit:</p>\n<ul>\n<li>one</li>\n<p>tail</p>\n"
-    '<li><a href="https://e.test/r">c</a></li>\n</ul>\n<ol>\n<li>x</li>\n</ol>\n<h2>Next</h2>\n<table><thead>\n'
-    "<tr><th>step</th><th>verdict</th></tr>\n</thead><tbody>\n<tr><td>a</td><td>0</td></tr>\n</tbody></table>\n"
-    '<pre><code>p = &lt;q&gt;</code></pre>\n<p><a href="#">z</a></p>'
+    "<h3>Ferry notes</h3>\n<p>Boats leave <em>hourly</em> from <code>pier &lt;2&gt;</code>.</p>\n<ul>\n<li>bread</li>\n<li>milk</li>\n"
+    "<p>still milk</p>\n</ul>\n<ol>\n<li>pay <strong>now</strong></li>\n</ol>\n<table><thead>\n"
+    "<tr><th>port</th><th>depth</th></tr>\n</thead><tbody>\n"
+    '<tr><td>Elb &amp; Co</td><td><a href="/charts">map</a></td></tr>\n</tbody></table>\n'
+    '<pre><code>ls -l | wc</code></pre>\n<p>Ask <a href="#">them</a></p>'
 )
 
 
@@ -109,11 +122,12 @@ def test_numbers(spark, value, ok):
     assert one(spark, value, txt.is_numeric_cell) is bool(ok)
 
 
-@pytest.mark.parametrize("letters,index", [("A", 0), ("Z", 25), ("AA", 26), ("BC", 54), ("ZZ", 701), ("AAA", 702), ("XFD", 16383)])
+@pytest.mark.parametrize("letters,index", [("A", 0), ("Z", 25), ("AA", 26), ("BC", 54), ("ZZ", 701), ("AAA", 702), ("XFD", 16383), ("ZZZ", 18277), ("AAAA", 18278), ("ABCDEF", 12850895)])
 def test_letters(spark, letters, index):
     assert one(spark, letters, txt.column_index) == index
     df = spark.createDataFrame([(index,)], "i int")
     assert df.select(txt.column_letters(F.col("i"))).first()[0] == letters
+    assert one(spark, "A" * 14, txt.column_index) is None
 
 
 def test_long_inputs_do_not_exhaust_the_stack(spark):
