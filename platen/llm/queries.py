@@ -55,9 +55,8 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    cut = pack.pieces(docs, public_tokenizers.path(BYTE_VOCABULARY))
-    slim = cut.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack.pack(slim).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    cut = pack.pieces(docs, public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN, ids=False)
+    return pack.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

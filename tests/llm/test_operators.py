@@ -257,14 +257,25 @@ def test_packing_odd_rows(spark, odd_docs, odd_rows):
     assert not seen
 
 
-def test_encoder_pieces_are_the_whole():
+def test_encoder_gives_the_ids_of_tokenizers():
     tok = brute.tokenizer(queries.BYTE_VOCABULARY)
-    encoder = pack.Encoder(public_tokenizers.path(queries.BYTE_VOCABULARY))
+    encoder = pack.Encoder(public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    same = lambda t: encoder.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
     rng = random.Random(4)
-    alphabet = ["a", "B", "é", "́", " ", "  ", "\n", "\t", "'", "'s", "1", "!", "字", "<|endoftext|>", " ", "\x1c", " "]
+    alphabet = ["a", "B", "é", "\u0301", " ", "  ", "\n", "\t", "'", "'s", "1", "!", "字", "<|endoftext|>", "\u00a0", "\x1c", "\x85", "\u2003"]
     for _ in range(500):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+        assert same(text), repr(text)
+    for c in map(chr, range(pack.SETTLED + 40)):
+        assert same(f"a{c}b {c}{c} 1{c}2\n{c} {c}'s!{c}") and same(c * 3), repr(c)
+
+
+def test_pieces_carry_their_ids(spark):
+    df = spark.createDataFrame([(1, "some words " * 30), (None, None)], "doc_id long, text string")
+    got = pack.pieces(df, public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN, tokens=16).orderBy("row", "piece").collect()
+    ids = [np.frombuffer(r.ids, "<u4") for r in got]
+    assert np.concatenate(ids[:-1]).tolist() == brute.tokenizer(queries.BYTE_VOCABULARY).encode("some words " * 30).ids + [0]
+    assert ids[-1].tolist() == [0] and all(len(i) == r.length for i, r in zip(ids, got))
 
 
 @pytest.mark.parametrize("rule", ["dot", "norm"])
