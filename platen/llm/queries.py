@@ -77,12 +77,56 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_source_mix": r"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), sums AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
+                   ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w
+            FROM docs GROUP BY source
+        ), levels AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
+            FROM sums WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), targets AS (
+            SELECT source AS s, source_size,
+                   least(cap, coalesce((SELECT level FROM levels WHERE level <= cap / w ORDER BY cap / w, source NULLS LAST LIMIT 1) * w, cap)) AS target
+            FROM levels
+        ), plan AS (
+            SELECT *, greatest(target - whole * source_size, 0) AS need, coalesce(greatest(target - whole * source_size, 0) / nullif(source_size, 0), 0) AS part
+            FROM (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::INTEGER AS whole FROM targets)
+        ), drawn AS (
+            SELECT *, (('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), size::VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
+            FROM docs JOIN plan ON s IS NOT DISTINCT FROM source
+        ), ranked AS (
+            SELECT *, row_number() OVER o AS rn, sum(size) OVER o AS upto
+            FROM (SELECT *, u * (1 - part) / (u * (1 - part) + part * (1 - u)) AS v FROM drawn)
+            WINDOW o AS (PARTITION BY source ORDER BY v, doc_id NULLS LAST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        ), heads AS (
+            SELECT source AS h, coalesce(max(rn) FILTER (upto <= need), 0) AS head, coalesce(max(upto) FILTER (upto <= need), 0) AS used, max(need) AS need
+            FROM ranked GROUP BY source
+        ), fill AS (
+            SELECT h, head, 0 AS k, (need - used)::DOUBLE AS missing, false AS taken, 0::BIGINT AS size FROM heads
+            UNION ALL
+            SELECT f.h, head, f.k + 1, CASE WHEN c.size <= missing THEN missing - c.size ELSE missing END, c.size <= missing, c.size
+            FROM fill f JOIN ranked c ON c.source IS NOT DISTINCT FROM f.h AND c.rn = head + k + 1 WHERE f.k < 64
+        ), ends AS (
+            SELECT h, head, arg_max(missing, k) AS missing, min((size, k)) FILTER (k > 0 AND NOT taken) AS least FROM fill GROUP BY ALL
+        ), picked AS (
+            SELECT h, head + k AS rn FROM fill WHERE taken
+            UNION ALL SELECT h, head + least[2] FROM ends WHERE least[1] < 2 * missing
+        )
+        SELECT doc_id, size, source_size, target, source, whole + (rn <= head OR p IS NOT NULL)::INTEGER AS copies,
+               ((whole + (rn <= head OR p IS NOT NULL)::INTEGER) * size)::BIGINT AS taken
+        FROM ranked JOIN heads ON h IS NOT DISTINCT FROM source
+        LEFT JOIN (SELECT h AS ph, rn AS p FROM picked) ON ph IS NOT DISTINCT FROM source AND p = rn
+    """,
     "op2_exact_top_k": """
         WITH v AS (
-            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), s AS (
             SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v)
@@ -97,7 +141,7 @@ ORACLES = {
             SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn, role, text) AS t
             FROM conversations GROUP BY conv_id
         ), own AS (
-            SELECT conv_id, t, len(t) - nullif(list_position(list_reverse(list_transform(t, x -> x.role)), 'assistant'), 0) + 1 AS at
+            SELECT conv_id, t, len(t) - nullif(list_position(list_reverse([x.role FOR x IN t]), 'assistant'), 0) + 1 AS at
             FROM conv
         ), pair AS (
             SELECT a.conv_id AS pair_id, a.t AS c,
@@ -105,28 +149,37 @@ ORACLES = {
                         WHEN b.at IS NULL THEN a.t[:a.at - 1] || a.t[a.at + 1:]
                         ELSE a.t[:a.at - 1] || [struct_pack(role := 'assistant', text := b.t[b.at].text)] || a.t[a.at + 1:] END AS r
             FROM own a LEFT JOIN own b ON b.conv_id <> a.conv_id AND b.conv_id // 2 = a.conv_id // 2
-        ), marked AS (
-            SELECT pair_id, i, s, CASE WHEN s = 1 THEN c[i] ELSE r[i] END AS x,
-                   '<|turn|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|end|>' || chr(10) AS said
-            FROM (SELECT pair_id, c, r, s, unnest(range(1, 1 + CASE WHEN s = 1 THEN len(c) ELSE len(r) END)) AS i
-                  FROM pair, (VALUES (1), (2)) v(s))
+        ), sides AS (
+            SELECT pair_id, s, unnest(CASE WHEN s = 1 THEN c ELSE r END) AS turn,
+                   unnest(range(1, 1 + CASE WHEN s = 1 THEN len(c) ELSE len(r) END)) AS i
+            FROM (SELECT pair_id, c, r, s FROM pair, (VALUES (1), (2)) v(s))
+        ), said AS (
+            SELECT pair_id, s, i, turn.role AS role,
+                   '<|turn|>' || replace(turn.role, '<|', '< |') || chr(10) || replace(turn.text, '<|', '< |') || '<|end|>' || chr(10) AS line
+            FROM sides
+        ), differ AS (
+            SELECT pair_id, min(i) FILTER (WHERE n = 1 OR n_turns = 2) AS first_other, max(i) AS longest
+            FROM (SELECT pair_id, i, count(*) AS n, count(DISTINCT turn) AS n_turns FROM sides GROUP BY ALL) GROUP BY pair_id
         ), common AS (
-            SELECT pair_id, coalesce(min(i), greatest(len(any_value(c)), len(any_value(r))) + 1) - 1 AS n
-            FROM (SELECT pair_id, c, r, unnest(range(0, 1 + greatest(len(c), len(r)))) AS k, nullif(k, 0) AS j,
-                         CASE WHEN k > 0 AND c[k] IS DISTINCT FROM r[k] THEN k END AS i FROM pair) GROUP BY pair_id
+            SELECT pair_id, c, r, coalesce(first_other, longest + 1, 1) - 1 AS n FROM pair LEFT JOIN differ USING (pair_id)
         ), laid AS (
-            SELECT m.*, n, i > n AS own, sum(CASE WHEN i > n THEN length(said) ELSE 0 END) OVER (PARTITION BY m.pair_id, s ORDER BY i) AS stop
-            FROM marked m JOIN common USING (pair_id)
+            SELECT said.*, n, i > n AS own,
+                   sum(CASE WHEN i > n THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, s ORDER BY i) AS stop
+            FROM said JOIN common USING (pair_id)
+        ), glued AS (
+            SELECT pair_id,
+                   string_agg(line, '' ORDER BY i) FILTER (s = 1 AND NOT own) AS prompt,
+                   string_agg(line, '' ORDER BY i) FILTER (s = 1 AND own) AS chosen,
+                   string_agg(line, '' ORDER BY i) FILTER (s = 2 AND own) AS rejected,
+                   string_agg(((stop - length(line) + 18)::BIGINT) || ':' || ((stop - 1)::BIGINT), ',' ORDER BY i)
+                       FILTER (s = 1 AND own AND role = 'assistant') AS chosen_mask,
+                   string_agg(((stop - length(line) + 18)::BIGINT) || ':' || ((stop - 1)::BIGINT), ',' ORDER BY i)
+                       FILTER (s = 2 AND own AND role = 'assistant') AS rejected_mask
+            FROM laid GROUP BY pair_id
         )
-        SELECT pair_id, any_value(n)::INTEGER AS n_common,
-               coalesce(string_agg(said, '' ORDER BY i) FILTER (s = 1 AND NOT own), '') AS prompt,
-               coalesce(string_agg(said, '' ORDER BY i) FILTER (s = 1 AND own), '') AS chosen,
-               coalesce(string_agg(said, '' ORDER BY i) FILTER (s = 2 AND own), '') AS rejected,
-               coalesce(string_agg((stop - length(said) + 18)::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY i)
-                        FILTER (s = 1 AND own AND x.role = 'assistant'), '') AS chosen_mask,
-               coalesce(string_agg((stop - length(said) + 18)::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY i)
-                        FILTER (s = 2 AND own AND x.role = 'assistant'), '') AS rejected_mask,
-               count(*) FILTER (s = 1 AND own)::INTEGER AS n_chosen, count(*) FILTER (s = 2 AND own)::INTEGER AS n_rejected
-        FROM laid GROUP BY pair_id
+        SELECT pair_id, n::INTEGER AS n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
+               coalesce(rejected, '') AS rejected, coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_mask, '') AS rejected_mask,
+               (len(c) - n)::INTEGER AS n_chosen, (len(r) - n)::INTEGER AS n_rejected
+        FROM common LEFT JOIN glued USING (pair_id)
     """,
 }
