@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}  # folders of local sessions that name none
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(SETTING, folder)
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
