@@ -48,6 +48,7 @@ NAMED = re.compile(
     re.I,
 )
 BLANK = re.compile(r"\s+")
+NAME_ONLY = 2  # dropped, unless the article stands inside
 
 
 class Node:
@@ -111,18 +112,32 @@ class Tree(HTMLParser):
             node = node.parent
 
     @staticmethod
-    def _dropped(tag: str, named: dict) -> bool:
+    def _dropped(tag: str, named: dict) -> bool | int:
         if tag in DROPPED or "hidden" in named or named.get("aria-hidden") == "true" or named.get("role", "").lower() in ROLES:
             return True
         if tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "pre", "code"):
             return False
-        return bool(NAMED.search(named.get("class", "")) or NAMED.search(named.get("id", ""))) or bool(
-            re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", ""), re.I)
-        )
+        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", ""), re.I):
+            return True
+        return NAME_ONLY if NAMED.search(named.get("class", "")) or NAMED.search(named.get("id", "")) else False
+
+
+def _holds_article(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        item = todo.pop()
+        if item.tag in ("article", "main"):
+            return True
+        todo += [c for c in item.children if isinstance(c, Node)]
+    return False
 
 
 def _walk(root: Node) -> list[Node]:
-    """Kept nodes, parents first. A header is dropped unless it stands inside an article."""
+    """Kept nodes, parents first.
+
+    A header is dropped unless it stands inside an article, and an element dropped for its name
+    alone is kept if the article stands inside it (a page "with-sidebar").
+    """
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -132,6 +147,8 @@ def _walk(root: Node) -> list[Node]:
             if isinstance(child, Node):
                 if child.tag == "header" and not inside:
                     child.drop = True
+                if child.drop == NAME_ONLY and _holds_article(child):
+                    child.drop = False
                 if not child.drop:
                     todo.append((child, inside))
     return out

@@ -30,6 +30,11 @@ def test_without_article_element():
     assert len(blocks) == 4 and all(b.startswith("some words") for b in blocks)
 
 
+def test_page_named_after_its_sidebar():
+    page = '<body class="x"><div class="has-sidebar"><article><p>Kept text of the article.</p></article><div class="sidebar"><p>not this</p></div></div></body>'
+    assert html_main.main_text(page) == "Kept text of the article."
+
+
 def test_odd_pages():
     for page in (None, "", "<", "<p", "<!-- only", "</p></div>", "<script>x"):
         assert html_main.main_text(page) == "" or "<" in page
