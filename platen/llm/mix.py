@@ -67,6 +67,16 @@ def _fill(left: Column, rest: Column) -> Column:
     return F.aggregate(rest, start, step, close)
 
 
+SALTS = 64
+
+
+def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Left join of rows with the one row of their source (``s``): each source is cut by row, so no task gets a whole one."""
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.pmod(F.xxhash64("row"), F.lit(SALTS)) == F.col("_salt"))
+    return rows.join(salted, same, "left").drop("s", "_salt")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, buckets: int = 65_536, fill_from: int = 64, seed: str = "mix",
@@ -99,7 +109,7 @@ def mix(
     )
     u, p = F.col("u"), F.col("part")
     ranked = (
-        base.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        _by_source(base, plan)
         .withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size")))
         # Odds of u over odds of the inclusion probability, brought from (0, inf) to (0, 1).
         .withColumn("v", u * (1 - p) / (u * (1 - p) + p * (1 - u)))
@@ -114,24 +124,24 @@ def mix(
         .agg(
             F.min(F.when(F.col("over"), F.col("bucket"))).alias("first"),
             F.max(F.when(~F.col("over"), F.col("after"))).alias("sure"),
-            F.max(F.when(~F.col("over"), F.col("n_after"))).alias("n_sure"),
+            F.min(F.when(F.col("over"), F.col("n_after"))).alias("n_first"),
             F.max("need").alias("need"),
         )
-        .select("source", "first", (F.col("need") - F.coalesce("sure", F.lit(0))).alias("open"), F.coalesce("n_sure", F.lit(0)).alias("n_sure"))
+        .select("source", "first", (F.col("need") - F.coalesce("sure", F.lit(0))).alias("open"), "n_first")
         .withColumnRenamed("source", "s")
     )
-    # The last range to look at: where enough documents for the fill have been passed.
+    # The last range to look at: where enough documents for the fill have been passed after the first.
     last = (
         sums.withColumn("n_after", F.sum("n").over(along)).join(edges, F.col("source").eqNullSafe(F.col("s")))
         .where((F.col("bucket") >= F.col("first")))
         .groupBy("source")
         .agg(
             F.first("first").alias("first"), F.first("open").alias("open"),
-            F.coalesce(F.min(F.when(F.col("n_after") - F.col("n_sure") >= fill_from, F.col("bucket"))), F.max("bucket")).alias("last"),
+            F.coalesce(F.min(F.when(F.col("n_after") - F.col("n_first") >= fill_from, F.col("bucket"))), F.max("bucket")).alias("last"),
         )
         .withColumnRenamed("source", "s")
     )
-    placed = ranked.join(keep(last), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    placed = _by_source(ranked, keep(last))
     clear = placed.where("first is null or bucket < first or bucket > last").withColumn(
         "drawn", (F.col("first").isNull() & (F.col("need") > 0)) | F.coalesce(F.col("bucket") < F.col("first"), F.lit(False))
     )

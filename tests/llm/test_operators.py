@@ -84,7 +84,8 @@ def test_mix(spark, sf_dir, odd_docs, odd_rows, buckets, fill):
             free = [r.size for r in got if r.source == s and r.size]
             if fill == 64 and once < 3:
                 assert abs(target - taken[s]) <= max(min(free, default=0), 1) or len(free) > 1 and abs(target - taken[s]) <= 0.05 * target
-        assert sorted(map(str, mixed_rows(df, buckets=buckets, fill_from=fill))) == sorted(map(str, got))
+        # The number of ranges is a matter of speed alone.
+        assert sorted(map(str, mixed_rows(df, buckets=7, fill_from=fill))) == sorted(map(str, got))
     assert mix.mix(odd_docs.limit(0)).count() == 0
 
 
