@@ -2,9 +2,10 @@
 
 A page becomes a small tree. Every node has a density: characters per tag, lowered where much of
 the text stands in links. The density sum of a node is the sum of its children's densities, and
-the node with the largest sum holds the article. The least density on its path from the body is
-the threshold: the article is widened to ancestors that reach it, and inside the article link-rich
-blocks below it are left out. Elements that say themselves that they are no article text
+the node with the largest sum holds the article. What stands beside it or beside its ancestors is
+article only where it reads like it: headings before it, paragraphs and parts of like density. The
+least density on its path from the body is the threshold below which link-rich blocks inside the
+article are left out. Elements that say themselves that they are no article text
 (navigation, forms, notices, comments) are taken out before the densities are computed.
 """
 
@@ -49,13 +50,17 @@ NAMED = re.compile(
 )
 BLANK = re.compile(r"\s+")
 NAME_ONLY = 2  # dropped, unless the article stands inside
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PARAGRAPHS = frozenset("p blockquote pre ul ol dl figure".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = (
+        "tag", "parent", "children", "drop", "name", "bare", "chars", "tags", "link_chars", "link_tags", "density", "total", "block", "parts", "body",
+    )
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, name: str = ""):
+        self.tag, self.parent, self.drop, self.name = tag, parent, drop, name
         self.children: list[Node | str] = []
 
 
@@ -79,7 +84,7 @@ class Tree(HTMLParser):
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         named = {k: v or "" for k, v in attrs}
-        node = Node(tag, self.at, self._dropped(tag, named))
+        node = Node(tag, self.at, self._dropped(tag, named), named.get("class", ""))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -154,42 +159,126 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite density of text with so many characters and tags, and of them in links."""
+    if not c:
+        return 0.0
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    inner = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+    return c / max(t, 1) * math.log(max(inner, 1.0)) / math.log(max(base, math.e))
+
+
+def _bare(children: list) -> int:
+    return sum(len(BLANK.sub(" ", c).strip()) for c in children if isinstance(c, str))
+
+
+def _own(node: Node, share: float) -> float:
+    """Density of the text that stands in a node itself or in inline elements."""
+    inline = [c for c in node.children if isinstance(c, Node) and not c.drop and not c.block]
+    c = node.bare + sum(x.chars for x in inline)
+    t = sum(1 + x.tags for x in inline)
+    if node.tag == "a":
+        return _composite(c, t, c, 1 + t, share)
+    return _composite(c, t, sum(x.link_chars for x in inline), sum(x.link_tags for x in inline), share)
+
+
 def measure(root: Node) -> list[Node]:
-    """Fill in the counts, composite densities and density sums of all kept nodes."""
+    """Fill in the counts, composite densities and density sums of all kept nodes.
+
+    The text of a node outside its blocks counts as one block, so the sum of a node without blocks
+    is its density. ``parts`` and ``body`` are the blocks with text besides headings, and their sum.
+    """
     nodes = _walk(root)
     for node in reversed(nodes):
         kept = [c for c in node.children if isinstance(c, Node) and not c.drop]
-        node.chars = sum(len(BLANK.sub(" ", c).strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in kept)
+        node.bare = _bare(node.children)
+        node.chars = node.bare + sum(c.chars for c in kept)
         node.tags = sum(1 + c.tags for c in kept)
+        node.block = node.tag not in INLINE or any(c.block for c in kept)
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, 1 + sum(c.tags for c in kept)
         else:
             node.link_chars, node.link_tags = sum(c.link_chars for c in kept), sum(c.link_tags for c in kept)
     share = root.link_chars / max(root.chars, 1)
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        inner = c / max(lc, 1) * t / max(lt, 1)
-        node.density = c / t * math.log(max(inner, 1.0)) / math.log(max(base, math.e)) if c else 0.0
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.drop)
+        node.density = _composite(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        own = _own(node, share)
+        inner = [x for x in node.children if isinstance(x, Node) and not x.drop and x.block and x.chars]
+        node.total = own + sum(x.density for x in inner)
+        rest = [x.density for x in inner if x.tag not in HEADINGS] + ([own] if own else [])
+        node.parts, node.body = len(rest), sum(rest)
     return nodes
 
 
-def article(root: Node) -> tuple[Node, float]:
-    """The subtree that holds the article, and the threshold of its path."""
+def _inner(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and not c.drop and c.block and c.chars]
+
+
+def _joins(item: Node, beside: Node, best: Node, before: bool) -> bool:
+    """Whether a block beside the article, or beside an ancestor of it, belongs to the article."""
+    if before and (item.tag in HEADINGS or (_inner(item) and all(c.tag in HEADINGS for c in _inner(item)) and not item.parts)):
+        return True
+    if item.link_chars > 0.5 * item.chars or not item.parts and item.tag not in HEADINGS:
+        return False
+    alike = item.parts and item.body / item.parts >= best.body / max(best.parts, 1) / 2
+    if item.tag in PARAGRAPHS:
+        return bool(alike)
+    if not _inner(item):
+        return False
+    twin = item.tag == beside.tag and item.name == beside.name
+    return bool(alike and (twin or item.parts > 1 and item.body >= best.body / 4))
+
+
+def article(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the article, in page order, and the threshold of the path."""
     nodes = measure(root)
-    best = max(nodes, key=lambda n: n.total)
+    share = root.link_chars / max(root.chars, 1)
+    best = max((n for n in nodes if n.block), key=lambda n: n.total)
     if best.total == 0:
         best = root
     path = [best]
+    while path[-1].parent:
+        path.append(path[-1].parent)
+    # An element that says it is the article is whole.
+    said = [n for n in path if n.tag == "article"]
+    best = said[-1] if said else best
+    # A part that outweighs all beside it is the article; what joins it comes back below.
+    while best.tag != "article" and (inner := [c for c in _inner(best) if _inner(c)]):
+        first = max(inner, key=lambda c: c.total)
+        beside = sum(c.total for c in _inner(best) if c is not first) + _own(best, share)
+        if first.total <= beside:
+            break
+        best = first
+    path = [best]
     while path[-1].parent:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    # Headings and short blocks beside the densest block belong to it: widen while the density holds.
-    for node in path:
-        if node.density >= threshold:
-            best = node
-    return best, threshold
+    before: list[Node] = []
+    after: list[Node] = []
+    for child, node in zip(path, path[1:]):
+        sides: list[list[Node]] = [[], []]
+        side, run = 0, []
+        for c in [*node.children, None]:
+            if isinstance(c, str) or (c is not None and c is not child and not c.drop and not c.block):
+                run.append(c)
+                continue
+            if run:
+                # Text between blocks counts as a paragraph.
+                loose = Node("p", None)
+                loose.children, loose.bare = run, _bare(run)
+                loose.chars = loose.bare + sum(x.chars for x in run if isinstance(x, Node))
+                loose.link_chars = sum(x.link_chars for x in run if isinstance(x, Node))
+                loose.density = _own(loose, share)
+                loose.parts, loose.body = bool(loose.density), loose.density
+                run = []
+                if loose.chars and _joins(loose, child, best, side == 0):
+                    sides[side].append(loose)
+            if c is child:
+                side = 1
+            elif c is not None and not c.drop and c.chars and _joins(c, child, best, side == 0):
+                sides[side].append(c)
+        before, after = sides[0] + before, after + sides[1]
+    return [*before, best, *after], threshold
 
 
 def blocks(node: Node, threshold: float) -> list[str]:
@@ -225,8 +314,8 @@ def main_text(html: str | None) -> str:
     """The article of one page, blocks joined by an empty line; empty if there is none."""
     if not html:
         return ""
-    best, threshold = article(Tree(html).root)
-    return "\n\n".join(blocks(best, threshold))
+    found, threshold = article(Tree(html).root)
+    return "\n\n".join(text for node in found for text in blocks(node, threshold))
 
 
 def extract(

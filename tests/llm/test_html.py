@@ -35,6 +35,25 @@ def test_page_named_after_its_sidebar():
     assert html_main.main_text(page) == "Kept text of the article."
 
 
+STORY = "".join(f"<p>{f'Sentence {i} of the story goes on here, and on. ' * (4 + i % 3)}</p>" for i in range(5))
+
+
+def test_unnamed_blocks_beside_the_article():
+    comment = "A long reader comment that goes on about the story. " * 5
+    page = f"""<body><div class="top"><p>Welcome to our site</p></div><div class="w"><div class="b1"><h1>The title</h1><div class="t">{STORY}</div></div>
+<table><tr><td>Call us at any time</td></tr></table><div class="box3">{comment}</div></div><div class="bottom"><p>(c) 2024 All rights reserved</p></div></body>"""
+    blocks = html_main.main_text(page).split("\n\n")
+    assert blocks[0] == "The title" and len(blocks) == 6 and all(b.startswith("Sentence") for b in blocks[1:])
+
+
+def test_parts_of_one_article():
+    lead = "Lead words that open the story. " * 6
+    page = f"""<body><div class="a"><h1>Title</h1><p>{lead}</p><div class="sec">{STORY}</div><div class="sec"><h2>More</h2><p>{lead}</p></div>
+{lead}</div><div class="b"><p>Printed in Ghent</p></div></body>"""
+    blocks = html_main.main_text(page).split("\n\n")
+    assert [b.split()[0] for b in blocks] == ["Title", "Lead", *["Sentence"] * 5, "More", "Lead", "Lead"]
+
+
 def test_odd_pages():
     for page in (None, "", "<", "<p", "<!-- only", "</p></div>", "<script>x"):
         assert html_main.main_text(page) == "" or "<" in page
