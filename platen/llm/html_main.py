@@ -15,6 +15,7 @@ import math
 import re
 import sys
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,14 +44,21 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
+# A name counts if it is made of these words, with words of layout at most: "related-posts" does, "related-work" does not.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu|"
-    r"breadcrumbs?|side-?bar|foot(?:er)?|masthead|comments?|respond|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|notice|alert)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu|"
+    r"breadcrumbs?|side-?bar|foot(?:er)?|masthead|comments?|respond|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|notice|alert)",
     re.I,
 )
+LAYOUT = frozenset(
+    "area bar body block bottom box button buttons col column container content count entry form global group head heading holder icon icons inner item items js left link "
+    "links list lists main outer page panel post posts primary right row secondary section site slot space story stories article articles sub the this title to toggle top unit us wrap wrapper".split()
+)
+SIDE = re.compile(r"side-bar", re.I)
 BLANK = re.compile(r"\s+")
 NAME_ONLY = 2  # dropped, unless the article stands inside
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+NAME_TURNS = 4  # so often one more level of named elements is opened
 PARAGRAPHS = frozenset("p blockquote pre ul ol dl figure".split())
 
 
@@ -124,25 +132,22 @@ class Tree(HTMLParser):
             return False
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", ""), re.I):
             return True
-        return NAME_ONLY if NAMED.search(named.get("class", "")) or NAMED.search(named.get("id", "")) else False
+        return NAME_ONLY if _named(named.get("class", "")) or _named(named.get("id", "")) else False
 
 
-def _holds_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        item = todo.pop()
-        if item.tag in ("article", "main"):
+@lru_cache(65_536)
+def _named(names: str) -> bool:
+    """Whether one of the names says that an element is no article text."""
+    for name in SIDE.sub("sidebar", names).split():
+        words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
+        listed = [w for w in words if NAMED.fullmatch(w)]
+        if listed and all(w in listed or w.lower() in LAYOUT for w in words):
             return True
-        todo += [c for c in item.children if isinstance(c, Node)]
     return False
 
 
 def _walk(root: Node) -> list[Node]:
-    """Kept nodes, parents first.
-
-    A header is dropped unless it stands inside an article, and an element dropped for its name
-    alone is kept if the article stands inside it (a page "with-sidebar").
-    """
+    """Kept nodes, parents first. A header is dropped unless it stands inside an article."""
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -152,13 +157,61 @@ def _walk(root: Node) -> list[Node]:
             if isinstance(child, Node):
                 if child.tag == "header" and not inside:
                     child.drop = True
-                if child.drop == NAME_ONLY and _holds_article(child):
-                    child.drop = False
                 if not child.drop:
                     todo.append((child, inside))
     return out
 
 
+def _settle_names(root: Node) -> None:
+    """Keep elements dropped for their name alone if the article stands inside them.
+
+    It does if an element inside says so, or if what is left without the named elements is slight
+    (under a quarter of the density sum) beside what one of them holds, as in a page "sidebar".
+    """
+    every, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and c.drop in (False, NAME_ONLY)]
+    named = [n for n in every if n.drop == NAME_ONLY]
+    if not named:
+        return
+    said = {id(n) for n in every if n.tag in ("article", "main")}
+    for node in reversed(every):
+        if id(node) in said and node.parent:
+            said.add(id(node.parent))
+    for node in named:
+        if id(node) in said:
+            node.drop = False
+    # Beside an <article> a named element is never the article, inside of one it may be.
+    articles = {id(n) for n in every if n.tag == "article"}
+    if articles:
+        for node in every:
+            if node.parent and id(node.parent) in articles:
+                articles.add(id(node))
+        named = [n for n in named if id(n) in articles]
+    for turn in range(NAME_TURNS):
+        named = [n for n in named if n.drop]
+        if not named:
+            return
+        left = max(n.total for n in measure(root) if n.block)
+        for node in named:
+            node.drop = False
+        top = max((n for n in measure(root) if n.block), key=lambda n: n.total)
+        for node in named:
+            node.drop = NAME_ONLY
+        above, node = [], top
+        while node:
+            if node.drop:
+                above.append(node)
+            node = node.parent
+        if not above or left >= top.total / 4:
+            return
+        # The outermost first: comments inside a page so named are still no article.
+        for node in above if turn == NAME_TURNS - 1 else above[-1:]:
+            node.drop = False
+
+
 def _composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
     """Composite density of text with so many characters and tags, and of them in links."""
     if not c:
@@ -231,6 +284,7 @@ def _joins(item: Node, beside: Node, best: Node, before: bool) -> bool:
 
 def article(root: Node) -> tuple[list[Node], float]:
     """The subtrees that hold the article, in page order, and the threshold of the path."""
+    _settle_names(root)
     nodes = measure(root)
     share = root.link_chars / max(root.chars, 1)
     best = max((n for n in nodes if n.block), key=lambda n: n.total)

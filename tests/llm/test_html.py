@@ -54,6 +54,22 @@ def test_parts_of_one_article():
     assert [b.split()[0] for b in blocks] == ["Title", "Lead", *["Sentence"] * 5, "More", "Lead", "Lead"]
 
 
+def test_names_are_evidence_only():
+    story = html_main.main_text(STORY)
+    for name in ("content has-sidebar", "page with-nav", "sidebar", "menu", "page share"):
+        assert html_main.main_text(f'<body><div class="{name}">{STORY}</div><div class="b"><p>Printed in Ghent</p></div></body>') == story, name
+    for outer in ("main", "article"):
+        assert html_main.main_text(f'<body><{outer}><div class="page share">{STORY}</div></{outer}></body>') == story, outer
+    for name in ('section id="related-work"', 'div class="social-history"', 'div class="notice-text"'):
+        page = f'<body><div>{STORY}<{name}><p>More of it.</p></{name.split()[0]}></div></body>'
+        assert html_main.main_text(page) == f"{story}\n\nMore of it.", name
+    for name in ("related-posts", "side-bar", "ad-slot-3", "cookie-notice", "navbar", "share"):
+        assert html_main.main_text(f'<body><div>{STORY}<div class="{name}"><p>More of it.</p></div></div></body>') == story, name
+    thread = "<p>I liked it, and I will say why at some length here.</p>" * 6
+    page = f'<body><div class="sidebar"><div>{STORY}</div><div class="comments">{thread}</div></div></body>'
+    assert html_main.main_text(page) == story
+
+
 def test_odd_pages():
     for page in (None, "", "<", "<p", "<!-- only", "</p></div>", "<script>x"):
         assert html_main.main_text(page) == "" or "<" in page
