@@ -3,9 +3,11 @@
 Strong patterns are reported wherever they match. Weak candidates (an account name, a token-like
 string, an endpoint) are common in clean text, so they are reported only where complementary parts
 meet: a token-like string beside an identifier or an endpoint, an identifier or an endpoint beside
-a token-like or strong secret. Parts are points on the text of a document; the meeting is an
-interval join: parts fall into cells of ``scope`` characters, a secret is looked up in its own and
-the two neighbouring cells, and pairs more than ``scope`` characters apart are dropped.
+a token-like or strong secret. Parts are intervals on the text of a document, and two of them meet
+where the end of one and the start of the other are at most ``scope`` characters apart. So the join
+is one of points: starts and ends fall into cells of ``scope`` characters, the end of a secret is
+looked up among starts in its own and the next cell, its start among ends in its own and the one
+before, and pairs too far apart are dropped. The length of a part does not matter.
 
 Places are found without Python: the text is cut at the matches of a pattern, and a running sum of
 the lengths of gaps and matches is the place of each match.
@@ -92,14 +94,17 @@ def _linked(placed: DataFrame, scope: int) -> DataFrame:
     role = F.get(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("kind"))
     parts = placed.withColumn("role", role).withColumn("weak", F.col("kind") >= len(BASE))
     strong = parts.where("not weak").select("row", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    cell = F.floor(F.col("start") / scope)
-    one = parts.where("role = 'secret'").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    other = parts.where("role <> 'secret'").select(
-        "row", cell.alias("cell"), F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end")
+    first, last = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
+    place = lambda after, cell: F.struct(F.lit(after).alias("after"), cell.alias("cell"))
+    # Whether the other part comes after the secret, and the cell of the other's near edge.
+    one = parts.where("role = 'secret'").withColumn(
+        "p", F.explode(F.array(place(True, last), place(True, last + 1), place(False, first), place(False, first - 1)))
+    ).select("row", "p.*", "kind", "start", "end")
+    other = parts.where("role <> 'secret'").withColumn("p", F.explode(F.array(place(True, first), place(False, last)))).select(
+        "row", "p.*", F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("end").alias("o_end")
     )
-    gap = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"))
-    apart = F.col("o_end").isNotNull() & (gap >= 0) & (gap <= scope)
-    met = one.join(other, ["row", "cell"]).where(apart)
+    gap = F.when(F.col("after"), F.col("o_start") - F.col("end")).otherwise(F.col("start") - F.col("o_end"))
+    met = one.join(other, ["row", "after", "cell"]).where((gap >= 0) & (gap <= scope))
     both = met.select("row", F.explode(F.array(
         F.struct("kind", "start", "end"), F.struct(F.col("o_kind").alias("kind"), F.col("o_start").alias("start"), F.col("o_end").alias("end"))
     )).alias("e")).select("row", "e.*").where(F.col("kind") >= len(BASE)).distinct()

@@ -203,6 +203,25 @@ def test_secrets_are_linked(spark):
     assert got == {1: {"weak_id", "weak_secret", "weak_endpoint"}, 2: set(), 3: set(), 4: set(), 5: set()}
 
 
+def test_links_of_long_parts(spark):
+    """Parts of 1 to 1000 characters, 0 to 300 apart, against all pairs."""
+    rng = random.Random(7)
+    rows = [(0, 4, 250, 300), (0, 3, 520, 540)]
+    for row in range(1, 400):
+        at = rng.randrange(600)
+        for _ in range(rng.randrange(2, 5)):
+            long = rng.randrange(1, 1001)
+            rows.append((row, rng.choice((0, 1, 3, 4, 5)), at, at + long))
+            at += long + rng.randrange(301)
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] in (0, 4) and b[1] in (1, 3, 5) and 0 <= max(b[2] - a[3], a[2] - b[3]) <= 256:
+                want |= {x for x in (a, b) if x[1] >= 3}
+    got = secrets._linked(spark.createDataFrame(rows, "row long, kind int, start int, end int"), 256)
+    assert sorted(tuple(r) for r in got.select("row", "kind", "start", "end").collect()) == sorted(want)
+
+
 def test_redact(spark, odd_docs):
     got = dict(rows_of(secrets.redact(odd_docs.where("doc_id in (1, 8, 12)")), "doc_id", "text"))
     assert got[1] == brute_text(odd_docs, 1)
