@@ -6,7 +6,9 @@ whole number of times for certain (target / size, rounded down); the rest of its
 sample in which documents are included with the remaining fraction as probability, which differs
 from source to source. Documents are ranked by random odds over inclusion odds, and the sample is
 the head of that order, its size fixed in words: whole documents up to the target, then whichever
-of the next documents in order still fit, and one more where that comes nearer.
+of the next documents in order still fit, and one more where that comes nearer. Where that ends an
+average document or more from the target although later documents fit, the rest of the order is
+searched again and again until none fits.
 
 The head is found without sorting a source: ranks fall into ``buckets`` equal ranges, sums per
 range are pre-aggregated, and only the range that holds the limit, with a few more documents for
@@ -51,8 +53,8 @@ def uniform(*parts: Column) -> Column:
 
 
 def _fill(left: Column, rest: Column) -> Column:
-    """Places of those documents of ``rest`` (in order) that still fit into ``left`` words, and of
-    the smallest other one if it goes over by less than what is missing without it."""
+    """Places of those documents of ``rest`` (in order) that still fit into ``left`` words (``taken``),
+    what is ``left`` then, and the ``least`` of the other ones."""
     start = F.struct(left.alias("left"), F.array().cast("array<int>").alias("taken"))
     step = lambda s, d: F.when(
         d["size"] <= s["left"],
@@ -61,8 +63,8 @@ def _fill(left: Column, rest: Column) -> Column:
 
     def close(s: Column) -> Column:
         others = F.filter(rest, lambda d: ~F.array_contains(s["taken"], d["rn"]))
-        least = F.array_min(F.transform(others, lambda d: F.struct(d["size"].alias("size"), d["rn"].alias("rn"))))
-        return F.when(least["size"] < 2 * s["left"], F.array_append(s["taken"], least["rn"])).otherwise(s["taken"])
+        least = F.array_min(F.transform(others, lambda d: F.struct(d["size"].alias("size"), d["rn"].alias("rn"), d["row"].alias("row"))))
+        return F.struct(s["taken"].alias("taken"), s["left"].alias("left"), least.alias("least"))
 
     return F.aggregate(rest, start, step, close)
 
@@ -77,6 +79,60 @@ def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     return rows.join(salted, same, "left").drop("s", "_salt")
 
 
+def _order() -> Window:
+    return Window.partitionBy("source").orderBy("v", F.asc_nulls_last("doc_id"), "size", "row")
+
+
+def _head(rows: DataFrame, room: Column) -> DataFrame:
+    """The rows of every source, in order, that fit into its ``room`` (a column of ``rows``) before the first that does not."""
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first(room).alias("room"))
+    along = Window.partitionBy("source").orderBy("bucket")
+    over = F.col("after") > F.col("room")
+    edges = keep(
+        sums.withColumn("after", F.sum("words").over(along)).groupBy(F.col("source").alias("s"))
+        .agg(F.min(F.when(over, F.col("bucket"))).alias("edge"), F.coalesce(F.max(F.when(~over, F.col("after"))), F.lit(0)).alias("sure"))
+    )
+    placed = _by_source(rows, edges)
+    order = _order().rowsBetween(Window.unboundedPreceding, 0)
+    last = placed.where("bucket = edge").withColumn("upto", F.sum("size").over(order)).where(F.col("sure") + F.col("upto") <= room)
+    return placed.where("edge is null or bucket < edge").select("source", "row", "size").union(last.select("source", "row", "size"))
+
+
+def _fill_on(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows (``row``) that go on filling sources which the first fill left open.
+
+    ``rows`` are what comes after that fill; ``state`` is (s, left, passed), ``passed`` the least
+    document passed over before. Documents of at most half the room are taken in order until one
+    overflows, which at least halves the room; where there are none so small, the first that fits
+    does the same. So rounds are logarithmic in the room. At the end one more document is taken where
+    that comes nearer.
+    """
+    taken = None
+    while True:
+        fits = F.col("size") <= F.col("left")
+        least = _by_source(rows, state.select("s", "left")).where(fits).groupBy("source").agg(F.min("size").alias("m"), F.first("left").alias("room"))
+        least = keep(least.select(
+            F.col("source").alias("s"), "room", F.when(F.col("m") <= F.col("room") / 2, F.col("room") / 2).otherwise(F.col("room")).alias("most")
+        ))
+        if least.isEmpty():
+            break
+        drawn = keep(_head(_by_source(rows, least).where("size <= most"), F.col("room")))
+        taken = drawn.select("row") if taken is None else taken.union(drawn.select("row"))
+        rows = keep(rows.join(drawn.select("row"), "row", "left_anti"))
+        used = drawn.groupBy(F.col("source").alias("u")).agg(F.sum("size").alias("used"))
+        state = keep(
+            state.join(used, F.col("s").eqNullSafe(F.col("u")), "left")
+            .select("s", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), "passed")
+        )
+    more = rows.groupBy("source").agg(F.min(F.struct("size", "v", "row")).alias("m"))
+    ends = state.join(more, F.col("s").eqNullSafe(F.col("source")), "left").select(
+        "left", F.array_min(F.array_compact(F.array(
+            F.when(F.col("passed").isNotNull(), F.struct(F.col("passed.size").alias("size"), F.lit(0.0).alias("v"), F.col("passed.row").alias("row"))), "m"
+        ))).alias("m")
+    )
+    return taken.union(ends.where(F.col("m.size") < 2 * F.col("left")).select("m.row"))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, buckets: int = 65_536, fill_from: int = 64, seed: str = "mix",
@@ -98,11 +154,11 @@ def mix(
             "row", "doc_id", "source", word_count(F.col("text")).alias("size"), *[f"_{c}" for c in carry]
         )
     )
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_words"))
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     whole = F.floor(ratio).cast("int")
     plan = keep(
-        water_fill(totals, weights, limit).withColumn("whole", whole)
+        water_fill(totals.select("source", "source_size"), weights, limit).withColumn("whole", whole)
         .withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
         .withColumn("part", F.coalesce(F.try_divide("need", "source_size"), F.lit(0.0)))
         .withColumnRenamed("source", "s")
@@ -145,7 +201,7 @@ def mix(
     clear = placed.where("first is null or bucket < first or bucket > last").withColumn(
         "drawn", (F.col("first").isNull() & (F.col("need") > 0)) | F.coalesce(F.col("bucket") < F.col("first"), F.lit(False))
     )
-    order = Window.partitionBy("source").orderBy("v", F.asc_nulls_last("doc_id"), "size", "row")
+    order = _order()
     close = keep(
         placed.where("bucket between first and last").withColumn("rn", F.row_number().over(order))
         .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -158,12 +214,35 @@ def mix(
     rest = close.join(heads, F.col("source").eqNullSafe(F.col("s")))
     after = rest.where((F.col("rn") > F.col("head")) & (F.col("rn") <= F.col("head") + fill_from))
     filled = after.groupBy("s").agg(
-        (F.first("room") - F.first("used")).alias("left"), F.sort_array(F.collect_list(F.struct("rn", "size"))).alias("next")
-    ).select(F.col("s").alias("f"), _fill(F.col("left"), F.col("next")).alias("picked"))
+        (F.first("room") - F.first("used")).alias("left"), F.sort_array(F.collect_list(F.struct("rn", "size", "row"))).alias("next")
+    ).select(F.col("s").alias("f"), _fill(F.col("left"), F.col("next")).alias("d"))
+    closes = F.coalesce(F.col("d.least.size") < 2 * F.col("d.left"), F.lit(False))
+    off = F.when(closes, F.col("d.least.size") - F.col("d.left")).otherwise(F.col("d.left"))
+    filled = keep(
+        filled.join(totals, F.col("source").eqNullSafe(F.col("f")))
+        .select("f", "d.taken", F.col("d.left"), F.col("d.least").alias("passed"), closes.alias("closes"), (off >= F.try_divide("source_size", "n_words")).alias("short"))
+    )
+    more = None
+    short = filled.where("short").select(F.col("f").alias("s"), "left", "passed")
+    if not short.isEmpty():
+        wanted = ["row", "doc_id", "source", "size", "v", "bucket"]
+        beyond = placed.where("bucket > last").select(wanted).union(rest.where(F.col("rn") > F.col("head") + fill_from).select(wanted))
+        beyond = keep(_by_source(beyond, short.select("s", "left")).where("size > 0 and size <= left").select(wanted))
+        short = keep(short.join(beyond.select("source").distinct(), F.col("s").eqNullSafe(F.col("source"))).select("s", "left", "passed"))
+        if not short.isEmpty():
+            more = keep(_fill_on(beyond, short).select(F.col("row").alias("m_row")))
+            gone = short.select(F.col("s").alias("on"))
+            filled = filled.join(gone, F.col("f").eqNullSafe(F.col("on")), "left_anti").union(
+                filled.join(gone, F.col("f").eqNullSafe(F.col("on")), "left_semi").withColumn("closes", F.lit(False))
+            )
+    picked = F.when(F.col("closes"), F.array_append("taken", F.col("passed.rn"))).otherwise(F.col("taken"))
     close = (
-        rest.join(filled, F.col("source").eqNullSafe(F.col("f")), "left")
+        rest.join(filled.select("f", picked.alias("picked")), F.col("source").eqNullSafe(F.col("f")), "left")
         .withColumn("drawn", (F.col("rn") <= F.col("head")) | F.coalesce(F.array_contains("picked", F.col("rn")), F.lit(False)))
     )
+    if more is not None:
+        also = lambda df: df.join(more, F.col("row") == F.col("m_row"), "left").withColumn("drawn", F.col("drawn") | F.col("m_row").isNotNull())
+        clear, close = also(clear), also(close)
     columns = ["doc_id", "size", "source", "source_size", "target", "whole", "drawn", *[f"_{c}" for c in carry]]
     copies = F.col("whole") + F.col("drawn").cast("int")
     return clear.select(columns).union(close.select(columns)).select(

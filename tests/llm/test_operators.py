@@ -89,6 +89,17 @@ def test_mix(spark, sf_dir, odd_docs, odd_rows, buckets, fill):
     assert mix.mix(odd_docs.limit(0)).count() == 0
 
 
+def test_mix_goes_on_past_a_long_document(spark):
+    """A document over the target overflows early, and the next 64 are far from filling what is open."""
+    sizes = [(i, "a", 5 + i % 11) for i in range(6000)] + [(6000, "a", 40_000)] + [(7000 + i, "b", 2000) for i in range(100)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in sizes], "doc_id long, source string, text string")
+    for seed in ("mix", "s1"):
+        got = mix.mix(df, weights=(1, 9), seed=seed).collect()
+        a = [r for r in got if r.source == "a"]
+        assert len(got) == len(sizes) and all(r.copies in (0, 1) for r in a)
+        assert abs(sum(r.taken for r in a) - a[0].target) <= 5, seed
+
+
 def test_mixed_repeats_rows(spark, odd_docs):
     want = Counter()
     for r in mix.mix(odd_docs).collect():
