@@ -332,7 +332,7 @@ def step_list_requests(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "step_list_parsing",
     f"""WITH {sql.STEPS},
-    requests AS (SELECT event_id, tool_id, k, e.event_type, {_RAW_SQL} AS raw FROM steps JOIN events e USING (event_id)),
+    requests AS (SELECT event_id, {_RAW_SQL} AS raw FROM steps),
     items AS (
       SELECT event_id, i, json_extract(raw, '$[' || i || ']') AS item FROM (
         SELECT event_id, raw, unnest(range(CASE WHEN json_type(raw) = 'ARRAY' THEN CAST(json_array_length(raw) AS BIGINT) ELSE 0 END)) AS i

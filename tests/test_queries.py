@@ -7,7 +7,6 @@ import pytest
 
 import __spark_entry__ as entry
 from platen.plans import ORACLES, QUERIES
-from conftest import SF_DIR
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -15,11 +14,11 @@ TABLES = (
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf_dir):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{os.path.join(SF_DIR, name)}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{os.path.join(sf_dir, name)}.parquet'")
     return con
 
 
