@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_main, license_scan, line_crf, mix, pack, preference, secrets, simhash, tokens, topk
+from . import html_main, license_scan, line_crf, merkle, mix, pack, preference, secrets, simhash, tokens, topk
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -68,11 +68,16 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preferences(preference.with_other_replies(convs))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_exact_top_k, op3_source_mix, op4_simhash, op5_line_quality, op6_secret_scan,
         op7_token_counts, op8_main_text, op9_best_fit_packing, op10_preference_pairs,
+        op12_merkle_manifest,
     )
 }
 
@@ -182,4 +187,48 @@ ORACLES = {
                (len(c) - n)::INTEGER AS n_chosen, (len(r) - n)::INTEGER AS n_rejected
         FROM common LEFT JOIN glued USING (pair_id)
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE parts AS (
+            SELECT row_number() OVER () AS r, doc_id, source,
+                   concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                          coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                   text, replace(text, chr(10), '') AS flat,
+                   xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')])),
+                       lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) AS crc
+            FROM documents
+        ), leaves AS (
+            SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(flat) || ':' || flat, '-')) END AS tampered
+            FROM parts
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos,
+                   dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+            FROM leaves
+        ), own(tree, k, h) AS (
+            SELECT tree, 0, list(leaf ORDER BY pos) FROM placed GROUP BY tree
+            UNION ALL
+            SELECT tree, k + 1, [sha256(array_to_string(h[3 * i + 1:3 * i + 3], '')) FOR i IN range((len(h) + 2) // 3)] FROM own WHERE len(h) > 1
+        ), subroots AS (SELECT tree, max(k) AS height, arg_max(h, k)[1] AS subroot FROM own GROUP BY tree),
+        over(k, h) AS (
+            SELECT 0, list(subroot ORDER BY tree) FROM subroots
+            UNION ALL
+            SELECT k + 1, [sha256(array_to_string(h[3 * i + 1:3 * i + 3], '')) FOR i IN range((len(h) + 2) // 3)] FROM over WHERE len(h) > 1
+        ), lines AS (
+            SELECT tree, k, height, h FROM own JOIN subroots USING (tree) WHERE k < height
+            UNION ALL
+            SELECT tree, height + k, height, h FROM over, subroots WHERE k < (SELECT max(k) FROM over)
+        ), climb(r, tree, k, pos, folded, proof) AS (
+            SELECT r, tree, 0, pos, coalesce(tampered, leaf), '' FROM placed
+            UNION ALL
+            SELECT r, tree, k + 1, p // 3,
+                   sha256(array_to_string([CASE WHEN i = p THEN folded ELSE h[i + 1] END FOR i IN range(p // 3 * 3, least(len(h), p // 3 * 3 + 3))], '')),
+                   proof || array_to_string([h[i + 1] FOR i IN range(p // 3 * 3, least(len(h), p // 3 * 3 + 3)) IF i <> p], '')
+            FROM (
+                SELECT c.r, c.tree, c.k, CASE WHEN c.k = height THEN c.tree ELSE c.pos END AS p, folded, proof, h
+                FROM climb c JOIN lines l ON l.tree = c.tree AND l.k = c.k
+            )
+        ), ends AS (SELECT r, arg_max(folded, k) AS folded_root, arg_max(proof, k) AS proof FROM climb GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed JOIN subroots USING (tree) JOIN ends USING (r), (SELECT arg_max(h, k)[1] AS root FROM over)
+    """,
 }
