@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_main, license_scan, line_crf, merkle, mix, pack, preference, secrets, simhash, tokens, topk
+from . import align, html_main, license_scan, line_crf, line_runs, merkle, mix, pack, preference, secrets, simhash, tokens, topk
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,16 +69,29 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preferences(preference.with_other_replies(convs))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_runs.dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    aligned, _ = align.align(
+        table(spark, sf_dir, "documents"), path(BYTE_VOCABULARY), public_tokenizers.PATTERN, path(PIECE_MODEL), groups="sha256"
+    )
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_exact_top_k, op3_source_mix, op4_simhash, op5_line_quality, op6_secret_scan,
         op7_token_counts, op8_main_text, op9_best_fit_packing, op10_preference_pairs,
-        op12_merkle_manifest,
+        op11_line_dedup, op12_merkle_manifest, op13_token_alignment,
     )
 }
 
@@ -187,6 +201,21 @@ ORACLES = {
                (len(c) - n)::INTEGER AS n_chosen, (len(r) - n)::INTEGER AS n_rejected
         FROM common LEFT JOIN glued USING (pair_id)
     """,
+    "op11_line_dedup": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), places AS (
+            SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i,
+                   trim(translate(unnest(lines), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))) AS key
+            FROM docs
+        ), frequent AS (
+            SELECT key FROM places WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
+        )
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+        FROM places LEFT JOIN frequent f USING (key) GROUP BY r, doc_id
+    """,
     "op12_merkle_manifest": r"""
         WITH RECURSIVE parts AS (
             SELECT row_number() OVER () AS r, doc_id, source,

@@ -23,7 +23,7 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder that the session names for shared files; only a local session without one gets its own."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
@@ -38,7 +38,7 @@ def keep(df: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_shared(df.sparkSession))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
@@ -83,6 +83,6 @@ def content_key(*parts: Column) -> Column:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to Parquet below the shared folder and read it again."""
-    path = f"{_shared(df.sparkSession)}/{name}"
+    path = f"{shared(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
