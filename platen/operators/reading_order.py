@@ -1,53 +1,23 @@
 """Placed text runs: visual order, stream order and off-page text.
 
-A page is ordered in two levels. Runs are numbered inside narrow bands (a text line and a strip of
-it, or a stretch of the stream), bands are counted with partial aggregates, and the running sum of
-the counts shifts each band into place. Only the counts of a page meet in one task. A run without
-a coordinate stands after those that have one, and all orders end with a hash of the text, so a
-position never depends on how rows arrive.
+Places on a page come from ranges of the whole table (``ranges.rank_within``), so neither a page nor
+a line position is ever one task, however many runs it holds. A run without a coordinate stands after
+those that have one, and all orders end with a hash of the text, so a position never depends on how
+rows arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ranges import rank_within
 
 PAGE = ("doc_id", "page")
-STRIP = 16
-SEQ_BAND = 4096
 # The visible area of a page with a two-point margin.
 VISIBLE_X = (-2.0, 614.0)
 VISIBLE_Y = (-2.0, 794.0)
 
 
-def number_within(df: DataFrame, keys: tuple[str, ...], bands: dict[str, Column], order: list[Column], out: str) -> DataFrame:
-    """0-based position of every row within ``keys``; ``bands`` must be coarse prefixes of ``order``.
-
-    NULL is a band of its own, behind the others, and the join of the band offsets is null-safe:
-    every row keeps its place in the result.
-    """
-    names = [f"_{out}_{b}" for b in bands]
-    # A band as a pair (is missing, value) sorts NULL last and compares equal to itself.
-    banded = df.withColumn(f"_{out}", F.struct(*[
-        part for n, c in zip(names, bands.values())
-        for part in (c.isNull().alias(f"{n}_none"), F.coalesce(c, F.lit(0)).cast("double").alias(n))
-    ]))
-    of = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] + [F.col(k).isNull() for k in keys]
-    inside = Window.partitionBy(*keys, f"_{out}").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy(f"_{out}").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        banded.groupBy(*keys, f"_{out}")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(of)])
-    left = banded.withColumn("_row", F.row_number().over(inside) - 1).withColumn("_key", key)
-    right = offsets.select(key.alias("_key"), F.col(f"_{out}"), "_offset")
-    return left.join(right, ["_key", f"_{out}"]).withColumn(out, F.col("_offset") + F.col("_row")).drop(
-        "_row", "_offset", "_key", f"_{out}"
-    )
-
-
 def line_of(y: Column) -> Column:
     """Rounded height, half up, negated so that the top of the page comes first."""
     return -F.floor(y + 0.5)
@@ -57,32 +27,31 @@ def _last(*columns: str) -> list[Column]:
     return [F.asc_nulls_last(c) for c in columns]
 
 
+def _visual() -> list[Column]:
+    return [F.asc_nulls_last(line_of(F.col("y"))), *_last("x", "seq"), F.xxhash64("text").asc()]
+
+
 def reading_positions(runs: DataFrame) -> DataFrame:
     """Add ``visual_pos``: top to bottom by rounded height, then left to right, then stream order."""
-    bands = {"line": line_of(F.col("y")), "strip": F.floor(F.col("x") / STRIP)}
-    return number_within(runs, PAGE, bands, [*_last("x", "seq"), F.xxhash64("text")], "visual_pos")
+    return rank_within(runs, PAGE, _visual(), "visual_pos")
 
 
 def stream_positions(runs: DataFrame) -> DataFrame:
     """Add ``stream_pos``: position by stream sequence."""
-    bands = {"chunk": F.floor(F.col("seq") / SEQ_BAND)}
-    return number_within(runs, PAGE, bands, [*_last("seq"), F.xxhash64("text")], "stream_pos")
+    return rank_within(runs, PAGE, [*_last("seq"), F.xxhash64("text").asc()], "stream_pos")
 
 
 def order_differs(runs: DataFrame) -> DataFrame:
     """Per page: does the visual sequence of texts differ from the stream sequence?
 
-    Texts are replaced by a hash before anything is shuffled. A run is numbered in both orders by
-    windows over its page; runs of a page are small then (three numbers and a hash), and a page is
-    all that one window holds.
+    Texts are replaced by a hash before anything is shuffled; each order is a rank over ranges, and
+    what is left is one aggregate per page.
     """
-    slim = runs.select(*PAGE, "x", "seq", line_of(F.col("y")).alias("_line"), F.xxhash64("text").alias("_hash"))
-    visual = Window.partitionBy(*PAGE).orderBy(*_last("_line"), F.asc_nulls_last(F.floor(F.col("x") / STRIP)), *_last("x", "seq"), "_hash")
-    stream = Window.partitionBy(*PAGE).orderBy(*_last("seq"), "_hash")
-    placed = slim.select(*PAGE, "_hash", F.row_number().over(visual).alias("v"), F.row_number().over(stream).alias("s"))
+    slim = runs.select(*PAGE, "x", "y", "seq", F.xxhash64("text").alias("text"))
+    placed = stream_positions(reading_positions(slim))
     # Equal sequences have equal sums of hash and place, whatever the order of summing.
-    mark = lambda place: F.sum(F.xxhash64("_hash", place).cast("decimal(38,0)"))
-    return placed.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_runs"), (mark("v") != mark("s")).alias("order_differs"))
+    mark = lambda place: F.sum(F.xxhash64("text", place).cast("decimal(38,0)"))
+    return placed.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_runs"), (mark("visual_pos") != mark("stream_pos")).alias("order_differs"))
 
 
 def page_text(positions: DataFrame) -> DataFrame:

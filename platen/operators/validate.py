@@ -59,51 +59,62 @@ def with_current_types(chains: DataFrame) -> DataFrame:
     ).drop("_known")
 
 
-def validate_chains(chains: DataFrame) -> DataFrame:
-    """Add ``errors``, ``warnings``, ``chain``, ``ends_at``, ``goal`` and ``ok``."""
-    known = F.col("known")
+def step_error(s: Column, i: Column) -> Column:
+    """The error of step ``i``, a struct with tool_id, label, in_type and the ``current`` type; NULL if it fits."""
+    unknown = _issue("unknown-tool", i, _text("the catalogue has no tool ", s["tool_id"]))
+    bridge = connector_between(s["current"], s["in_type"])
+    fix = F.when(
+        bridge.isNotNull(), _text("put ", bridge, " before step ", i + 1)
+    ).otherwise(_text("no tool leads from ", s["current"], " to ", s["in_type"]))
+    gap = _issue(
+        "missing-connector",
+        i,
+        _text("step ", i + 1, " (", s["label"], ") reads ", s["in_type"], ", but gets ", s["current"]),
+        fix,
+        bridge,
+    )
+    return F.when(s["in_type"].isNull(), unknown).when(s["current"] != s["in_type"], gap)
 
-    def step_error(s: Column, i: Column) -> Column:
-        unknown = _issue("unknown-tool", i, _text("the catalogue has no tool ", s["tool_id"]))
-        bridge = connector_between(s["current"], s["in_type"])
-        fix = F.when(
-            bridge.isNotNull(), _text("put ", bridge, " before step ", i + 1)
-        ).otherwise(_text("no tool leads from ", s["current"], " to ", s["in_type"]))
-        gap = _issue(
-            "missing-connector",
-            i,
-            _text("step ", i + 1, " (", s["label"], ") reads ", s["in_type"], ", but gets ", s["current"]),
-            fix,
-            bridge,
-        )
-        return F.when(s["in_type"].isNull(), unknown).when(s["current"] != s["in_type"], gap)
 
-    def step_warning(s: Column, i: Column) -> Column:
-        return F.when(
-            s["mode"] == "simulated", _issue("simulated", i, _text("step ", i + 1, " (", s["label"], ") only simulates its result"))
-        )
+def step_warning(s: Column, i: Column) -> Column:
+    return F.when(
+        s["mode"] == "simulated", _issue("simulated", i, _text("step ", i + 1, " (", s["label"], ") only simulates its result"))
+    )
 
-    def present(issues: Column) -> Column:
-        return F.filter(issues, lambda e: e.isNotNull())
 
-    outs = F.filter(F.transform(known, lambda s: s["out_type"]), lambda t: t.isNotNull())
-    first = F.nullif(F.col("input_type"), F.lit(""))
-    goal = F.nullif(F.col("output_type"), F.lit(""))
-    ends_at = F.coalesce(F.try_element_at(outs, F.lit(-1)), first)
-    bridge = connector_between(F.col("ends_at"), F.col("goal"))
-    mismatch = F.when(
-        F.col("ends_at") != F.col("goal"),
+def goal_error(ends_at: Column, goal: Column) -> Column:
+    bridge = connector_between(ends_at, goal)
+    return F.when(
+        ends_at != goal,
         _issue(
             "goal-mismatch",
             F.lit(None),
-            _text("the last step gives ", F.col("ends_at"), ", wanted is ", F.col("goal")),
+            _text("the last step gives ", ends_at, ", wanted is ", goal),
             F.when(bridge.isNotNull(), _text("add ", bridge, " at the end")).otherwise(
-                _text("no tool leads from ", F.col("ends_at"), " to ", F.col("goal"))
+                _text("no tool leads from ", ends_at, " to ", goal)
             ),
             bridge,
         ),
     )
-    empty = F.when(F.size("steps") == 0, _issue("empty", F.lit(None), F.lit("the chain is empty")))
+
+
+def empty_error(n_steps: Column) -> Column:
+    return F.when(n_steps == 0, _issue("empty", F.lit(None), F.lit("the chain is empty")))
+
+
+def validate_chains(chains: DataFrame) -> DataFrame:
+    """Add ``errors``, ``warnings``, ``chain``, ``ends_at``, ``goal`` and ``ok``."""
+    known = F.col("known")
+
+    def present(issues: Column) -> Column:
+        return F.filter(issues, lambda e: e.isNotNull())
+
+    outs = F.filter(F.transform(known, lambda s: s["out_type"]), lambda t: t.isNotNull())
+    first = F.nullif(F.col("input_type"), F.lit(""))
+    goal = F.nullif(F.col("output_type"), F.lit(""))
+    ends_at = F.coalesce(F.try_element_at(outs, F.lit(-1)), first)
+    mismatch = goal_error(F.col("ends_at"), F.col("goal"))
+    empty = empty_error(F.size("steps"))
     path = F.concat(F.array(first), F.transform(known, lambda s: F.coalesce(s["out_type"], F.lit("?"))))
     return (
         with_current_types(chains)

@@ -1,4 +1,4 @@
 """Registered queries over the benchmark tables, each with its SQL equivalent."""
 
-from . import chains, corpus, history, packages, texts  # noqa: F401
+from . import chains, corpus, history, long_tables, packages, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
