@@ -4,9 +4,10 @@ A page becomes a small tree. Every node has a density: characters per tag, lower
 the text stands in links. The density sum of a node is the sum of its children's densities, and
 the node with the largest sum holds the article. What stands beside it or beside its ancestors is
 article only where it reads like it: headings before it, paragraphs and parts of like density. The
-least density on its path from the body is the threshold below which link-rich blocks inside the
+least density on its path from the body is the threshold below which lists of bare links inside the
 article are left out. Elements that say themselves that they are no article text
-(navigation, forms, notices, comments) are taken out before the densities are computed.
+(navigation, forms, notices, comments) are taken out before the densities are computed; a form that
+holds most of the page is its container and loses its controls only.
 """
 
 from __future__ import annotations
@@ -57,6 +58,10 @@ LAYOUT = frozenset(
 SIDE = re.compile(r"side-bar", re.I)
 BLANK = re.compile(r"\s+")
 NAME_ONLY = 2  # dropped, unless the article stands inside
+FORM = 3  # dropped, unless it wraps the page
+LISTS = frozenset("ul ol dl menu div section table".split())
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)\W*(?:\w+\W+){0,3}(?:19|20)\d\d|all rights reserved", re.I)
+RIGHTS_CHARS = 300  # a line of rights is no longer
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NAME_TURNS = 4  # so often one more level of named elements is opened
 PARAGRAPHS = frozenset("p blockquote pre ul ol dl figure".split())
@@ -126,6 +131,8 @@ class Tree(HTMLParser):
 
     @staticmethod
     def _dropped(tag: str, named: dict) -> bool | int:
+        if tag == "form" and "hidden" not in named and named.get("aria-hidden") != "true":
+            return FORM
         if tag in DROPPED or "hidden" in named or named.get("aria-hidden") == "true" or named.get("role", "").lower() in ROLES:
             return True
         if tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "pre", "code"):
@@ -162,6 +169,72 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _settle_forms(root: Node) -> None:
+    """Keep a form that holds most of the text of the page, or an element that says it is the article."""
+    every, forms, todo = [], [], [(root, ())]
+    while todo:
+        node, within = todo.pop()
+        every.append(node)
+        if node.tag in ("article", "main"):
+            for form in within:
+                form.drop = False
+        if node.drop == FORM:
+            forms.append(node)
+            within = (*within, node)
+        todo += [(c, within) for c in node.children if isinstance(c, Node) and c.drop in (False, NAME_ONLY, FORM)]
+    forms = [f for f in forms if f.drop]
+    if not forms:
+        return
+    size: dict[int, int] = {}
+    for node in reversed(every):
+        size[id(node)] = _bare(node.children) + sum(size.get(id(c), 0) for c in node.children if isinstance(c, Node))
+    for form in forms:
+        if 2 * size[id(form)] > size[id(root)]:
+            form.drop = False
+
+
+def _settle_rights(root: Node) -> None:
+    """Drop short blocks that say who holds the rights and stand apart: beside the article, not in it.
+
+    In an element that says it is the article they stay, as they do where their container holds other
+    text, or where the page says nothing else.
+    """
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        inner = [c for c in node.children if isinstance(c, Node) and not c.drop and c.tag not in ("article", "main")]
+        todo += inner
+        if node is root or node.tag in INLINE or any(c.tag not in INLINE and c.tag not in VOID for c in inner):
+            continue
+        text = _all_text(node)
+        if len(text) <= 2 * RIGHTS_CHARS and len(text := BLANK.sub(" ", text).strip()) <= RIGHTS_CHARS and RIGHTS.search(text):
+            found.append(node)
+    if not found:
+        return
+    said = {id(n) for n in found}
+    for node in found:
+        node.drop = True
+    for node in found:
+        at = node
+        while at.parent and at.parent is not root and not _all_text(at.parent).strip():
+            at = at.parent
+        # Apart: all of a container, beside containers of other text.
+        beside = [c for c in at.parent.children if isinstance(c, Node) and id(c) not in said and c.tag not in INLINE and _all_text(c).strip()] if at.parent else []
+        if at.parent is not root and at is node or not beside or at is node and all(c.tag in PARAGRAPHS | HEADINGS for c in beside):
+            node.drop = False
+
+
+def _all_text(node: Node) -> str:
+    out, todo = [], [node]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif not item.drop:
+            todo += reversed(item.children)
+    return "".join(out)
+
+
 def _settle_names(root: Node) -> None:
     """Keep elements dropped for their name alone if the article stands inside them.
 
@@ -284,6 +357,8 @@ def _joins(item: Node, beside: Node, best: Node, before: bool) -> bool:
 
 def article(root: Node) -> tuple[list[Node], float]:
     """The subtrees that hold the article, in page order, and the threshold of the path."""
+    _settle_forms(root)
+    _settle_rights(root)
     _settle_names(root)
     nodes = measure(root)
     share = root.link_chars / max(root.chars, 1)
@@ -335,8 +410,13 @@ def article(root: Node) -> tuple[list[Node], float]:
     return [*before, best, *after], threshold
 
 
+def _bare_links(item: Node) -> bool:
+    """Several links and nothing beside them."""
+    return item.tag in LISTS and item.link_tags > 1 and item.link_chars >= 0.9 * item.chars
+
+
 def blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks of a subtree in page order."""
+    """Texts of the blocks of a subtree in page order, without its lists of bare links."""
     out: list[str] = []
     line: list[str] = []
 
@@ -355,7 +435,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
             flush()
         elif item.tag == "br":
             line.append(" ")
-        elif not item.drop and not (item.link_chars > 0.5 * item.chars and item.density < threshold and item.tag not in INLINE):
+        elif not item.drop and not (item.chars and item is not node and item.density < threshold and _bare_links(item)):
             if item.tag not in INLINE:
                 flush()
                 todo.append((item, True))

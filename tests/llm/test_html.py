@@ -70,6 +70,42 @@ def test_names_are_evidence_only():
     assert html_main.main_text(page) == story
 
 
+def test_a_form_around_the_page_is_its_container():
+    story = html_main.main_text(STORY)
+    inside = f'<div class="head"><input name="q"><button>Search</button></div><div>{STORY}</div><select><option>One</option></select>'
+    assert html_main.main_text(f'<body><form id="form1">{inside}</form></body>') == story
+    assert html_main.main_text(f'<body><form id="form1"><article>{STORY}</article></form><ul>{"<li><a>beside it</a></li>" * 300}</ul></body>') == story
+    ask = "<form><p>Leave your address and we will write to you every week about all there is.</p><input></form>"
+    assert html_main.main_text(f"<body><div>{STORY}</div>{ask}</body>") == story
+    assert html_main.main_text(f'<body><form><div>{STORY}</div><form role="search"><label>Find</label><input></form></form></body>').startswith(story)
+
+
+def test_link_rich_paragraphs_stay():
+    names = [f"A long title of work number {i} that is cited" for i in range(6)]
+    cited = "".join(f'<p>See <a href="/{i}">{n}</a> now.</p>' for i, n in enumerate(names))
+    page = f"<body><article><h1>References</h1>{cited}</article></body>"
+    assert html_main.main_text(page).split("\n\n") == ["References", *[f"See {n} now." for n in names]]
+    menu = "".join(f'<li><a href="/{i}">Story {i}</a></li>' for i in range(8))
+    assert html_main.main_text(f"<body><article>{STORY}<ul>{menu}</ul></article></body>") == html_main.main_text(STORY)
+
+
+def test_short_article_against_a_longer_line_of_rights():
+    rights = "(c) 2024 All rights reserved by the owners of this site, their partners, and whoever else may hold them."
+    page = f"<body><div><p>Short article that says little.</p></div><div><p>{rights}</p></div></body>"
+    assert html_main.main_text(page) == "Short article that says little."
+    assert html_main.main_text(f"<body><p>{rights}</p></body>") == rights
+    assert html_main.main_text(f"<body><article>{STORY}<p>{rights}</p></article></body>").endswith(rights)
+    assert html_main.main_text(f"<body><div>{STORY}<p>{rights}</p></div><div class='b'><p>Printed in Ghent</p></div></body>").endswith(rights)
+    law = "Copyright law changed in many lands. " * 12
+    assert html_main.main_text(f"<body><div><p>{law}</p></div></body>") == law.strip()
+
+
+def test_page_made_of_tables():
+    page = f'''<body><table><tr><td><a href="/a">Home</a> <a href="/b">News</a></td></tr><tr><td>{STORY}</td></tr>
+<tr><td>Call us at any time</td></tr></table></body>'''
+    assert html_main.main_text(page) == html_main.main_text(STORY)
+
+
 def test_odd_pages():
     for page in (None, "", "<", "<p", "<!-- only", "</p></div>", "<script>x"):
         assert html_main.main_text(page) == "" or "<" in page
