@@ -1,10 +1,13 @@
 """Quality rules: a linear-chain conditional random field marks lines as content or boilerplate.
 
-Lines are described by a few shares (symbols, capitals, separators, digits, ...), and the field is
-trained on a bounded sample of labelled documents whose lines all carry the document's label: the
-label says nothing about single lines, but lines that look alike in good and bad documents cancel
-out, and what remains are the looks of bad lines. Viterbi decoding gives the most likely sequence,
-and the share of words in content lines decides, after the plain base rules, whether a text stays.
+Lines are described by a few shares (symbols, capitals, separators, digits, ...). The field is
+trained on a bounded sample of labelled documents, each taken whole. A label says nothing about
+single lines, so all lines of a document carry it, but lines that look alike in good and bad documents
+cancel out, and what remains are the looks of bad lines. Sequences of one label alone would teach the
+field that a state never changes; so as many sequences are mixed from a good and a bad document each
+(one after the other, or one inside the other), and the moves between states are learnt from these too.
+Viterbi decoding gives the most likely sequence, and the share of words in content lines decides,
+after the plain base rules, whether a text stays.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .rows import pick
 
@@ -28,6 +31,7 @@ _KIND = np.zeros(256, np.uint8)
 for _i, _chars in enumerate((b"#*$%&|<>~^=_{}[]\\@+", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"0123456789", b" \t\x0b\x0c\r", b".,;:'\"()-"), 1):
     _KIND[list(_chars)] = _i
 N_KINDS = 6
+STRETCH = 64  # lines of a training sequence; longer documents are several
 FEATURES = ["always", "symbols", "capitals", "exclaims", "digits", "spaces", "points", "repeated", "short", "long", "symbol_line", "capital_line"]
 
 
@@ -121,45 +125,87 @@ class Field:
         return np.array(out[::-1])
 
 
-def train(samples: list[tuple[np.ndarray, int]], steps: int = 400, rate: float = 2.0, ridge: float = 0.001) -> Field:
-    """Maximum likelihood with a ridge, by gradient steps over padded sequences; deterministic."""
+def sequences(samples: list[tuple[np.ndarray, int]], lines: int = STRETCH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, states) to train on: documents in stretches of at most ``lines`` lines, then mixed ones.
+
+    The i-th bad stretch follows, precedes or stands inside of the i-th good one; the shorter list starts again.
+    """
+    cut = {0: [], 1: []}
+    for rows, y in samples:
+        cut[y] += [rows[i : i + lines] for i in range(0, len(rows), lines)]
+    out = [(rows, np.full(len(rows), y)) for y in (0, 1) for rows in cut[y]]
+    good, bad = cut[0], cut[1]
+    for i in range(max(len(good), len(bad)) if good and bad else 0):
+        g, b = good[i % len(good)], bad[i % len(bad)]
+        at = (0, len(g), len(g) // 2)[i % 3]
+        states = np.zeros(len(g) + len(b), int)
+        states[at : at + len(b)] = 1
+        out.append((np.concatenate([g[:at], b, g[at:]]), states))
+    return out
+
+
+class _Likelihood:
+    """Log-likelihood of sequences and its slope. Sequences lie by length, so that those still going on at a line come first."""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], ridge: float):
+        found = sorted(found, key=lambda s: -len(s[0]))
+        self.ridge, n = ridge, np.array([len(r) for r, _ in found])
+        self.going = [int((n > t).sum()) for t in range(n[0])]
+        at = np.concatenate([[0], np.cumsum(self.going)])
+        self.at = [slice(i, j) for i, j in zip(at[:-1], at[1:])]
+        place = np.concatenate([at[: len(r)] + k for k, (r, _) in enumerate(found)])
+        self.x, state = np.empty((len(place), len(FEATURES))), np.empty(len(place), int)
+        self.x[place], state[place] = np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
+        self.gold = np.eye(2)[state]
+        self.share = np.concatenate([(1 / n / len(n))[:k] for k in self.going])  # every sequence weighs as much as any other
+        self.moved = np.zeros((2, 2))
+        for before, now in zip(self.at, self.at[1:]):
+            k = now.stop - now.start
+            self.moved += np.einsum("ia,ib,i->ab", self.gold[before][:k], self.gold[now], self.share[now])
+
+    def slope(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = self.x @ weights
+        fwd, bwd, top = s.copy(), np.zeros_like(s), np.logaddexp
+        for before, now in zip(self.at, self.at[1:]):
+            last = fwd[before][: now.stop - now.start]
+            fwd[now] += top(last[:, :1] + moves[0], last[:, 1:] + moves[1])
+        for before, now in zip(self.at[-2::-1], self.at[:0:-1]):
+            ahead = bwd[now] + s[now]
+            bwd[before][: now.stop - now.start] = top(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
+        norm = top(fwd[self.at[0], 0] + bwd[self.at[0], 0], fwd[self.at[0], 1] + bwd[self.at[0], 1])
+        norms = np.concatenate([norm[:k] for k in self.going])[:, None]
+        one = np.exp(fwd + bwd - norms) * self.share[:, None]
+        two = np.zeros((2, 2))
+        for before, now in zip(self.at, self.at[1:]):
+            k = now.stop - now.start
+            both = fwd[before][:k, :, None] + moves + (s[now] + bwd[now])[:, None, :] - norm[:k, None, None]
+            two += np.einsum("iab,i->ab", np.exp(both), self.share[now])
+        return self.x.T @ (self.gold * self.share[:, None] - one) - self.ridge * weights, self.moved - two - self.ridge * moves
+
+
+def train(samples: list[tuple[np.ndarray, int]], steps: int = 120, ridge: float = 0.001) -> Field:
+    """Maximum likelihood with a ridge by gradient steps whose lengths follow the curvature; deterministic."""
     samples = [s for s in samples if len(s[0])]
     if len({y for _, y in samples}) < 2:
         return Field.untrained()
-    longest = max(len(r) for r, _ in samples)
-    x = np.zeros((len(samples), longest, len(FEATURES)))
-    live = np.zeros((len(samples), longest))
-    for i, (rows, _) in enumerate(samples):
-        x[i, : len(rows)], live[i, : len(rows)] = rows, 1
-    y = np.array([v for _, v in samples])
-    share = 1 / len(y) / live.sum(1)  # every document weighs as much as any other
-    gold = np.zeros((len(samples), longest, 2))
-    gold[np.arange(len(y)), :, y] = 1
-    weights, moves = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    pairs = live[:, 1:] * live[:, :-1]
+    likelihood = _Likelihood(sequences(samples), ridge)
+    n = 2 * len(FEATURES)
+    at, rate, last = np.zeros(n + 4), 1.0, None
     for _ in range(steps):
-        s = x @ weights
-        top = np.logaddexp
-        fwd, bwd = np.zeros_like(s), np.zeros_like(s)
-        fwd[:, 0] = s[:, 0]
-        for t in range(1, longest):
-            step = top(fwd[:, t - 1, :1] + moves[0], fwd[:, t - 1, 1:] + moves[1]) + s[:, t]
-            fwd[:, t] = np.where(live[:, t, None] > 0, step, fwd[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            ahead = bwd[:, t + 1] + s[:, t + 1]
-            step = top(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
-            bwd[:, t] = np.where(live[:, t + 1, None] > 0, step, 0)
-        norm = top(fwd[:, -1, 0], fwd[:, -1, 1])[:, None, None]
-        one = np.exp(fwd + bwd - norm) * live[:, :, None]
-        two = np.exp(fwd[:, :-1, :, None] + moves + (s + bwd)[:, 1:, None, :] - norm[..., None]) * pairs[..., None, None]
-        gold_two = gold[:, :-1, :, None] * gold[:, 1:, None, :] * pairs[..., None, None]
-        weights += rate * (np.einsum("dtf,dts,d->fs", x, gold * live[:, :, None] - one, share) - ridge * weights)
-        moves += rate * (np.einsum("dtab,d->ab", gold_two - two, share) - ridge * moves)
-    return Field(weights, moves)
+        slope = np.concatenate([g.ravel() for g in likelihood.slope(at[:n].reshape(-1, 2), at[n:].reshape(2, 2))])
+        if last is not None:
+            step, bend = at - last[0], last[1] - slope
+            curved = float(step @ bend)
+            rate = min(float(step @ step) / curved, 20.0) if curved > 0 else 1.0
+        if np.abs(slope).max() < 1e-5:
+            break
+        last = at, slope
+        at = at + rate * slope
+    return Field(at[:n].reshape(-1, 2), at[n:].reshape(2, 2))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_docs: int, sample_lines: int) -> Field:
-    """The field of at most ``sample_docs`` labelled documents (by hash of the id), of each the first ``sample_lines`` lines."""
+    """The field of at most ``sample_docs`` labelled documents (by hash of the id), whole ones, while they have ``sample_lines`` lines together."""
     good = (
         pick(labels, label_id="doc_id", quality="quality").where("quality in (0, 1) and label_id is not null")
         .groupBy("label_id").agg(F.max("quality").alias("quality"))
@@ -169,17 +215,21 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t or "")[1][:sample_lines].ravel().tolist() for t in batch.column("text").to_pylist()]
+            rows = [measure(t or "")[1].ravel().tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
                 names=["doc_id", "quality", "rows"],
             )
 
     kind = dict(texts.dtypes)["doc_id"]
-    got = (
-        texts.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, rows array<double>")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("rows")).limit(sample_docs).collect()
+    # Too long for the sample on its own: left out before its lines are measured. Of the others, as many as go in.
+    short = texts.where(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < sample_lines)
+    measured = (
+        short.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, rows array<double>")
+        .withColumn("order", F.struct(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("rows"))).orderBy("order").limit(sample_docs)
     )
+    upto = F.sum(F.size("rows")).over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))  # at most sample_docs rows
+    got = measured.withColumn("upto", upto).where(F.col("upto") <= sample_lines * len(FEATURES)).orderBy("order").collect()
     return train([(np.array(r.rows).reshape(-1, len(FEATURES)), 1 - r.quality) for r in got])
 
 
@@ -224,7 +274,7 @@ def score_lines(
 
 def quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_content: float = 0.5,
-    sample_docs: int = 2000, sample_lines: int = 60, carry: tuple[str, ...] = (),
+    sample_docs: int = 2000, sample_lines: int = 60_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Fit the field on the bounded labelled sample, then ``score_lines``. Without labels of both kinds every line is content."""
     field = fitted(docs, labels, id_col, text_col, sample_docs, sample_lines)
