@@ -5,21 +5,19 @@ times its own, the excess going to the others by weight. A source takes every do
 whole number of times for certain (target / size, rounded down); the rest of its target is a
 sample in which documents are included with the remaining fraction as probability, which differs
 from source to source. Documents are ranked by random odds over inclusion odds, and the sample is
-the head of that order, its size fixed in words: whole documents up to the target, then whichever
-of the next documents in order still fit, and one more where that comes nearer. Where that ends an
-average document or more from the target although later documents fit, the rest of the order is
-searched again and again until none fits.
+the head of that order, its size fixed in words: whole documents up to the first that does not fit,
+then whichever of all later documents in order still fit, and one more where that comes nearer.
 
 The head is found without sorting a source: ranks fall into ``buckets`` equal ranges, sums per
-range are pre-aggregated, and only the range that holds the limit, with a few more documents for
-the fill, is looked at row by row.
+range are pre-aggregated, and only the range that holds the limit, with the next ``fill_from``
+documents, is looked at row by row. What fits of the rest is found in rounds of the same kind.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .rows import content_key, keep, numbered, pick, word_count
+from .rows import content_key, fresh, keep, numbered, pick, word_count
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...], limit: float) -> DataFrame:
@@ -53,23 +51,17 @@ def uniform(*parts: Column) -> Column:
 
 
 def _fill(left: Column, rest: Column) -> Column:
-    """Places of those documents of ``rest`` (in order) that still fit into ``left`` words (``taken``),
-    what is ``left`` then, and the ``least`` of the other ones."""
+    """Places of those documents of ``rest`` (in order) that still fit into ``left`` words (``taken``), and what is ``left`` then."""
     start = F.struct(left.alias("left"), F.array().cast("array<int>").alias("taken"))
     step = lambda s, d: F.when(
-        d["size"] <= s["left"],
+        (d["size"] > 0) & (d["size"] <= s["left"]),
         F.struct((s["left"] - d["size"]).alias("left"), F.array_append(s["taken"], d["rn"]).alias("taken")),
     ).otherwise(s)
-
-    def close(s: Column) -> Column:
-        others = F.filter(rest, lambda d: ~F.array_contains(s["taken"], d["rn"]))
-        least = F.array_min(F.transform(others, lambda d: F.struct(d["size"].alias("size"), d["rn"].alias("rn"), d["row"].alias("row"))))
-        return F.struct(s["taken"].alias("taken"), s["left"].alias("left"), least.alias("least"))
-
-    return F.aggregate(rest, start, step, close)
+    return F.aggregate(rest, start, step)
 
 
 SALTS = 64
+PART = 1000  # rows
 
 
 def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
@@ -98,39 +90,25 @@ def _head(rows: DataFrame, room: Column) -> DataFrame:
     return placed.where("edge is null or bucket < edge").select("source", "row", "size").union(last.select("source", "row", "size"))
 
 
-def _fill_on(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """The rows (``row``) that go on filling sources which the first fill left open.
+def _fill_on(rows: DataFrame, state: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The rows (``row``) of ``rows`` that go on filling the rooms of ``state`` (s, left) in order, and the rooms then.
 
-    ``rows`` are what comes after that fill; ``state`` is (s, left, passed), ``passed`` the least
-    document passed over before. Documents of at most half the room are taken in order until one
-    overflows, which at least halves the room; where there are none so small, the first that fits
-    does the same. So rounds are logarithmic in the room. At the end one more document is taken where
-    that comes nearer.
+    Of the documents that fit at all, those before the first overflow are taken at once. It and all
+    that were too large before stay too large, since a room only shrinks; so the next round looks at
+    what still fits, and the rounds give what one walk along the order would.
     """
-    taken = None
+    taken, rows = None, _by_source(rows, state).where("size > 0 and size <= left")
     while True:
-        fits = F.col("size") <= F.col("left")
-        least = _by_source(rows, state.select("s", "left")).where(fits).groupBy("source").agg(F.min("size").alias("m"), F.first("left").alias("room"))
-        least = keep(least.select(
-            F.col("source").alias("s"), "room", F.when(F.col("m") <= F.col("room") / 2, F.col("room") / 2).otherwise(F.col("room")).alias("most")
-        ))
-        if least.isEmpty():
-            break
-        drawn = keep(_head(_by_source(rows, least).where("size <= most"), F.col("room")))
+        rows = keep(rows)
+        if rows.isEmpty():
+            return taken, state
+        drawn = keep(_head(rows, F.col("left")))
         taken = drawn.select("row") if taken is None else taken.union(drawn.select("row"))
-        rows = keep(rows.join(drawn.select("row"), "row", "left_anti"))
         used = drawn.groupBy(F.col("source").alias("u")).agg(F.sum("size").alias("used"))
         state = keep(
-            state.join(used, F.col("s").eqNullSafe(F.col("u")), "left")
-            .select("s", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), "passed")
+            state.join(used, F.col("s").eqNullSafe(F.col("u")), "left").select("s", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
         )
-    more = rows.groupBy("source").agg(F.min(F.struct("size", "v", "row")).alias("m"))
-    ends = state.join(more, F.col("s").eqNullSafe(F.col("source")), "left").select(
-        "left", F.array_min(F.array_compact(F.array(
-            F.when(F.col("passed").isNotNull(), F.struct(F.col("passed.size").alias("size"), F.lit(0.0).alias("v"), F.col("passed.row").alias("row"))), "m"
-        ))).alias("m")
-    )
-    return taken.union(ends.where(F.col("m.size") < 2 * F.col("left")).select("m.row"))
+        rows = _by_source(rows.drop("left").join(drawn.select("row"), "row", "left_anti"), state).where("size <= left")
 
 
 def mix(
@@ -171,7 +149,8 @@ def mix(
         .withColumn("v", u * (1 - p) / (u * (1 - p) + p * (1 - u)))
         .withColumn("bucket", F.least(F.floor(F.col("v") * buckets), F.lit(buckets - 1)).cast("int"))
     )
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("need").alias("need"))
+    # Sources that need no more than whole copies draw nothing, so none of their rows is looked at again.
+    sums = ranked.where("need > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("need").alias("need"))
     along = Window.partitionBy("source").orderBy("bucket")
     edges = (
         sums.withColumn("after", F.sum("words").over(along)).withColumn("n_after", F.sum("n").over(along))
@@ -213,36 +192,31 @@ def mix(
     ).withColumnRenamed("source", "s")
     rest = close.join(heads, F.col("source").eqNullSafe(F.col("s")))
     after = rest.where((F.col("rn") > F.col("head")) & (F.col("rn") <= F.col("head") + fill_from))
-    filled = after.groupBy("s").agg(
-        (F.first("room") - F.first("used")).alias("left"), F.sort_array(F.collect_list(F.struct("rn", "size", "row"))).alias("next")
-    ).select(F.col("s").alias("f"), _fill(F.col("left"), F.col("next")).alias("d"))
-    closes = F.coalesce(F.col("d.least.size") < 2 * F.col("d.left"), F.lit(False))
-    off = F.when(closes, F.col("d.least.size") - F.col("d.left")).otherwise(F.col("d.left"))
     filled = keep(
-        filled.join(totals, F.col("source").eqNullSafe(F.col("f")))
-        .select("f", "d.taken", F.col("d.left"), F.col("d.least").alias("passed"), closes.alias("closes"), (off >= F.try_divide("source_size", "n_words")).alias("short"))
+        heads.join(
+            after.groupBy(F.col("s").alias("f")).agg(
+                (F.first("room") - F.first("used")).alias("left"), F.sort_array(F.collect_list(F.struct("rn", "size"))).alias("next")
+            ).select("f", _fill(F.col("left"), F.col("next")).alias("d")), F.col("s").eqNullSafe(F.col("f")), "left",
+        ).select(
+            "s", F.coalesce("d.left", F.col("room") - F.col("used")).alias("left"),
+            F.coalesce("d.taken", F.array().cast("array<int>")).alias("picked"),
+        )
     )
-    more = None
-    short = filled.where("short").select(F.col("f").alias("s"), "left", "passed")
-    if not short.isEmpty():
-        wanted = ["row", "doc_id", "source", "size", "v", "bucket"]
-        beyond = placed.where("bucket > last").select(wanted).union(rest.where(F.col("rn") > F.col("head") + fill_from).select(wanted))
-        beyond = keep(_by_source(beyond, short.select("s", "left")).where("size > 0 and size <= left").select(wanted))
-        short = keep(short.join(beyond.select("source").distinct(), F.col("s").eqNullSafe(F.col("source"))).select("s", "left", "passed"))
-        if not short.isEmpty():
-            more = keep(_fill_on(beyond, short).select(F.col("row").alias("m_row")))
-            gone = short.select(F.col("s").alias("on"))
-            filled = filled.join(gone, F.col("f").eqNullSafe(F.col("on")), "left_anti").union(
-                filled.join(gone, F.col("f").eqNullSafe(F.col("on")), "left_semi").withColumn("closes", F.lit(False))
-            )
-    picked = F.when(F.col("closes"), F.array_append("taken", F.col("passed.rn"))).otherwise(F.col("taken"))
-    close = (
-        rest.join(filled.select("f", picked.alias("picked")), F.col("source").eqNullSafe(F.col("f")), "left")
-        .withColumn("drawn", (F.col("rn") <= F.col("head")) | F.coalesce(F.array_contains("picked", F.col("rn")), F.lit(False)))
+    rest = keep(
+        rest.drop("s").join(filled.select(F.col("s").alias("f"), "picked"), F.col("source").eqNullSafe(F.col("f")))
+        .withColumn("drawn", (F.col("rn") <= F.col("head")) | F.array_contains("picked", F.col("rn"))).drop("f", "picked")
     )
-    if more is not None:
-        also = lambda df: df.join(more, F.col("row") == F.col("m_row"), "left").withColumn("drawn", F.col("drawn") | F.col("m_row").isNotNull())
-        clear, close = also(clear), also(close)
+    wanted = ["row", "doc_id", "source", "size", "v", "bucket"]
+    passed = rest.where("not drawn").select(wanted).union(placed.where("bucket > last").select(wanted)).where("size > 0")
+    behind = rest.where(~F.col("drawn") & (F.col("rn") > F.col("head") + fill_from)).select(wanted).union(placed.where("bucket > last").select(wanted))
+    more, state = _fill_on(behind, filled.select("s", "left"))
+    # One more document where that comes nearer: the least of those passed over, the first of equal ones.
+    left_over = passed if more is None else passed.join(more, "row", "left_anti")
+    least = left_over.groupBy("source").agg(F.min(F.struct("size", "v", F.col("doc_id").isNull(), "doc_id", "row")).alias("m"))
+    closing = state.join(least, F.col("s").eqNullSafe(F.col("source"))).where(F.col("m.size") < 2 * F.col("left")).select("m.row")
+    extra = keep((closing if more is None else closing.union(more)).select(F.col("row").alias("m_row")))
+    also = lambda df: df.join(extra, F.col("row") == F.col("m_row"), "left").withColumn("drawn", F.col("drawn") | F.col("m_row").isNotNull())
+    clear, close = also(clear), also(rest)
     columns = ["doc_id", "size", "source", "source_size", "target", "whole", "drawn", *[f"_{c}" for c in carry]]
     copies = F.col("whole") + F.col("drawn").cast("int")
     return clear.select(columns).union(close.select(columns)).select(
@@ -256,17 +230,16 @@ def mixed(
 ) -> DataFrame:
     """``docs`` as the mix takes them: every row as many times as ``mix`` says, whole texts.
 
-    Only ids, sizes and keys go through the sampling; texts meet the result once. Rows that are
-    equal in id, source and text share a key and take the copies of their number in turn.
+    Only ids, sizes and keys go through the sampling; texts meet the result once. Equal rows are one
+    row taken as often as all of them together, so none of them is numbered. A NULL id, source or text
+    is a value like any other, see ``mix``; an empty table gives no rows.
     """
-    key = content_key(F.col(id_col), F.col(source_col), F.col(text_col))
-    keyed = docs.withColumn("_key", key)
-    taken = mix(keyed, id_col, source_col, text_col, carry=("_key",), **settings)
-    per_key = taken.groupBy("_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    per_key = per_key.where(F.get("_copies", F.lit(0)) > 0)
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    times = F.get("_copies", F.col("_n") - 1)
-    return (
-        keyed.join(per_key, "_key").withColumn("_n", nth).where(times > 0)
-        .withColumn("_", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    key, copies, some, each = fresh(docs, "_key", "_copies", "_some", "_each")
+    keyed = docs.withColumn(key, content_key(*[F.col(f"`{c}`") for c in docs.columns]))
+    taken = mix(keyed, id_col, source_col, text_col, carry=(key,), **settings)
+    total = taken.groupBy(key).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    # A text that very many rows hold is dealt out in parts of PART rows.
+    dealt = keyed.dropDuplicates([key]).join(total, key).withColumn(
+        some, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / PART)), lambda i: F.least(F.col(copies) - i * PART, F.lit(PART))))
     )
+    return dealt.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(some)))).select(docs.columns)

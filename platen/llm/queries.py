@@ -127,10 +127,10 @@ ORACLES = {
         ), fill AS (
             SELECT h, head, 0 AS k, (need - used)::DOUBLE AS missing, false AS taken, 0::BIGINT AS size FROM heads
             UNION ALL
-            SELECT f.h, head, f.k + 1, CASE WHEN c.size <= missing THEN missing - c.size ELSE missing END, c.size <= missing, c.size
-            FROM fill f JOIN ranked c ON c.source IS NOT DISTINCT FROM f.h AND c.rn = head + k + 1 WHERE f.k < 64
+            SELECT f.h, head, f.k + 1, CASE WHEN c.size > 0 AND c.size <= missing THEN missing - c.size ELSE missing END, c.size > 0 AND c.size <= missing, c.size
+            FROM fill f JOIN ranked c ON c.source IS NOT DISTINCT FROM f.h AND c.rn = head + k + 1
         ), ends AS (
-            SELECT h, head, arg_max(missing, k) AS missing, min((size, k)) FILTER (k > 0 AND NOT taken) AS least FROM fill GROUP BY ALL
+            SELECT h, head, arg_max(missing, k) AS missing, min((size, k)) FILTER (k > 0 AND NOT taken AND size > 0) AS least FROM fill GROUP BY ALL
         ), picked AS (
             SELECT h, head + k AS rn FROM fill WHERE taken
             UNION ALL SELECT h, head + least[2] FROM ends WHERE least[1] < 2 * missing

@@ -18,6 +18,16 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{names.index(old)}").alias(new) for new, old in wanted.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, or where the table holds one, it with underscores before it: columns that may be added."""
+    out = []
+    for name in names:
+        while name in df.columns or name in out:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Add ``row``: tells repeated rows and rows without an id apart within one job."""
     return df.withColumn("row", F.monotonically_increasing_id())

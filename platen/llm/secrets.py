@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .rows import content_key, keep, numbered, pick
+from .rows import content_key, fresh, keep, numbered, pick
 
 # Patterns of the base kinds, in their order. Of a kind with a value, its length decides.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -121,20 +121,38 @@ def base_only(found: Column) -> Column:
     return F.filter(found, lambda s: s["kind_no"] < len(BASE))
 
 
+STRIDE = 1024
+
+
+def _stretch(pieces: Column, a: Column, b: Column) -> Column:
+    """Characters a to b (exclusive) of a text held in pieces of ``STRIDE`` characters: no more than these are walked."""
+    first = F.floor(a / STRIDE).cast("int")
+    last = F.floor((b - 1) / STRIDE).cast("int")
+    return F.when(b > a, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), a - first * STRIDE + 1, b - a)).otherwise("")
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark``; rows and columns stay, clean texts are untouched."""
-    found = (
-        spans(docs, id_col, text_col).where(F.size("found") > 0).dropDuplicates(["key"])
-        .select(F.col("key").alias("_key"), F.col("found").alias("_found"))
-    )
-    keyed = docs.withColumn("_key", content_key(F.col(id_col), F.col(text_col)))
-    whole = keyed.join(found, "_key", "left")
+    """``docs`` with every reported span replaced by ``mark``; rows and columns stay, clean texts and NULL are untouched.
+
+    Spans that overlap or touch nothing between them share a mark only if they overlap. The work is
+    linear in the text and its spans. A NULL id keeps its row, repeated rows are all redacted, an empty
+    table gives none.
+    """
+    key, gaps, end, pieces = fresh(docs, "_key", "_gaps", "_end", "_pieces")
+    along = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     # Overlapping spans are cut from the furthest end so far.
-    ends = F.transform("_found", lambda s, i: F.array_max(F.transform(F.slice("_found", F.lit(1), i), lambda t: t["end"])))
-    gaps = F.zip_with("_found", ends, lambda s, e: F.struct(F.coalesce(e, F.lit(0)).alias("a"), s["start"].alias("b")))
-    kept = F.transform(
-        F.filter(gaps, lambda g: (g["b"] >= g["a"])), lambda g: F.concat(F.substring(F.col(text_col), g["a"] + 1, g["b"] - g["a"]), F.lit(mark))
+    each = (
+        spans(docs, id_col, text_col).where(F.size("found") > 0).dropDuplicates(["key"])
+        .select("key", F.posexplode("found").alias("at", "s")).select("key", "at", "s.start", "s.end")
+        .withColumn("from", F.coalesce(F.max("end").over(along), F.lit(0)))
     )
-    tail = F.array_max(F.transform("_found", lambda s: s["end"]))
-    text = F.concat(F.array_join(kept, ""), F.substring(F.col(text_col), tail + 1, F.length(F.col(text_col))))
-    return whole.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(text)).select(docs.columns)
+    cuts = each.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct(F.col("from").alias("a"), F.col("start").alias("b"))))).alias(gaps),
+        F.max("end").alias(end),
+    ).withColumnRenamed("key", key)
+    text = F.col(text_col)
+    whole = docs.withColumn(key, content_key(F.col(id_col), text)).join(cuts, key, "left")
+    whole = whole.withColumn(pieces, F.when(F.col(gaps).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRIDE}}}"), F.lit(0))))
+    kept = F.transform(gaps, lambda g: F.concat(_stretch(F.col(pieces), g["a"], g["b"]), F.lit(mark)))
+    clean = F.concat(F.array_join(kept, ""), _stretch(F.col(pieces), F.col(end), F.length(text)))
+    return whole.withColumn(text_col, F.when(F.col(gaps).isNull(), text).otherwise(clean)).select(docs.columns)

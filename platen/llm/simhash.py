@@ -25,7 +25,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .rows import components, content_key, keep, numbered, pick
+from .rows import components, content_key, fresh, keep, numbered, pick
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -263,6 +263,7 @@ def without_near_duplicates(
     """``docs`` with one document per component: that of the smallest id (of NULL ids and repeated rows, one)."""
     prints = keep(fingerprints(docs, id_col, text_col, width))
     rooted = _rooted(prints, max_bits, blocks, bucket_rows)
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    keyed = docs.withColumn("_key", content_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    (key,) = fresh(docs, "_key")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    keyed = docs.withColumn(key, content_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(docs.columns)
