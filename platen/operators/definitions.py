@@ -76,14 +76,14 @@ def normalise_steps(requests: DataFrame, raw: str = "raw") -> DataFrame:
         .withColumn(
             "error",
             first_error(
-                (F.coalesce(F.size("_items") < 1, F.lit(True)), error("invalid_param", "steps must be a non-empty array")),
+                (F.coalesce(F.size("_items") < 1, F.lit(True)), error("invalid_param", "there is no list of steps")),
                 (
                     F.col("_bad_id").isNotNull() & (F.col("_bad_id") <= F.coalesce("_bad_params", "_bad_id")),
-                    error("invalid_param", at(F.col("_bad_id"), "] has no usable toolId")),
+                    error("invalid_param", at(F.col("_bad_id"), "] names no tool")),
                 ),
                 (
                     F.col("_bad_params").isNotNull(),
-                    error("invalid_param", at(F.col("_bad_params"), "].params must be an object")),
+                    error("invalid_param", at(F.col("_bad_params"), "] has parameters of the wrong kind")),
                 ),
             ),
         )
@@ -111,13 +111,13 @@ def check_build_requests(requests: DataFrame) -> DataFrame:
         first_error(
             (
                 F.col("origin").isNotNull() & ~F.col("origin").isin(ORIGINS),
-                error("invalid_param", "origin must be one of " + " | ".join(ORIGINS)),
+                error("invalid_param", "unknown origin; known are " + " | ".join(ORIGINS)),
             ),
             (
                 F.col("name").isNotNull() & ~F.col("name").rlike(CHAIN_NAME),
-                error("invalid_param", "name must be 1-60 printable characters"),
+                error("invalid_param", "a name has 1 to 60 printable characters"),
             ),
-            (bad_score, error("invalid_param", "selfScore must be a number 0-100")),
+            (bad_score, error("invalid_param", "a self-score lies between 0 and 100")),
         ),
     )
 

@@ -24,13 +24,13 @@ def measure(content: Column, declared_type: Column) -> Column:
     want = lookup(ARTIFACT_EXPECTS, declared)
     seen = sniff(content)
     return notes(
-        ("emptyOutput", F.octet_length(content) == 0, F.lit("artifact is 0 bytes (measured from the bytes)")),
+        ("emptyOutput", F.octet_length(content) == 0, F.lit("measured: no bytes")),
         (
             "magicMismatch",
             (F.octet_length(content) > 0) & (want != seen["type"]),
             F.concat(
-                F.lit("declared "), declared, F.lit(', magic bytes say "'), seen["magic"],
-                F.lit('" (measured from the bytes)'),
+                F.lit("declared "), declared, F.lit(', signature "'), seen["magic"],
+                F.lit('" (measured)'),
             ),
         ),
     )
@@ -64,8 +64,8 @@ def gate(content: Column, want: str) -> Column:
     return F.when(
         seen["type"] != want,
         F.struct(
-            F.concat(F.lit('magic bytes say "'), seen["magic"], F.lit('"')).alias("note"),
-            F.concat(F.lit(f"not a {want.upper()} (magic says "), seen["magic"], F.lit(")")).alias("error"),
+            F.concat(F.lit('signature "'), seen["magic"], F.lit('"')).alias("note"),
+            F.concat(F.lit(f"{want.upper()} wanted, found "), seen["magic"]).alias("error"),
         ),
     )
 

@@ -267,9 +267,9 @@ def _run_step(df: DataFrame, number: int, tool: str, params: dict) -> DataFrame:
 
     empty = F.expr(f"cast(map() as {NOTES})")
     if wants:
-        refused = F.concat(F.lit(f"{GATE_LABEL[tool]} refused: not a {wants.upper()} (magic says "), F.col("_seen.magic"), F.lit(")"))
+        refused = F.concat(F.lit(f"{GATE_LABEL[tool]} wants {wants.upper()}, found "), F.col("_seen.magic"))
         declared = F.coalesce("declared_type", "type", F.lit(wants))
-        mismatch = F.concat(F.lit("declared "), declared, F.lit(', magic bytes say "'), F.col("_seen.magic"), F.lit('"'))
+        mismatch = F.concat(F.lit("declared "), declared, F.lit(', signature "'), F.col("_seen.magic"), F.lit('"'))
         df = df.withColumn("_error", F.when(~passed, refused).otherwise(F.col("_error"))).withColumn(
             "_notes",
             F.when(~passed, F.create_map(F.lit("magicMismatch"), mismatch)).otherwise(F.coalesce("_notes", empty)),

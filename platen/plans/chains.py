@@ -354,9 +354,9 @@ def step_list_requests(spark: SparkSession, d: str) -> DataFrame:
         string_agg(concat_ws('/', tool, in_type, out_type, quality), '>' ORDER BY i) AS steps
       FROM checked GROUP BY event_id)
     SELECT r.event_id,
-      CASE WHEN n IS NULL THEN 'steps must be a non-empty array'
-           WHEN at_id IS NOT NULL AND at_id <= coalesce(at_params, at_id) THEN 'steps[' || at_id || '] has no usable toolId'
-           WHEN at_params IS NOT NULL THEN 'steps[' || at_params || '].params must be an object' END AS error,
+      CASE WHEN n IS NULL THEN 'there is no list of steps'
+           WHEN at_id IS NOT NULL AND at_id <= coalesce(at_params, at_id) THEN 'steps[' || at_id || '] names no tool'
+           WHEN at_params IS NOT NULL THEN 'steps[' || at_params || '] has parameters of the wrong kind' END AS error,
       CASE WHEN n IS NOT NULL AND at_id IS NULL AND at_params IS NULL THEN steps END AS steps
     FROM requests r LEFT JOIN errors USING (event_id)""",
 )
@@ -378,9 +378,9 @@ def step_list_parsing(spark: SparkSession, d: str) -> DataFrame:
         CAST(o_orderkey % 70 AS VARCHAR) AS history_limit
       FROM orders)
     SELECT o_orderkey,
-      CASE WHEN origin = 'martian' THEN 'origin must be one of agent | human | seeded'
-           WHEN length(name) NOT BETWEEN 1 AND 60 OR contains(name, chr(9)) THEN 'name must be 1-60 printable characters'
-           WHEN self_score = 'high' OR CAST(nullif(self_score, 'high') AS INTEGER) > 100 THEN 'selfScore must be a number 0-100' END AS error,
+      CASE WHEN origin = 'martian' THEN 'unknown origin; known are agent | human | seeded'
+           WHEN length(name) NOT BETWEEN 1 AND 60 OR contains(name, chr(9)) THEN 'a name has 1 to 60 printable characters'
+           WHEN self_score = 'high' OR CAST(nullif(self_score, 'high') AS INTEGER) > 100 THEN 'a self-score lies between 0 and 100' END AS error,
       CASE WHEN CAST(history_limit AS INTEGER) NOT BETWEEN 1 AND 60 THEN 'invalid_param' END AS limit_code,
       CASE WHEN CAST(history_limit AS INTEGER) < 1 THEN 'invalid_param' END AS open_limit_code
     FROM requests""",
@@ -486,21 +486,30 @@ GOALS = [
 ]
 
 
+def _scored_sql(chains: list[tuple]) -> str:
+    """``verdict`` over a few chains given as (input type, goal type, steps, claim), numbered from 0; needs ``cat``."""
+    rows = ", ".join(f"({i}, {sql.q(a)}, {sql.q(b)}, {sql.q('>'.join(steps))}, {claim})" for i, (a, b, steps, claim) in enumerate(chains))
+    return f"""proposals(chain_id, it, ot, path, claimed) AS (VALUES {rows}),
+    steps AS (
+      SELECT chain_id, idx, tool_id, CAST(NULL AS BIGINT) AS side, CAST(NULL AS BIGINT) AS quality, CAST(NULL AS VARCHAR) AS font, in_type, out_type
+      FROM (SELECT chain_id, unnest(string_split(path, '>')) AS tool_id, unnest(range(len(string_split(path, '>')))) AS idx FROM proposals)
+      LEFT JOIN cat ON id = tool_id),
+    {sql.FACT_ROWS},
+    judged AS (SELECT f.*, it, ot, path, claimed FROM facts f JOIN proposals USING (chain_id)),
+    {sql.verdict_sql('judged', measured=False, claimed=False)}"""
+
+
 @query(
     "goal_proposals",
-    f"""WITH goals AS (
+    f"""WITH {sql.CATALOG}, {_scored_sql([routing.KNOWN_BAD] + [r[1:5] for r in routing.GOAL_RULES])}, goals AS (
       SELECT event_id, CASE WHEN event_id % 3 = 0 THEN repeat('please, ', 40) ELSE '' END || {sql.strings(GOALS)}[1 + event_id % 8] || ' ' || event_type AS goal FROM events),
     routed AS (
       SELECT *, lower(goal) AS g,
         CASE WHEN regexp_matches(lower(goal), '{routing.BAD_GOAL}') THEN 0
              {' '.join(f"WHEN regexp_matches(lower(goal), {sql.q(r[0])}) THEN {i + 1}" for i, r in enumerate(routing.GOAL_RULES))}
              ELSE 5 END AS rule FROM goals)
-    SELECT event_id, goal,
-      {sql.strings(['>'.join(routing.KNOWN_BAD[2])] + ['>'.join(r[3]) for r in routing.GOAL_RULES])}[1 + rule] AS steps,
-      {[routing.KNOWN_BAD[3]] + [r[4] for r in routing.GOAL_RULES]}[1 + rule] AS self_score,
-      {[10, 100, 100, 10, 100, 92]}[1 + rule] AS score,
-      {[83, -2, -8, 85, -1, 8]}[1 + rule] AS gap
-    FROM routed""",
+    SELECT event_id, goal, path AS steps, claimed AS self_score, score, claimed - score AS gap
+    FROM routed JOIN verdict ON chain_id = rule""",
 )
 def goal_proposals(spark: SparkSession, d: str) -> DataFrame:
     goals = views.table(spark, d, "events").select(
@@ -611,8 +620,8 @@ def empty_chains(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "known_chains",
-    f"""WITH {sql.STEPS} SELECT chain_id, CASE WHEN chain_id % 2 = 0 THEN 'T01:plan,T09:plan,T12:plan' ELSE '' END AS hits,
-      CASE WHEN chain_id % 2 = 0 THEN 10 ELSE 100 END AS score, CASE WHEN chain_id % 2 = 0 THEN 83 ELSE 0 END AS gap FROM attrs""",
+    f"""WITH {_EVENT_STEPS}, {_scored_sql([routing.KNOWN_BAD, routing.KNOWN_GOOD])}
+    SELECT a.chain_id, hits, score, claimed - score AS gap FROM attrs a JOIN verdict v ON v.chain_id = a.chain_id % 2""",
 )
 def known_chains(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue's bad and good example, dealt to the chain ids, with the gap to the score they claim."""

@@ -62,8 +62,8 @@ def document_scan(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "gate_refusals",
     f"""WITH {sql.SNIFFED}
-    SELECT doc_id, CASE WHEN kind <> 'zip' THEN 'not a ZIP (magic says ' || magic || ')' END AS zip_error,
-           CASE WHEN kind <> 'pdf' THEN 'magic bytes say "' || magic || '"' END AS pdf_note FROM seen""",
+    SELECT doc_id, CASE WHEN kind <> 'zip' THEN 'ZIP wanted, found ' || magic END AS zip_error,
+           CASE WHEN kind <> 'pdf' THEN 'signature "' || magic || '"' END AS pdf_note FROM seen""",
 )
 def gate_refusals(spark: SparkSession, d: str) -> DataFrame:
     return views.artifacts(spark, d).select(
@@ -89,8 +89,8 @@ def output_checks(spark: SparkSession, d: str) -> DataFrame:
     "artifact_measurement",
     f"""WITH {sql.SNIFFED}
     SELECT doc_id, n_bytes,
-      CASE WHEN n_bytes = 0 THEN 'artifact is 0 bytes (measured from the bytes)' END AS empty_output,
-      CASE WHEN n_bytes > 0 AND {_WANT} <> kind THEN 'declared ' || declared_type || ', magic bytes say "' || magic || '" (measured from the bytes)' END AS magic_mismatch
+      CASE WHEN n_bytes = 0 THEN 'measured: no bytes' END AS empty_output,
+      CASE WHEN n_bytes > 0 AND {_WANT} <> kind THEN 'declared ' || declared_type || ', signature "' || magic || '" (measured)' END AS magic_mismatch
     FROM (SELECT * REPLACE (CASE WHEN doc_id % 100 = 7 AND n_bytes > 0 THEN n_bytes + 700000 ELSE n_bytes END AS n_bytes) FROM seen)""",
 )
 def artifact_measurement(spark: SparkSession, d: str) -> DataFrame:
@@ -171,11 +171,11 @@ _UPLOAD_SQL = """requests AS (
     CASE doc_id % 7 WHEN 0 THEN 'docx' WHEN 1 THEN 'martian' WHEN 2 THEN 'txt' END AS type, text AS body
   FROM documents),
 checked AS (
-  SELECT *, CASE WHEN NOT regexp_full_match(name, '[A-Za-z0-9._-]{1,40}') THEN 'name must match [A-Za-z0-9._-]{1,40}'
-    WHEN (b64 IS NOT NULL) = (text IS NOT NULL) THEN 'send exactly one of b64 or text'
-    WHEN b64 LIKE '\\%%' ESCAPE '\\' THEN 'b64 is not valid base64'
-    WHEN text = '' THEN 'the fixture is empty (0 bytes)'
-    WHEN type = 'martian' THEN 'type must be one of TYPES' END AS error
+  SELECT *, CASE WHEN NOT regexp_full_match(name, '[A-Za-z0-9._-]{1,40}') THEN 'a name has 1 to 40 characters out of A-Z a-z 0-9 . _ -'
+    WHEN (b64 IS NOT NULL) = (text IS NOT NULL) THEN 'content is wanted once, as base64 or as text'
+    WHEN b64 LIKE '\\%%' ESCAPE '\\' THEN 'the base64 content cannot be decoded'
+    WHEN text = '' THEN 'the document holds no bytes'
+    WHEN type = 'martian' THEN 'unknown type; known are TYPES' END AS error
   FROM requests)""".replace("TYPES", " | ".join(DOCUMENT_TYPES))
 
 
@@ -292,7 +292,7 @@ def text_documents(spark: SparkSession, d: str) -> DataFrame:
     summary AS (SELECT doc_id, text, CASE WHEN two = '' THEN left(text, 160) ELSE two END || chr(10) AS s FROM lead)
     SELECT doc_id, 1 AS step, 'summarize' AS tool_id, true AS ok, strlen(text) AS bytes_in, strlen(s) AS bytes_out, NULL AS error FROM summary
     UNION ALL SELECT doc_id, 2, 'docx-text', false, NULL, NULL,
-      'docx → text refused: not a ZIP (magic says no known signature)' FROM summary""",
+      'docx → text wants ZIP, found no known signature' FROM summary""",
 )
 def corpus_run_log(spark: SparkSession, d: str) -> DataFrame:
     """Summarise, then a step that refuses text, then one that must not run any more."""
@@ -307,8 +307,8 @@ def corpus_run_log(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN n_bytes > 0 AND {_WANT} <> kind THEN 'T13:measured' WHEN kind <> 'zip' THEN 'T13:claimed' END AS t13 FROM seen)
     SELECT doc_id, concat_ws(',', t04, t05, t13) AS hits,
       100 - CASE WHEN t04 IS NULL THEN 0 ELSE 30 END - CASE WHEN t05 IS NULL THEN 0 ELSE 15 END - CASE WHEN t13 IS NULL THEN 0 ELSE 30 END AS score,
-      CASE WHEN kind <> 'zip' THEN CASE WHEN doc_id % 6 = 1 THEN 'seen by the caller' ELSE 'declared ' || declared_type || ', magic bytes say "' || magic || '"' END END AS note,
-      CASE WHEN kind = 'zip' THEN 'not a zip: no end-of-central-directory record' ELSE 'docx → text refused: not a ZIP (magic says ' || magic || ')' END AS error,
+      CASE WHEN kind <> 'zip' THEN CASE WHEN doc_id % 6 = 1 THEN 'seen by the caller' ELSE 'declared ' || declared_type || ', signature "' || magic || '"' END END AS note,
+      CASE WHEN kind = 'zip' THEN 'no archive: its directory is missing' ELSE 'docx → text wants ZIP, found ' || magic END AS error,
       false AS ok FROM judged""",
 )
 def corpus_run_verdicts(spark: SparkSession, d: str) -> DataFrame:

@@ -78,7 +78,7 @@ def archive_lookups(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "broken_archives",
     """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'doc-' || doc_id END AS name,
-      CASE doc_id % 3 WHEN 1 THEN 'unreadable zip: zip file version 9.9' WHEN 2 THEN 'not a zip: no end-of-central-directory record' END AS error,
+      CASE doc_id % 3 WHEN 1 THEN 'unreadable zip: zip file version 9.9' WHEN 2 THEN 'no archive: its directory is missing' END AS error,
       CASE doc_id % 3 WHEN 0 THEN strlen(text) END AS bytes FROM documents""",
 )
 def broken_archives(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # Ship the functions below inside the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-NO_DIRECTORY = "not a zip: no end-of-central-directory record"
+NO_DIRECTORY = "no archive: its directory is missing"
 
 
 MAX_MEMBER = 1 << 30  # bytes one member may inflate to; beyond it the member gives an error, not a dead worker
