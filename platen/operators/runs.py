@@ -425,6 +425,38 @@ def verdict_diff(both: DataFrame, key: str = "chain_id") -> DataFrame:
     )
 
 
+def with_previous(rows: DataFrame, key: str, order: tuple[str, ...], values: tuple[str, ...], band: Column, out: str = "previous") -> DataFrame:
+    """Add ``out``, a struct of ``values`` of the row before in the order of its ``key``; NULL for the first one.
+
+    ``band`` is a coarse prefix of the order, such as a month. Inside a band the row before is looked up
+    in a window over the band; a band hands its last row to the next one that has rows. So a key that holds
+    a third of all rows is spread over its bands. ``order`` must tell the rows of a key apart. Rows of a
+    NULL key or NULL band follow each other like those of any other.
+    """
+    rest = F.struct(*values)
+    banded = rows.withColumn("_band", band)
+    inside = Window.partitionBy(key, "_band").orderBy(*order)
+    last = banded.groupBy(F.col(key).alias("_k"), F.col("_band").alias("_b")).agg(F.max_by(rest, F.struct(*order)).alias("_last"))
+    handed = last.withColumn("_handed", F.lag("_last").over(Window.partitionBy("_k").orderBy("_b"))).drop("_last")
+    placed = banded.withColumns({"_own": F.lag(rest).over(inside), "_first": F.row_number().over(inside) == 1})
+    met = placed.join(handed, F.col(key).eqNullSafe(F.col("_k")) & F.col("_band").eqNullSafe(F.col("_b")))
+    return met.select(*rows.columns, F.when(F.col("_first"), F.col("_handed")).otherwise(F.col("_own")).alias(out))
+
+
+def changes_by_run(verdicts: DataFrame, band: Column, key: str = "chain_id") -> DataFrame:
+    """What each run changed: verdicts (chain_id, run_id, at, hits as strings, score) against the run before.
+
+    Gives (chain_id, run_id, previous_run, appeared, resolved, score_delta); of a first run all hits appear
+    and the delta is NULL.
+    """
+    paired = with_previous(verdicts, key, ("at", "run_id"), ("run_id", "hits", "score"), band)
+    before = F.coalesce("previous.hits", F.array().cast("array<string>"))
+    return paired.select(
+        key, "run_id", F.col("previous.run_id").alias("previous_run"), F.array_except("hits", before).alias("appeared"),
+        F.array_except(before, F.col("hits")).alias("resolved"), (F.col("score") - F.col("previous.score")).alias("score_delta"),
+    )
+
+
 def step_records(steps: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """Chain steps next to what their last run recorded at the same position (1-based in the log)."""
     recorded = log.select(key, (F.col("step") - 1).alias("idx"), "ok", "note")

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import tabular
-from ..operators import markdown_lines, reading_order, step_tables, stored
+from ..operators import markdown_lines, reading_order, runs, step_tables, stored
+from ..operators.catalog import TRAPS, WEIGHTS
 from ..session import shared_folder
 from ..sources import csv_split, views
+from . import sql
 from .chains import _CURRENT
 from .registry import query
 
@@ -151,6 +153,32 @@ def crowded_page(spark: SparkSession, d: str) -> DataFrame:
     return reading_order.reading_positions(runs).select("doc_id", "page", "seq", "visual_pos")
 
 
+# ------------------------------------------------------------------------- runs
+
+_FIRED = ", ".join(f"CASE WHEN (o_orderkey * 31 + floor(o_totalprice)::BIGINT + {17 * i}) % 7 = 0 THEN {sql.q(t.id)} END" for i, t in enumerate(TRAPS))
+_LOST = " + ".join(
+    f"CASE WHEN (o_orderkey * 31 + floor(o_totalprice)::BIGINT + {17 * i}) % 7 = 0 THEN {WEIGHTS[t.severity]} ELSE 0 END" for i, t in enumerate(TRAPS)
+)
+
+
+@query(
+    "run_verdict_changes",
+    f"""WITH verdicts AS (
+      SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS chain_id, o_orderkey AS run_id, o_orderdate AS done_at,
+        list_filter([{_FIRED}], lambda x: x IS NOT NULL) AS hits, greatest(0, 100 - ({_LOST})) AS score FROM orders),
+    paired AS (
+      SELECT *, lag(run_id) OVER w AS previous_run, coalesce(lag(hits) OVER w, []) AS before, lag(score) OVER w AS score_before
+      FROM verdicts WINDOW w AS (PARTITION BY chain_id ORDER BY done_at, run_id))
+    SELECT chain_id, run_id, previous_run, array_to_string(list_filter(hits, lambda h: NOT list_contains(before, h)), ',') AS appeared,
+      array_to_string(list_filter(before, lambda h: NOT list_contains(hits, h)), ',') AS resolved, score - score_before AS score_delta FROM paired""",
+)
+def run_verdict_changes(spark: SparkSession, d: str) -> DataFrame:
+    """New and resolved hits and the change of the score, from each run of a chain to the next."""
+    verdicts = views.run_verdicts(spark, d)
+    changed = runs.changes_by_run(verdicts, F.date_trunc("month", F.col("at")))
+    return changed.withColumns({c: F.array_join(c, ",") for c in ("appeared", "resolved")})
+
+
 # ---------------------------------------------------------------- stored tables
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.catalog import GOAL_TYPES, INPUTS, TRANSFORMS
+from ..operators.catalog import GOAL_TYPES, INPUTS, TRANSFORMS, TRAPS, WEIGHTS
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SLOTS = [t.id for t in TRANSFORMS] + ["not-a-real-transform"]
@@ -268,3 +268,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("o_totalprice")).cast("bigint").alias("ms"),
         F.floor(F.col("o_totalprice") % 101).cast("int").alias("score"),
     )
+
+
+def run_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict per run from the notes it left; a third of all runs are of one chain."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    fired = [F.when((key * 31 + price + 17 * i) % 7 == 0, F.struct(F.lit(t.id).alias("id"), F.lit(WEIGHTS[t.severity]).alias("weight"))) for i, t in enumerate(TRAPS)]
+    found = F.array_compact(F.array(*fired))
+    return table(spark, sf_dir, "orders").select(
+        F.when(key % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("o_custkey")).alias("chain_id"), key.alias("run_id"), F.col("o_orderdate").alias("at"),
+        F.transform(found, lambda h: h["id"]).alias("hits"),
+        F.greatest(F.lit(0), 100 - F.aggregate(found, F.lit(0), lambda n, h: n + h["weight"])).alias("score"),
+    )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platen.functions.markup import markdown_to_html
-from platen.operators import markdown_lines, reading_order, step_tables, stored, validate
+from platen.operators import markdown_lines, reading_order, runs, step_tables, stored, validate
 from platen.operators.catalog import TRANSFORMS
 from platen.operators.ranges import rank_within
 from platen.session import shared_folder
@@ -147,6 +147,25 @@ def test_a_long_chain_is_many_groups(spark, as_dealt):
     assert {(r.current, r["count"]) for r in typed.groupBy("current").count().collect()} == {("pdf", 8), ("txt", n - 8)}
 
 
+# -------------------------------------------------------------------------- runs
+
+
+@pytest.mark.parametrize("width", [1, 10, 10_000])
+def test_each_run_meets_the_one_before(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice([0, 0, 1, None]), i, rng.randrange(300), [h for h in "abc" if rng.random() < 0.5], rng.randrange(100)) for i in range(500)]
+    verdicts = spark.createDataFrame(rows, "chain_id long, run_id long, at int, hits array<string>, score int")
+    got = {r.run_id: r for r in runs.changes_by_run(verdicts, F.floor(F.col("at") / width)).collect()}
+    assert len(got) == len(rows)
+    for chain in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == chain), key=lambda r: (r[2], r[1]))
+        for before, now in zip([None, *mine], mine):
+            old = before[3] if before else []
+            assert got[now[1]].previous_run == (before and before[1])
+            assert got[now[1]].appeared == [h for h in now[3] if h not in old] and got[now[1]].resolved == [h for h in old if h not in now[3]]
+            assert got[now[1]].score_delta == (now[4] - before[4] if before else None)
+
+
 # ---------------------------------------------------------------------- markdown
 
 LINES = ["# head", "text", "more text", "- item", "1. item", "| a | b |", "|---|---|", "```", "", "  ", "* x", "> quoted", "#nohead", "```js", "| only", "##  "]
@@ -201,14 +220,14 @@ def test_ranks_of_a_hot_group_with_ties_and_nulls(spark):
 
 
 def test_one_position_holds_all_runs_of_a_page(spark, as_dealt):
-    runs = spark.range(5000).select(
+    placed = spark.range(5000).select(
         F.lit(1).alias("doc_id"), F.lit(1).alias("page"), (F.lit(5000) - F.col("id")).alias("seq"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"),
         F.col("id").cast("string").alias("text"),
     )
-    got = reading_order.reading_positions(runs)
+    got = reading_order.reading_positions(placed)
     assert got.where("visual_pos <> seq - 1").count() == 0
     assert got.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
-    assert reading_order.order_differs(runs).collect()[0].order_differs is False
+    assert reading_order.order_differs(placed).collect()[0].order_differs is False
 
 
 # ----------------------------------------------------------------- stored tables
