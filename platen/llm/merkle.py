@@ -20,12 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .rows import keep, pick
 
 ARITY = 3  # the template below cuts runs of this many nodes
-HEIGHT = 5  # levels of a block
+HEIGHT = 6  # levels of a block
 FAN = ARITY**HEIGHT
 COPIES = 4096
 TOP = -1  # the tree over the sources
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 def digest(*parts: Column) -> Column:
@@ -210,57 +209,64 @@ _FOLD = f"""aggregate(levels, named_struct('place', place, 'folded', folded, 'pr
 
 _CLIMB = f"""
 WITH RECURSIVE climb AS (
-  SELECT row, lane, tree, story, block, place, lanes, folded, proof, subroot, root FROM {{leaves}}
+  SELECT doc_id, leaf, lane, tree, story, block, place, lanes, folded, proof, subroot, root FROM {{leaves}}
   UNION ALL
-  SELECT row, lane, up_tree, up_story, up_block, up_place, up_lanes, s.folded, s.proof, subroot, root
+  SELECT doc_id, leaf, lane, up_tree, up_story, up_block, up_place, up_lanes, s.folded, s.proof, subroot, root
   FROM (
-    SELECT c.row, c.lane, n.up_tree, n.up_story, n.up_block, n.up_place, n.up_lanes, {_FOLD} AS s,
+    SELECT c.doc_id, c.leaf, c.lane, n.up_tree, n.up_story, n.up_block, n.up_place, n.up_lanes, {_FOLD} AS s,
            CASE WHEN n.ends THEN n.top ELSE c.subroot END AS subroot, CASE WHEN n.up_tree IS NULL THEN n.top END AS root
     FROM climb c JOIN {{nodes}} n
       ON c.tree = n.at_tree AND c.story = n.at_story AND c.block = n.at_block AND c.lane % c.lanes = n.copy
   )
 )
-SELECT row, folded, proof, subroot, root FROM climb WHERE tree IS NULL
+SELECT doc_id, leaf, subroot, root, unhex(sha2(CAST(lower(hex(proof)) AS BINARY), 256)) AS proof_digest, folded
+FROM climb WHERE tree IS NULL
 """
 
 
 @contextmanager
-def _unlimited(spark: SparkSession):
-    """Recursive queries of any number of rows, for the time of one job."""
-    before = spark.conf.get(_LIMIT, None)
-    spark.conf.set(_LIMIT, "-1")
+def _settings(spark: SparkSession):
+    """For the time of the jobs: recursive queries of any number of rows, and no splitting of uneven joins at run time.
+
+    Joins are even as they stand: by range, or by lanes of leaves. Splitting them once more only multiplies tasks.
+    """
+    wanted = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.skewJoin.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_LIMIT) if before is None else spark.conf.set(_LIMIT, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def climb(numbered: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    """(row, folded, proof, subroot, root) per leaf, all as bytes; the proof is the joined siblings, leaf to root.
+    """(doc_id, leaf, subroot, root, proof_digest, folded) per leaf, digests as bytes; a proof is the joined siblings, leaf to root.
 
-    ``numbered`` has ``row``, a number per leaf, and where the leaf's tree has one node only its
-    place in the tree over the sources.
+    A leaf that is the whole tree of its source begins at its place in the tree over the sources.
     """
     nothing = F.lit(b"")
+    begun = F.coalesce("tampered", "leaf").alias("folded")
     if nodes is None:
-        return numbered.select("row", F.coalesce("tampered", "leaf").alias("folded"), nothing.alias("proof"), F.col("leaf").alias("subroot"), F.col("leaf").alias("root"))
+        return numbered.select(
+            "doc_id", "leaf", F.col("leaf").alias("subroot"), F.col("leaf").alias("root"), F.unhex(F.sha2(nothing, 256)).alias("proof_digest"), begun
+        )
     spark = numbered.sparkSession
     lone = F.col("n") == 1
     start = numbered.select(
-        "row", F.floor(F.col("at") / FAN).alias("lane"),
+        "doc_id", "leaf", F.floor(F.col("at") / FAN).alias("lane"),
         F.when(lone, F.lit(TOP).cast("long")).otherwise(F.col("tree")).alias("tree"), F.lit(0).alias("story"),
         F.floor(F.when(lone, F.col("tree")).otherwise(F.col("at")) / FAN).alias("block"),
         (F.when(lone, F.col("tree")).otherwise(F.col("at")) % FAN).cast("int").alias("place"),
         F.when(lone, F.lit(COPIES)).otherwise(F.lit(1)).alias("lanes"),
-        F.coalesce("tampered", "leaf").alias("folded"), nothing.alias("proof"),
-        F.when(lone, F.col("leaf")).alias("subroot"), F.lit(None).cast("binary").alias("root"),
+        begun, nothing.alias("proof"), F.when(lone, F.col("leaf")).alias("subroot"), F.lit(None).cast("binary").alias("root"),
     )
     copies = keep(nodes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lanes").cast("long") - 1))).select(
         F.col("tree").alias("at_tree"), F.col("story").alias("at_story"), F.col("block").alias("at_block"), "copy",
         "levels", "top", "ends", "up_tree", "up_story", "up_block", "up_place", "up_lanes",
     ))
-    with _unlimited(spark):
-        return keep(spark.sql(_CLIMB, leaves=start, nodes=copies))
+    return keep(spark.sql(_CLIMB, leaves=start, nodes=copies))
 
 
 def manifest(docs: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
@@ -272,12 +278,12 @@ def manifest(docs: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
     tree of a source of one leaf is that leaf, a run of one node still becomes its digest, and an
     empty proof is the digest of nothing. An empty table gives no rows.
     """
-    numbered, trees = numbered_leaves(leaves(docs, columns))
-    numbered = keep(numbered.withColumn("row", F.monotonically_increasing_id()))
-    nodes, _ = build(numbered, trees)
-    kind = dict(docs.dtypes)[columns[0]]
-    climbed = climb(numbered, nodes)
-    return numbered.select("row", "doc_id", "leaf").join(climbed, "row").select(
-        F.col("doc_id").cast(kind).alias("doc_id"), _text("leaf").alias("leaf"), _text("subroot").alias("subroot"), _text("root").alias("root"),
-        digest(_text("proof")).alias("proof_sha256"), _text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    with _settings(docs.sparkSession):
+        numbered, trees = numbered_leaves(leaves(docs, columns))
+        numbered = keep(numbered)
+        nodes, _ = build(numbered, trees)
+        climbed = climb(numbered, nodes)
+    return climbed.select(
+        "doc_id", *[_text(c).alias(c) for c in ("leaf", "subroot", "root")], _text("proof_digest").alias("proof_sha256"),
+        _text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
