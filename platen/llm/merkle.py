@@ -5,9 +5,9 @@ sorted ranges, so no source is ever sorted in one task. The tree is built in blo
 levels: a stored node row stands for the top of a block, carries the digests of its levels and is
 linked to the block above it, down to the single root. A recursive query then ascends per leaf: it
 joins the leaf's block, folds the (tampered) digest with its siblings, appends the siblings to the
-proof and goes on at the parent. Upper blocks are stored in as many copies as they have lanes of
-leaves below them, up to ``COPIES``, so the leaves of a hot source, and all leaves at the root, do
-not meet in one task.
+proof and goes on at the parent. The leaves of a lowest block are a lane, and upper blocks are stored
+in as many copies as they may have lanes below them, up to ``COPIES``; a lane goes to one copy by its
+hash. So the leaves of a hot source, and all leaves at the root, do not meet in one task.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def _block(nodes: DataFrame) -> DataFrame:
 
 
 def _lanes(story: int) -> int:
-    """Copies of a block of this story: one per lane of leaves below it while they are few."""
+    """Copies of a block of this story: as many as it may have lanes below while these are few."""
     return min(FAN**story, COPIES)
 
 
@@ -255,7 +255,7 @@ def climb(numbered: DataFrame, nodes: DataFrame | None) -> DataFrame:
     spark = numbered.sparkSession
     lone = F.col("n") == 1
     start = numbered.select(
-        "doc_id", "leaf", F.floor(F.col("at") / FAN).alias("lane"),
+        "doc_id", "leaf", F.pmod(F.xxhash64("tree", F.floor(F.col("at") / FAN)), F.lit(1 << 30)).alias("lane"),
         F.when(lone, F.lit(TOP).cast("long")).otherwise(F.col("tree")).alias("tree"), F.lit(0).alias("story"),
         F.floor(F.when(lone, F.col("tree")).otherwise(F.col("at")) / FAN).alias("block"),
         (F.when(lone, F.col("tree")).otherwise(F.col("at")) % FAN).cast("int").alias("place"),
