@@ -29,7 +29,7 @@ from .rows import keep, pick, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 1 << 20  # windows of a chunk; only a single longer document exceeds it
-MEMORY = 300_000  # windows that a worker remembers
+MEMORY = 500_000  # windows that a worker remembers
 LONGEST = 256  # ids of a window that is remembered
 
 
@@ -44,9 +44,12 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = [self._entry(i) for i in range(self.a.tok.get_vocab_size())]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = ([len(x) for x in t] for t in (self.a_bytes, self.b_bytes))
+        self.a_len, self.b_len = (np.array(x, np.int64) for x in (self.a_size, self.b_size))
         self.a_mark, self.b_mark = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.memory: dict[tuple[bytes, bytes], tuple[str, list[int]]] = {}
+        # An id as it is written: a token of A, the last one of a group, a token of B, the last one of a group.
+        self.words = [f"{i}{end}" for sizes, ends in ((self.a_size, ",|"), (self.b_size, ",;")) for end in ends for i in range(len(sizes))]
+        self.memory: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def _entry(self, i: int) -> bytes:
         try:
@@ -58,17 +61,21 @@ class Aligner:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _encode(self, text: str) -> np.ndarray:
+        if text.isascii() and "<|" not in text or not self.a.odd.search(text):
+            return self.a.fast.encode_to_numpy(text, disallowed_special=())
+        return self.a.encode(text)
+
     def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of A and of B per text; None for NULL and empty ones and where the tokens do not give back the text."""
         for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1)):
             if not text:
                 yield None
                 continue
-            a = self.a.encode(" " + text)
+            a = self._encode(" " + text)
             want = (" " + text).encode()
-            whole = all(
-                b"".join(map(table.__getitem__, ids)) == want for table, ids in ((self.a_bytes, a.tolist()), (self.b_bytes, b))
-            )
+            # The tokens of A are cut out of these bytes, so it is enough that none is missing.
+            whole = int(self.a_len[a].sum()) == len(want) and b"".join(map(self.b_bytes.__getitem__, b)) == want
             yield (a, np.array(b, "<u4")) if whole else None
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
@@ -79,29 +86,48 @@ class Aligner:
             at = np.flatnonzero(mark[ids][1:]) + 1
             begins.append((at, (np.cumsum(size) - size)[at]))
         (at_a, byte_a), (at_b, byte_b) = begins
-        _, i, j = np.intersect1d(byte_a, byte_b, assume_unique=True, return_indices=True)
+        i, j = _shared(byte_a, byte_b)
         cut_a, cut_b = ([0, *(4 * at).tolist(), 4 * n] for at, n in ((at_a[i], len(a)), (at_b[j], len(b))))
         all_a, all_b = a.tobytes(), b.tobytes()
         return [(all_a[p:q], all_b[r:s]) for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
 
-    def aligned(self, window: tuple[bytes, bytes]) -> tuple[str, list[int]]:
-        """The groups of a window as text, and its links, a << 32 | b each."""
-        known = self.memory.get(window)
-        if known is None:
-            known = self._align(*(np.frombuffer(x, "<u4") for x in window))
-            if sum(map(len, window)) <= 4 * LONGEST:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                self.memory[window] = known
-        return known
-
-    def _align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, list[int]]:
-        _, i, j = np.intersect1d(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]), assume_unique=True, return_indices=True)
-        a, b, groups, p, q = a.tolist(), b.tolist(), [], 0, 0
-        for r, s in zip((i + 1).tolist(), (j + 1).tolist()):
-            groups.append(",".join(map(str, a[p:r])) + "|" + ",".join(map(str, b[q:s])))
-            p, q = r, s
-        return ";".join(groups), [a[x] << 32 | b[y] for x, y in zip(i.tolist(), j.tolist())]
+    def aligned(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
+        """The groups of each window as text, and its links, a << 32 | b each."""
+        memory = self.memory
+        new = [w for w in windows if w not in memory]
+        if len(memory) + len(new) > MEMORY:
+            memory.clear()
+            new = windows
+        found = dict(zip(new, self._align(new))) if new else {}
+        memory.update((w, x) for w, x in found.items() if len(w[0]) + len(w[1]) <= 4 * LONGEST)
+        return [found[w] if w in found else memory[w] for w in windows]
+
+    def _align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
+        """Both sides of all windows end to end: a window ends where both do, so one pass aligns them all."""
+        a, b = (np.frombuffer(b"".join([w[side] for w in windows]), "<u4").astype(np.int64) for side in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        i, j = _shared(ends_a, ends_b)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[i], last_b[j] = 1, 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        n_a, n_b = len(self.a_size), len(self.b_size)
+        written_as = np.concatenate([a + n_a * last_a, 2 * n_a + b + n_b * last_b])[order].tolist()
+        parts = list(map(self.words.__getitem__, written_as))
+        links = (a[i] << 32 | b[j]).astype("<i8").tobytes()
+        tokens_a = np.cumsum([len(w[0]) // 4 for w in windows])
+        tokens = (tokens_a + np.cumsum([len(w[1]) // 4 for w in windows])).tolist()
+        groups = (8 * np.searchsorted(i, tokens_a)).tolist()
+        texts = ["".join(parts[p:q])[:-1] for p, q in zip([0, *tokens], tokens)]
+        return [(t, links[p:q]) for t, p, q in zip(texts, [0, *groups], groups)]
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the numbers that two ascending rows share stand in them."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = np.flatnonzero(y[at] == x) if len(y) else np.zeros(0, np.int64)
+    return same, at[same]
 
 
 def _packed(values, kind: str) -> bytes:
@@ -116,10 +142,10 @@ class _Chunk:
     """Documents on their way into a row."""
 
     def __init__(self):
-        self.ids, self.n_a, self.n_b, self.groups, self.n_windows, self.n_groups = [], [], [], [], [], []
+        self.ids, self.n_a, self.n_b, self.groups, self.n_windows = [], [], [], [], []
         self.number: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
-        self.links: list[int] = []
+        self.links: list[bytes] = []
         self.n_links: list[int] = []
         self.windows: list[np.ndarray] = []
         self.size = 0
@@ -128,29 +154,30 @@ class _Chunk:
         self.ids.append(doc_id)
         numbers = []
         if found is not None:
-            number = self.number
+            number, new = self.number, []
             for w in aligner.windows(*found):
                 n = number.get(w)
                 if n is None:
-                    n = number[w] = len(self.texts)
-                    text, links = aligner.aligned(w)
-                    self.texts.append(text)
-                    self.links += links
-                    self.n_links.append(len(links))
+                    n = number[w] = len(number)
+                    new.append(w)
                 numbers.append(n)
+            for text, links in aligner.aligned(new):
+                self.texts.append(text)
+                self.links.append(links)
+                self.n_links.append(len(links) // 8)
         text = ";".join(map(self.texts.__getitem__, numbers))
         self.groups.append(text if groups == "text" or not text else hashlib.sha256(text.encode()).hexdigest())
         self.n_a.append(0 if found is None else len(found[0]))
         self.n_b.append(0 if found is None else len(found[1]))
-        self.n_groups.append(sum(map(self.n_links.__getitem__, numbers)))
         self.n_windows.append(len(numbers))
         self.windows.append(np.array(numbers, "<u4"))
         self.size += len(numbers) + 8
 
     def row(self, kind: pa.DataType) -> pa.RecordBatch:
         windows = np.concatenate(self.windows)
-        lists = [pa.array([self.ids], pa.list_(kind))] + [pa.array([x], pa.list_(pa.int64())) for x in (self.n_a, self.n_b, self.n_groups, self.n_windows)]
-        data = [_packed(windows, "<u4"), _packed(self.links, "<i8"), _packed(self.n_links, "<u4")]
+        n_groups = _stretches(np.array([self.n_links], np.int64)[:, windows], np.array(self.n_windows))[0].tolist()
+        lists = [pa.array([self.ids], pa.list_(kind))] + [pa.array([x], pa.list_(pa.int64())) for x in (self.n_a, self.n_b, n_groups, self.n_windows)]
+        data = [_packed(windows, "<u4"), zlib.compress(b"".join(self.links), 1), _packed(self.n_links, "<u4")]
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().hex]), *lists, pa.array([self.groups], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in data]],
             names=_NAMES,
