@@ -1,8 +1,10 @@
 """Zip archives as tables: one row per member, and back.
 
 Opening and writing the container is the only Python here; container bytes go
-through the standard ``zipfile`` module in Arrow batches, one archive per row,
-and everything around it stays in Spark.
+through the standard ``zipfile`` module, one archive per row, and everything
+around it stays in Spark. The functions are plain row functions: they get a
+hundred rows at once, so a worker holds no more, where an Arrow batch of
+ten thousand packages stood several times in every worker.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import re
 import sys
 import zipfile
 import zlib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -71,27 +72,20 @@ def explode_archives(df: DataFrame, content: str = "content", data: bool = True)
     fields = "name:string,method:int,crc:bigint,comp_size:bigint,size:bigint,data:binary,error:string"
     names = [f.split(":")[0] for f in fields.split(",")]
 
-    def members(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in contents:
-            out = []
-            for value in series:
-                if value is None:
-                    out.append([])
-                    continue
-                value = bytes(value)
-                archive, error = _open(value)
-                if archive is None:
-                    out.append([dict.fromkeys(names) | {"error": error}])
-                    continue
-                rows = []
-                for i in archive.infolist():
-                    body, error = _inflate(value, i) if data else (None, None)
-                    found = (i.orig_filename, i.compress_type, i.CRC, i.compress_size, i.file_size, body, error)
-                    rows.append(dict(zip(names, found)))
-                out.append(rows)
-            yield pd.Series(out, dtype=object)
-
-    listed = F.pandas_udf(members, f"array<struct<{fields}>>").asNondeterministic()
+    def members(value: bytes | None) -> list[tuple]:
+        if value is None:
+            return []
+        value = bytes(value)
+        archive, error = _open(value)
+        if archive is None:
+            return [(*[None] * (len(names) - 1), error)]
+        rows = []
+        for i in archive.infolist():
+            body, error = _inflate(value, i) if data else (None, None)
+            rows.append((i.orig_filename, i.compress_type, i.CRC, i.compress_size, i.file_size, body, error))
+        return rows
+
+    listed = F.udf(members, f"array<struct<{fields}>>", useArrow=False).asNondeterministic()
     opened = df.select(*rest, listed(F.col(content)).alias("_members"))
     return opened.select(*rest, F.explode_outer("_members").alias("m")).select(
         *rest, "m.name", "m.method", "m.crc", "m.comp_size", "m.size", *(["m.data"] if data else []), "m.error"
@@ -116,27 +110,23 @@ def read_members(content: Column, wanted: str) -> Column:
     """
     pattern = re.compile(wanted)
 
-    @F.pandas_udf(LISTING)
-    def listing(contents: pd.Series) -> pd.DataFrame:
-        out = []
-        for content in contents:
-            names, members, error = None, None, None
-            if content is not None:
-                archive, error = _open(bytes(content))
-                if archive is not None:
-                    infos = archive.infolist()
-                    names, members = [i.orig_filename for i in infos], []
-                    for i in infos:
-                        if error is None and pattern.search(i.orig_filename):
-                            data, error = _inflate(bytes(content), i)
-                            members.append({"name": i.orig_filename, "data": data})
-                    members = None if error else members
-            out.append({"names": names, "members": members, "error": error})
-        return pd.DataFrame(out, columns=["names", "members", "error"])
+    def listing(content: bytes | None) -> tuple:
+        if content is None:
+            return None, None, None
+        content = bytes(content)
+        archive, error = _open(content)
+        if archive is None:
+            return None, None, error
+        members = []
+        for i in archive.infolist():
+            if error is None and pattern.search(i.orig_filename):
+                data, error = _inflate(content, i)
+                members.append((i.orig_filename, data))
+        return [i.orig_filename for i in archive.infolist()], None if error else members, error
 
     # Declared non-deterministic so the optimizer neither repeats it nor folds the
     # projections between two Python steps into one expression.
-    return listing.asNondeterministic()(content)
+    return F.udf(listing, LISTING, useArrow=False).asNondeterministic()(content)
 
 
 def _stored(members: list[tuple[str, bytes]]) -> bytes:
@@ -148,16 +138,13 @@ def _stored(members: list[tuple[str, bytes]]) -> bytes:
     return buffer.getvalue()
 
 
-@F.pandas_udf(T.BinaryType())
-def _pack(members: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if m is None else _stored([(x["name"], bytes(x["data"])) for x in m]) for m in members], dtype=object
-    )
+def _pack(members: list | None) -> bytes | None:
+    return None if members is None else _stored([(x["name"], bytes(x["data"])) for x in members])
 
 
 def pack_members(members: Column) -> Column:
     """``array<struct<name,data>>`` of one row to archive bytes; NULL stays NULL."""
-    return _pack.asNondeterministic()(members)
+    return F.udf(_pack, T.BinaryType(), useArrow=False).asNondeterministic()(members)
 
 
 def bundle_archives(

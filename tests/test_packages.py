@@ -158,3 +158,12 @@ def test_csv_files_round_trip(spark, tmp_path):
     raw = next((tmp_path / "csv").glob("*.csv")).read_bytes()
     assert raw.startswith(b'region,note,units\r\nnorth,"say ""hi"", twice",120\r\n')
     assert sorted(tuple(r) for r in read_csv(spark, path).collect()) == sorted(rows)
+
+
+@pytest.mark.parametrize("name", ["broken_archives", "archive_lookups", "archive_totals", "archive_entries", "word_round_trip", "sheet_round_trip"])
+def test_containers_are_opened_a_few_rows_at_a_time(spark, sf_dir, name):
+    """An Arrow batch of packages stands in every worker several times over; row functions get a hundred rows."""
+    from platen.plans import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
