@@ -134,19 +134,29 @@ def sheet_rows(xml: Column, shared: Column) -> Column:
         return captured(attrs, rf'(?:^|\s){name}="({value})"')
 
     def cell(attrs: Column, inner: Column) -> Column:
-        kind = F.coalesce(attribute(attrs, "t"), F.lit(""))
-        raw = captured(inner, CELL_VALUE)
-        inline = captured(captured(inner, CELL_INLINE), PLAIN_TEXT)
-        value = cell_value(kind, raw, inline, shared)
-        plain = raw.isNotNull() & ~kind.isin("s", "e", "str") & ~((kind == "inlineStr") & inline.isNotNull())
-        letters = F.regexp_extract(attribute(attrs, "r", "[A-Z]++[0-9]++"), "^[A-Z]+", 0)
-        return F.struct(
-            column_index(letters).alias("col"),
-            value.alias("value"),
-            ((kind == "e") & raw.isNotNull()).alias("is_error"),
-            (plain & is_numeric_cell(value)).alias("is_number"),
+        """Every part is cut out once and the value made once; both are mentioned several times."""
+        parts = F.struct(
+            F.coalesce(attribute(attrs, "t"), F.lit("")).alias("kind"),
+            captured(inner, CELL_VALUE).alias("raw"),
+            captured(captured(inner, CELL_INLINE), PLAIN_TEXT).alias("inline"),
+            F.regexp_extract(attribute(attrs, "r", "[A-Z]++[0-9]++"), "^[A-Z]+", 0).alias("letters"),
         )
 
+        def valued(p: Column) -> Column:
+            kind, raw, inline = p["kind"], p["raw"], p["inline"]
+            plain = raw.isNotNull() & ~kind.isin("s", "e", "str") & ~((kind == "inlineStr") & inline.isNotNull())
+            return let(
+                cell_value(kind, raw, inline, shared),
+                lambda value: F.struct(
+                    column_index(p["letters"]).alias("col"),
+                    value.alias("value"),
+                    ((kind == "e") & raw.isNotNull()).alias("is_error"),
+                    (plain & is_numeric_cell(value)).alias("is_number"),
+                ),
+            )
+
+        return let(parts, valued)
+
     def placed(cells: Column) -> Column:
         """Fill in missing positions; the right-most one so far travels along."""
 

@@ -191,8 +191,9 @@ def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
         F.lit('<row r="5"><c t="inlineStr"><is><t>a "b" &amp; c</t></is></c><c><v>'), F.col("c_nationkey").cast("string"),
         F.lit('</v></c><c t="str"><v>x</v></c></row>'),
     )
+    customers = views.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     parsed = (
-        views.texts(spark, d, "customer")
+        views.dealt(customers)
         .withColumn("_shared", packages.shared_strings(shared))
         .withColumn("_rows", packages.sheet_rows(sheet, F.col("_shared")))
         .withColumn("s", packages.sheet_csv(F.col("_rows")))

@@ -167,3 +167,11 @@ def test_containers_are_opened_a_few_rows_at_a_time(spark, sf_dir, name):
 
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["sheet_round_trip", "sheet_cells"])
+def test_sheets_are_dealt_over_the_tasks(spark, sf_dir, name):
+    """A small file is one task of the scan; the conversion of its rows is not."""
+    from platen.plans import QUERIES
+
+    assert QUERIES[name](spark, sf_dir).select(F.spark_partition_id()).distinct().count() == 8
