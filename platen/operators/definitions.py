@@ -34,7 +34,9 @@ def normalise_steps(requests: DataFrame, raw: str = "raw") -> DataFrame:
     """Parse a JSON step list of ids or ``{toolId, params, in, out}`` objects.
 
     Adds ``steps`` (types filled from the catalogue where not given) and
-    ``error``; a row carries one or the other.
+    ``error``; a row carries one or the other. The partition id in ``error`` keeps a
+    filter on it from being pushed below the parsing, which would paste the whole
+    parser into the filter several times over.
     """
 
     def parse(e: Column) -> Column:
@@ -67,26 +69,24 @@ def normalise_steps(requests: DataFrame, raw: str = "raw") -> DataFrame:
     def at(i: Column, text: str) -> Column:
         return F.concat(F.lit("steps["), i.cast("string"), F.lit(text))
 
+    failure = first_error(
+        (F.coalesce(F.size("_items") < 1, F.lit(True)), error("invalid_param", "there is no list of steps")),
+        (
+            F.col("_bad_id").isNotNull() & (F.col("_bad_id") <= F.coalesce("_bad_params", "_bad_id")),
+            error("invalid_param", at(F.col("_bad_id"), "] names no tool")),
+        ),
+        (
+            F.col("_bad_params").isNotNull(),
+            error("invalid_param", at(F.col("_bad_params"), "] has parameters of the wrong kind")),
+        ),
+    )
     is_list = F.coalesce(F.ltrim(F.col(raw)).startswith("["), F.lit(False))
     return (
         requests.withColumn("_items", F.when(is_list, F.from_json(F.col(raw), "array<string>")))
         .withColumn("_steps", F.transform("_items", parse))
         .withColumn("_bad_id", bad_id)
         .withColumn("_bad_params", bad_params)
-        .withColumn(
-            "error",
-            first_error(
-                (F.coalesce(F.size("_items") < 1, F.lit(True)), error("invalid_param", "there is no list of steps")),
-                (
-                    F.col("_bad_id").isNotNull() & (F.col("_bad_id") <= F.coalesce("_bad_params", "_bad_id")),
-                    error("invalid_param", at(F.col("_bad_id"), "] names no tool")),
-                ),
-                (
-                    F.col("_bad_params").isNotNull(),
-                    error("invalid_param", at(F.col("_bad_params"), "] has parameters of the wrong kind")),
-                ),
-            ),
-        )
+        .withColumn("error", F.when(F.spark_partition_id() >= 0, failure))
         .withColumn(
             "steps",
             F.when(

@@ -326,7 +326,7 @@ _RAW_SQL = """CASE event_id % 9
 
 
 def step_list_requests(spark: SparkSession, d: str) -> DataFrame:
-    return views.steps(spark, d).select("event_id", F.expr(_RAW_SQL).alias("raw"))
+    return views.dealt(views.steps(spark, d).select("event_id", F.expr(_RAW_SQL).alias("raw")))
 
 
 @query(

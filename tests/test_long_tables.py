@@ -269,3 +269,14 @@ def test_history_in_batches_is_that_of_one(spark):
 
 def test_an_empty_table_has_no_rows(spark):
     assert table_of(spark).rows().collect() == []
+
+
+@pytest.mark.parametrize("name", ["given_type_scores", "given_type_scores_long"])
+def test_requests_are_parsed_once_and_by_many_tasks(spark, sf_dir, name):
+    """A filter on the error stays above the parser, which stands above the dealing of rows."""
+    from platen.plans import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter")]
+    assert filters and not any("from_json" in line or "get_json_object" in line for line in filters)
+    assert "RepartitionByExpression" in plan
