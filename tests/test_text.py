@@ -135,3 +135,19 @@ def test_long_inputs_do_not_exhaust_the_stack(spark):
     df = spark.createDataFrame([(big,)], "s string")
     row = df.select(F.size(tabular.parse_csv(F.col("s"))).alias("n"), F.length(markup.markdown_to_html(F.col("s"))).alias("h")).first()
     assert row.n == 10_001 and row.h > 400_000
+
+
+def test_contained_words_are_counted_with_repeats(spark):
+    from platen.functions.text import count_contained
+
+    many = [f"w{i:03}" for i in range(60)]
+    given = [
+        (["a", "b", "b", "lost", "lost", "art"], "a b part"), (many * 3 + ["x"] * 4, "x " + " ".join(many[::4])),
+        ([], "a"), (["a"], ""), (["*b*", "b"] * 2, "b\tc"),
+    ]
+    df = spark.createDataFrame(given, "words array<string>, text string")
+    counted = df.select("words", "text", count_contained(F.col("words"), F.col("text")).alias("n"))
+    assert [r.n for r in counted.collect()] == [sum(w in text for w in words) for words, text in given]
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("word"), i.cast("string"))).alias("words"))
+    n = long.select(count_contained(F.col("words"), F.array_join(F.reverse("words"), " "))).first()[0]
+    assert n == 3000
